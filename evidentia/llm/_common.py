@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but ASCII white space.
@@ -34,8 +35,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
     """The batch in runs of rows whose texts have about `most` bytes together, or one longer text alone."""
     if batch.num_rows == 0:
         return
-    lengths = np.nan_to_num(batch.column(column).cast(pa.large_string()).fill_null("").to_pandas().str.len().to_numpy(dtype=float))
-    total = np.cumsum(lengths)
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < batch.num_rows:
         done = total[first - 1] if first else 0
@@ -97,6 +97,10 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def is_white(octets: np.ndarray) -> np.ndarray:
+    return _WHITE[octets]
+
+
 def word_spans(octets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts, and the number of words in each text."""
     n = len(octets)

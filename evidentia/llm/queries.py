@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, neardup, quality, sharding, toxicity
 from ._common import table
+from .labelled import crc_of_id
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of_id() % 5 == 0
+    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +26,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_sharding": op5_sharding}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of_id() % 4 == 2
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op4_mixing": op4_mixing,
+    "op5_sharding": op5_sharding,
+    "op7_toxicity": op7_toxicity,
+    "op9_minhash": op9_minhash,
+}
 
 ORACLE_SQL = {
     "op4_mixing": r"""
