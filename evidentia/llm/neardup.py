@@ -1,9 +1,9 @@
 """Near-duplicate documents by an inverted join of MinHash signature coordinates.
 
 Texts with equal shingle sets form a class, and one node stands for each class. Every node posts itself under the
-(coordinate, value) pairs of a prefix of its signature: two signatures that agree on at least `need` of all
-coordinates agree on one of the first coordinates - need + 1 (pigeonhole), so the rest need not be posted and is
-compared only for pairs that met (skip merging). Pairs that agree on `need` coordinates or more are confirmed
+(coordinate, value) pairs of a prefix of its signature, its rarest coordinates - need + 1 pairs: two signatures that
+agree on at least `need` of all coordinates share one of these (prefix filtering under one order), so the rest, with all values
+that passages common to many documents make frequent, need not be posted and is compared only for pairs that met (skip merging). Pairs that agree on `need` coordinates or more are confirmed
 on full shingle sets.
 
 Within a bucket of a value that many nodes share, pairs are not listed: each is compared with the bucket's hub, the
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import BYTE_WORDS, SpanHash, cut_lineage, mixed, slices, utf8, word_spans
@@ -133,7 +133,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .groupBy("class")
         .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     )
-    posted = nodes.select("node", F.posexplode(F.slice("signature", 1, prefix))).select("node", F.xxhash64("pos", "col").alias("bucket"))
+    posted = nodes.select("node", F.posexplode("signature")).select("node", F.xxhash64("pos", "col").alias("bucket"))
+    counts = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    # In the order of rarity a node's unshared values come first, so they fill its prefix before any shared one.
+    by_rarity = Window.partitionBy("node").orderBy("members", "bucket")
+    ranked = posted.join(counts, "bucket").withColumns({"_rank": F.row_number().over(by_rarity), "_shared": F.count("*").over(Window.partitionBy("node"))})
+    posted = ranked.filter(F.col("_rank") <= prefix - COORDINATES + F.col("_shared")).select("node", "bucket")
     counts = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     shared = cut_lineage(posted.join(counts, "bucket"))
     scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
