@@ -1,8 +1,6 @@
 """What the corpus operators share: the word pattern, shared scratch space, Arrow batches and hashing."""
 
 from __future__ import annotations
-
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import shared_folder
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,12 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the folder that the cluster names in spark.checkpoint.dir and go on from there, so that a
-    lost executor costs no earlier stage. Only a session that names none (tests) gets a folder of its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
+    """Write df to the shared folder and go on from there, so that a lost executor costs no earlier stage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
