@@ -8,8 +8,9 @@ on full shingle sets.
 
 Within a bucket of a value that many nodes share, pairs are not listed: each is compared with the bucket's hub, the
 node whose values are the most common ones. Nodes whose bucket still spans several components afterwards are
-compared across components, so that every link that could join components is confirmed or refuted, while
-copies around one text cost as many pairs as there are copies.
+compared across components, unless the shingles that each shares with any other node are too few for a link. So every
+link that could join components is confirmed or refuted, while copies around one text cost about as many pairs as
+there are copies.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer
 words than a shingle is one shingle; rows with a null doc_id are counted but linked with nothing (null component,
@@ -137,26 +138,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     counts = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     # In the order of rarity a node's unshared values come first, so they fill its prefix before any shared one.
     by_rarity = Window.partitionBy("node").orderBy("members", "bucket")
-    ranked = posted.join(counts, "bucket").withColumns({"_rank": F.row_number().over(by_rarity), "_shared": F.count("*").over(Window.partitionBy("node"))})
-    posted = ranked.filter(F.col("_rank") <= prefix - COORDINATES + F.col("_shared")).select("node", "bucket")
+    ranked = posted.join(counts, "bucket").withColumns({"_rank": F.row_number().over(by_rarity), "_shared": F.count("*").over(Window.partitionBy("node")), "score": F.sum("members").over(Window.partitionBy("node"))})
+    posted = ranked.filter(F.col("_rank") <= prefix - COORDINATES + F.col("_shared")).select("node", "bucket", "score")
     counts = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     shared = cut_lineage(posted.join(counts, "bucket"))
-    scores = shared.groupBy("node").agg(F.sum("members").alias("score"))
-    hubs = shared.join(scores, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
+    sets = cut_lineage(_sets(docs, nodes, shared.select("node").distinct(), words))
+    hubs = shared.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
     met = shared.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tried = cut_lineage(_agreeing(met, nodes, need))
-    links = cut_lineage(_confirmed(tried, docs, nodes, words, percent))
+    tried = cut_lineage(_compared(_agreeing(met, nodes, need), sets))
+    alike = F.col("common") * (100 + percent) >= F.col("both") * percent
+    links = tried.filter(alike).select("a", "b")
     grouped = components(links)
 
-    # Pairs that met in a bucket and are still in different components.
+    # Nodes that met in a bucket and are still in different components. What a set alone holds no other can share, and what it
+    # shares with the hub and what it shares beyond the hub bound its intersection with another set one by one.
     placed = shared.join(grouped, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter("_least < _most").select("bucket")
-    placed = cut_lineage(placed.join(open_buckets, "bucket"))
-    other = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("_other"))
-    met = placed.join(other, "bucket").filter("node < b and component <> _other").select(F.col("node").alias("a"), "b").distinct()
-    rest = cut_lineage(_agreeing(met.join(tried, ["a", "b"], "left_anti"), nodes, need))
+    placed = cut_lineage(_open(placed))
+    own = sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("_hash"))
+    alone = own.groupBy("_hash").agg(F.count("*").alias("_nodes"), F.min("node").alias("node")).filter("_nodes = 1").groupBy("node").agg(F.count("*").alias("_alone"))
+    sizes = sets.select("node", F.size("hashes").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("shares"))
+    buckets = shared.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    with_hub = tried.select("a", "b", F.col("common").alias("inside"))
+    placed = (
+        placed.join(hubs, "bucket").filter("node <> hub").join(sizes, "node").join(buckets, "node")
+        .withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub"), "most": F.col("shares") * (100 + percent) - F.col("n") * percent})
+        .join(with_hub, ["a", "b"], "left").drop("a", "b", "hub")
+    )
+    placed = cut_lineage(placed)
+    least = placed.groupBy("bucket").agg((F.min("n") * percent).alias("_least"))
+    placed = _open(placed.join(least, "bucket").filter("most >= _least").drop("_least"))
+    other = placed.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "n", "shares", "inside", "buckets")])
+    by_hub = F.least("inside", "_inside") + F.least(F.col("shares") - F.col("inside"), F.col("_shares") - F.col("_inside"))
+    bound = F.when(F.col("inside").isNotNull() & F.col("_inside").isNotNull(), by_hub).otherwise(F.least("shares", "_shares"))
+    can = bound * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
+    # A pair is made in the first of the buckets that its two nodes share.
+    first = F.col("bucket") == F.array_min(F.array_intersect("buckets", "_buckets"))
+    met = placed.join(other, "bucket").filter((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & can & first)
+    met = met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    rest = cut_lineage(_agreeing(met, nodes, need))
     if not rest.isEmpty():
-        links = links.union(_confirmed(rest, docs, nodes, words, percent))
+        links = links.union(_compared(rest, sets).filter(alike).select("a", "b"))
         grouped = components(links)
 
     of_class = nodes.join(grouped, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
@@ -174,21 +195,26 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").filter(agree >= need).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are alike enough. Only texts that occur in a pair are shingled again."""
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of placed(bucket, node, component, ...) whose bucket has several components."""
+    several = placed.groupBy("bucket").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter("_least < _most").select("bucket")
+    return placed.join(several, "bucket")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the full shingle sets of the wanted nodes; only their texts are shingled again."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("doc_id"), "class")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    classes = nodes.join(wanted, "node", "left_semi").select("node", "class")
+    texts = docs.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = texts.mapInArrow(_features(words, id_type, True), f"node {id_type}, class binary, hashes array<bigint>")
-    sets = cut_lineage(sets.join(wanted.withColumnRenamed("doc_id", "node"), ["node", "class"], "left_semi").dropDuplicates(["node", "class"]).drop("class"))
+    return sets.join(classes, ["node", "class"], "left_semi").dropDuplicates(["node", "class"]).drop("class")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the size of their full sets' intersection (common) and the sum of their sizes (both)."""
     own = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a"))
     other = sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b"))
-    common = F.size(F.array_intersect("_a", "_b")).cast("long")
-    return (
-        pairs.join(own, "a").join(other, "b").select("a", "b", common.alias("_common"), (F.size("_a") + F.size("_b")).alias("_both"))
-        .filter(F.col("_common") * (100 + percent) >= F.col("_both") * percent).select("a", "b").distinct()
-    )
+    return pairs.join(own, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("common"), (F.size("_a") + F.size("_b")).alias("both"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
