@@ -17,7 +17,9 @@ are not read.
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ _OWN_MARK = "\ud800"
 
 
 class PieceModel:
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4, memo_entries: int = 400_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 2, memo_entries: int = 250_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         self.pieces = [model.id_to_piece(k) for k in range(n)]
@@ -52,7 +54,10 @@ class PieceModel:
         self.dropout = int(dropout * 2**32)
         self.seed, self.variants = seed, variants if dropout else 1
         self.limit = memo_entries
-        self.memos: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        #: What is known of units, by variant, in two generations: what was met lately, and what was before that.
+        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.code = {piece: k.to_bytes(2, sys.byteorder) for piece, k in self.ids.items()}
 
     def _merge(self, unit: str, variant: int) -> bytes:
         """The ids of a unit's pieces, as 16-bit words."""
@@ -90,22 +95,17 @@ class PieceModel:
                 wider = symbols[before[k]] + both
                 if wider in order:
                     heapq.heappush(agenda, (order[wider], before[k], wider))
-        out = []
-        for s in symbols:
-            if s:
-                known = self.ids.get(s)
-                if known is not None:
-                    out.append(known)
-                else:
-                    out.extend(self.byte_ids[b] for b in (MARK if s == _OWN_MARK else s).encode())
-        return np.array(out, np.uint16).tobytes()
+        code = self.code
+        return b"".join([code[s] if s in code else self._in_bytes(s) for s in symbols if s])
+
+    def _in_bytes(self, letter: str) -> bytes:
+        return b"".join(self.byte_ids[b].to_bytes(2, sys.byteorder) for b in (MARK if letter == _OWN_MARK else letter).encode())
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint16)
-        if sum(map(len, self.memos)) > self.limit:
-            for memo in self.memos:
-                memo.clear()
+        if sum(map(len, self.young)) > self.limit:
+            self.old, self.young = self.young, [{} for _ in range(self.variants)]
         if MARK in text:
             text = text.replace(MARK, _OWN_MARK)
         units = _UNITS.findall(MARK + text.replace(" ", MARK))
@@ -114,11 +114,12 @@ class PieceModel:
         else:
             key = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=self.seed))
             which = (mixed(np.arange(len(units), dtype=np.uint64) + key) % np.uint64(self.variants)).astype(np.uint8).tolist()
-        out, memos = [], self.memos
+        out, young, old = [], self.young, self.old
         for unit, v in zip(units, which):
-            found = memos[v].get(unit)
+            found = young[v].get(unit)
             if found is None:
-                memos[v][unit] = found = self._merge(unit, v)
+                found = old[v].get(unit)
+                young[v][unit] = found = self._merge(unit, v) if found is None else found
             out.append(found)
         return np.frombuffer(b"".join(out), np.uint16)
 
@@ -141,12 +142,18 @@ class PieceModel:
         return "".join(out)[1:]
 
 
-def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+@lru_cache(maxsize=2)
+def _model(path: str, dropout: float, seed: int, variants: int) -> PieceModel:
+    """One model for all tasks of a Python worker, so that later tasks know the units of earlier ones."""
+    return PieceModel(path, dropout, seed, variants)
+
+
+def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids, decoded, lossless. model: the path of a merge-type SentencePiece model."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceModel(model, dropout, seed, variants)
+        coder = _model(model, dropout, seed, variants)
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
