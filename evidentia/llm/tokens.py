@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,8 @@ class PrefixCounter:
         self.pairs: dict[int, bool] = {}
         self.left, self.right = _Memo(lambda t: self._spine(t, 0)), _Memo(lambda t: self._spine(t, 1))
         self.whole = _Memo(self._is_whole)
-        self.ledgers = _Memo(self._unit_ledger)
+        #: What is known of units, in two generations: what was met lately, and what was before that.
+        self.ledgers, self.old = _Memo(self._unit_ledger), {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one end of a token while it is merged, from a byte up: (token, rank of the merge that ends it)."""
@@ -184,11 +186,13 @@ class PrefixCounter:
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ledger of each text: one signed byte for each code point, the change of the token count there."""
         if len(self.ledgers) > self.limit:
-            self.ledgers.clear()
+            self.old, self.ledgers = dict(self.ledgers), _Memo(self._unit_ledger)
         if len(self.pairs) > self.limit:
             self.pairs.clear()
         units = [None if self.added is not None and self.added.search(t) else _UNITS.findall(t) for t in texts]
-        self.learn({u for own in units if own is not None for u in own} - self.ledgers.keys())
+        fresh = {u for own in units if own is not None for u in own} - self.ledgers.keys()
+        self.ledgers.update({u: self.old[u] for u in fresh & self.old.keys()})
+        self.learn(fresh - self.ledgers.keys())
         known = self.ledgers.__getitem__
         return [self._with_added(t) if own is None else b"".join(map(known, own)) for t, own in zip(texts, units)]
 
@@ -208,12 +212,18 @@ class PrefixCounter:
         return b"".join([*out, self._segment(text[at:])])
 
 
+@lru_cache(maxsize=2)
+def _counter(vocabulary: str) -> PrefixCounter:
+    """One counter for all tasks of a Python worker, so that later tasks know the units of earlier ones."""
+    return PrefixCounter(vocabulary)
+
+
 def prefix_ledgers(docs: DataFrame, vocabulary: str) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, ledger. vocabulary: the path of a byte-level BPE file."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(vocabulary)
+        counter = _counter(vocabulary)
         for batch in batches:
             for part in slices(batch, most=4 << 20):
                 ledgers = counter.texts([t or "" for t in part.column("text").to_pylist()])
