@@ -8,7 +8,7 @@ range its offset, and rows are summed within (source, range) only.
 Defined results: null or blank texts have size 0 and nothing taken; null sources form one source, the last;
 repeated rows are rows of their own; documents with the same key are ordered by doc_id (nulls first), then by
 the text's hash; an empty table gives an empty result; further columns of the documents are carried along
-unless they bear the name of a result column, which replaces them.
+unless they bear the name of a result column or of one of the operator's own (RESULT, _OWN), which replace them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._common import WORD
 
 RESULT = ("size", "source_size", "target", "taken")
-_OWN = ("_key", "_range", "_before")
+_OWN = ("_key", "_range", "_before", "_offset", "_sum", "source_key", "_copy")
 
 
 def word_count(text: Column) -> Column:
@@ -58,6 +58,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epoc
     16**key_digits key ranges split each source."""
     key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(seed)))
     source_key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+    docs = docs.drop(*RESULT, *_OWN)
     sized = docs.withColumns({"size": word_count(F.col("text")), "_key": key, "_range": F.substring(key, 1, key_digits), "source_key": source_key})
     ranges = sized.groupBy("source_key", "_range").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,18 +66,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epoc
     targets = source_targets(ranges.groupBy("source_key").agg(F.sum("_sum").alias("source_size")), weights, most_epochs)
     offsets = offsets.join(targets, "source_key")
     within = Window.partitionBy("source_key", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), *([F.xxhash64("text")] if "text" in docs.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
-    summed = sized.drop("source_size", "target", "taken").withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    summed = sized.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = summed.join(offsets, ["source_key", "_range"])
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("_offset") - F.col("_before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.withColumn("taken", taken.cast("long")).drop("source_key", "_offset", *_OWN)
+    return placed.withColumn("taken", taken.cast("long")).drop(*_OWN)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a document for each whole or begun epoch; the one that a budget
-    cuts keeps its first words, joined by single spaces."""
+    cuts keeps its first words, joined by single spaces. Columns of docs named as in RESULT or _OWN are null."""
     taken = mix_sources(docs, **options).filter("taken > 0")
     copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = (F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
@@ -85,4 +86,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = copies.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    hidden = {*RESULT, *_OWN}
+    return out.select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c in hidden else c for c in docs.columns])

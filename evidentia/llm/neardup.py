@@ -221,5 +221,6 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     """docs without those that another document of their group stands for; also one row of each doc_id only."""
     gone = near_duplicates(docs, words, percent).filter("not kept").select("doc_id").distinct()
     alone = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    left = docs.join(gone, "doc_id", "left_anti").withColumns({"_alone": alone, "_null": F.col("doc_id").isNull()})
-    return left.dropDuplicates(["_alone", "_null"]).select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti")
+    one, two = (next(n for n in (f"_{base}{'_' * k}" for k in range(99)) if n not in docs.columns) for base in ("alone", "null"))
+    return left.withColumns({one: alone, two: F.col("doc_id").isNull()}).dropDuplicates([one, two]).select(*docs.columns)

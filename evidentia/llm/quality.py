@@ -133,4 +133,4 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
 def of_quality(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, sample_rows: int = 3000) -> DataFrame:
     """docs whose score is the threshold or more, with their columns."""
     model = train(labelled_sample(docs, labels, "quality", learn, sample_rows))
-    return docs.withColumn("_quality", scores(model)).filter(F.col("_quality") >= threshold).drop("_quality")
+    return docs.filter(scores(model) >= threshold)

@@ -2,8 +2,8 @@
 
 Folding lower-cases a text and maps look-alike letters and the digits and signs that stand for letters, so that
 disguised words meet the lexicon. Entries match at the start of a word. Phrases on the exception list hide the
-entries inside them. The lexicon and its weights are learned from a bounded sample of labelled rows: an entry is
-a word or word stem that occurs in many more toxic texts than chance allows; its weight is its log odds. A text's
+entries inside them. The lexicon begins with a list of insults and grows by a bounded sample of labelled rows: an entry
+is a word or word stem that occurs in many more toxic texts than chance allows; its weight is its log odds. A text's
 raw score is the sum of the weights found, and its final score a logistic function of that sum and of the sum by
 length, with coefficients fitted on the same sample.
 
@@ -41,6 +41,11 @@ _FOLDED = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 #: Phrases in which a lexicon entry does no harm.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "scumbling", "stupidity of war", "sore loser clause")
 
+#: Insults that the lexicon begins with; labelled texts set their weights.
+SEEDS = tuple("asshole bastard bitch clown cunt disgusting filth fuck idiot imbecile loser moron pathetic scum shithead slut stupid subhuman trash vermin whore worthless".split())
+#: Coefficients while there are too few labels to fit them.
+UNFITTED = (-4.0, 1.7, 0.3)
+
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -102,8 +107,10 @@ def learn_lexicon(sample: list[tuple[str, int]], entries: int = 400, least_texts
         else:
             n_clean += 1
             clean.update(stems)
-    if not n_toxic or not n_clean:
+    if not sample:
         return Lexicon({})
+    if not n_toxic or not n_clean:
+        return Lexicon(dict.fromkeys(SEEDS, 4.0), coefficients=UNFITTED)
     same_as_longer = {s[:-1] for s, n in toxic.items() if len(s) > shortest and toxic[s[:-1]] == n}
 
     def log_odds(s: str) -> float:
@@ -121,11 +128,14 @@ def learn_lexicon(sample: list[tuple[str, int]], entries: int = 400, least_texts
     for k, stems in enumerate(of_text):
         for s in stems & holders.keys():
             holders[s].append(k)
-    covered, weights = [0] * len(of_text), {}
+    covered, weights = [0] * len(of_text), {s: round(log_odds(s), 4) for s in SEEDS if log_odds(s) > 0}
+    for s in weights:
+        for k, stems in enumerate(of_text):
+            covered[k] += s in stems
     for s in ranked:
         if surprise(s) < 18 or len(weights) == entries:
             break
-        if sum(covered[k] < 2 for k in holders[s]) >= 3:
+        if s not in weights and sum(covered[k] < 2 for k in holders[s]) >= 3:
             weights[s] = round(log_odds(s), 4)
             for k in holders[s]:
                 covered[k] += 1
@@ -163,4 +173,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
 def without_toxic(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, sample_rows: int = 6000) -> DataFrame:
     """docs whose score is below the threshold, with their columns."""
     lexicon = learn_lexicon(labelled_sample(docs, labels, "toxic", learn, sample_rows))
-    return docs.withColumn("_toxicity", scores(docs, lexicon)).filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    return docs.filter(scores(docs, lexicon) < threshold)
