@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ._common import BYTE_WORDS, SpanHash, cut_lineage, mixed, slices, utf8, word_spans
 
 COORDINATES = 64
+BINS = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -158,22 +159,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     alone = own.groupBy("_hash").agg(F.count("*").alias("_nodes"), F.min("node").alias("node")).filter("_nodes = 1").groupBy("node").agg(F.count("*").alias("_alone"))
     sizes = sets.select("node", F.size("hashes").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("shares"))
     buckets = shared.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    with_hub = tried.select("a", "b", F.col("common").alias("inside"))
+    with_hub = tried.select("a", "b", F.col("common").alias("inside"), "only_a", "only_b")
     placed = (
         placed.join(hubs, "bucket").filter("node <> hub").join(sizes, "node").join(buckets, "node")
         .withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub"), "most": F.col("shares") * (100 + percent) - F.col("n") * percent})
-        .join(with_hub, ["a", "b"], "left").drop("a", "b", "hub")
+        .join(with_hub, ["a", "b"], "left").withColumn("lacks", F.when(F.col("hub") == F.col("a"), F.col("only_a")).otherwise(F.col("only_b")))
+        .drop("a", "b", "hub", "only_a", "only_b")
     )
     placed = cut_lineage(placed)
     least = placed.groupBy("bucket").agg((F.min("n") * percent).alias("_least"))
     placed = _open(placed.join(least, "bucket").filter("most >= _least").drop("_least"))
-    other = placed.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "n", "shares", "inside", "buckets")])
-    by_hub = F.least("inside", "_inside") + F.least(F.col("shares") - F.col("inside"), F.col("_shares") - F.col("_inside"))
-    bound = F.when(F.col("inside").isNotNull() & F.col("_inside").isNotNull(), by_hub).otherwise(F.least("shares", "_shares"))
-    can = bound * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
+    other = placed.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "n", "shares", "inside", "lacks", "buckets")])
+    beyond = F.least(F.col("shares") - F.col("inside"), F.col("_shares") - F.col("_inside"))
+    known = F.col("inside").isNotNull() & F.col("_inside").isNotNull()
+    enough = lambda bound: bound * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
+    can = enough(F.when(known, F.least("inside", "_inside") + beyond).otherwise(F.least("shares", "_shares")))
+    # Of the hub's shingles the two together lack as many at least as, bin by bin, the one that lacks more.
+    lacking = F.aggregate(F.zip_with("lacks", "_lacks", lambda x, y: F.greatest(x, y)), F.lit(0), lambda t, x: t + x)
+    of_hub = F.col("inside") + F.aggregate("lacks", F.lit(0), lambda t, x: t + x)
+    can_by_bins = ~known | enough(of_hub - lacking + beyond)
     # A pair is made in the first of the buckets that its two nodes share.
     first = F.col("bucket") == F.array_min(F.array_intersect("buckets", "_buckets"))
-    met = placed.join(other, "bucket").filter((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & can & first)
+    met = placed.join(other, "bucket").filter((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & can & first & can_by_bins)
     met = met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
     rest = cut_lineage(_agreeing(met, nodes, need))
     if not rest.isEmpty():
@@ -211,10 +218,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the size of their full sets' intersection (common) and the sum of their sizes (both)."""
+    """The pairs (a, b) with the size of their full sets' intersection (common), the sum of their sizes (both), and how
+    many hashes only a and only b has, by BINS bins of the hash."""
     own = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a"))
     other = sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b"))
-    return pairs.join(own, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("common"), (F.size("_a") + F.size("_b")).alias("both"))
+    joined = pairs.join(own, "a").join(other, "b").withColumns({"_only_a": F.array_except("_a", "_b"), "_only_b": F.array_except("_b", "_a")})
+    none = F.array_repeat(F.lit(0), BINS)
+    binned = lambda c: F.aggregate(F.transform(c, lambda x: F.pmod(x, F.lit(BINS)).cast("int")), none, lambda t, k: F.transform(t, lambda v, i: v + (i == k).cast("int")))
+    sizes = joined.select("a", "b", (F.size("_a") - F.size("_only_a")).cast("long").alias("common"), (F.size("_a") + F.size("_b")).alias("both"), "_only_a", "_only_b")
+    return sizes.select("a", "b", "common", "both", binned("_only_a").alias("only_a"), binned("_only_b").alias("only_b"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
