@@ -916,3 +916,190 @@ def stream_progress(spark, d):
 def stream_uptime(spark, d):
     stream, checkpoint, name = _stream(spark, d)
     return streams.replay(spark, streams.hourly_uptime(stream), name, "complete", checkpoint)
+
+
+# --- more of the evidence, on literal rows
+
+
+def wanted(rows: list[tuple], keep: list[int], columns: str) -> str:
+    """SQL of literal rows' wanted values: the positions kept, under these names."""
+    return f"SELECT * FROM {values([tuple(r[k] for k in keep) for r in rows], columns)}"
+
+
+SHOPIFY = [(1, '{"shopId": 42, "myshopify_domain":"a.myshopify.com"} Shopify.shop = "a.myshopify.com" "shopId": 42', "42", "a.myshopify.com", "a.myshopify.com"), (2, "niets", "", "", "")]
+
+
+@query(wanted(SHOPIFY, [0, 2, 3, 4], "id, shop_id, domain, shop"))
+def shopify_identity(spark, d):
+    rows = spark.createDataFrame(SHOPIFY, "id long, html string, a string, b string, c string").select("id", technology.shopify_identities(F.col("html")).alias("s"))
+    return rows.select("id", joined(F.col("s.shop_id")).alias("shop_id"), joined(F.col("s.myshopify_domain")).alias("domain"), joined(F.col("s.shopify_shop")).alias("shop"))
+
+
+LDJSON = [
+    (1, ['{"@graph":[{"email":"mailto:A@b.nl","telephone":"06"},{"vatID":"NL1"}]}'], "a@b.nl", "06", "NL1", ""),
+    (2, ['[{"address":{"streetAddress":"Weg 1","addressLocality":"Stad"}}]'], "", "", "", "Weg 1, Stad"), (3, ["kapot"], "", "", "", ""), (4, [], "", "", "", ""),
+]
+
+
+@query(wanted(LDJSON, [0, 2, 3, 4, 5], "id, emails, phones, tax_ids, addresses"))
+def structured_data(spark, d):
+    rows = spark.createDataFrame(LDJSON, "id long, blocks array<string>, a string, b string, c string, e string").select("id", html_functions.structured_data(F.col("blocks")).alias("s"))
+    return rows.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "tax_ids", "addresses")])
+
+
+TITLES = [("Fietsen Jansen - KVK 12345678", "Fietsen Jansen"), ("Winkel B.V. 87654321", "Winkel B.V."), ("Gewoon | Kamer van Koophandel", "Gewoon")]
+
+
+@query(wanted(TITLES, [0, 1], "title, name"))
+def company_title(spark, d):
+    return spark.createDataFrame(TITLES, "title string, name string").select("title", evidence.company_from_title(F.col("title")).alias("name"))
+
+
+ESCAPES = [('<a href="x">&</a>', "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"), (None, ""), ("gewoon", "gewoon")]
+
+
+@query(wanted(ESCAPES, [0, 1], "t, shown"))
+def html_escape(spark, d):
+    return spark.createDataFrame(ESCAPES, "t string, shown string").select("t", urls.html_escaped(F.col("t")).alias("shown"))
+
+
+ANSWERS = [(1, True, "warn", "neutral", "ok"), (2, False, "none", "none", "none"), (3, None, "unknown", "unknown", "unknown")]
+
+
+@query(wanted(ANSWERS, [0, 2, 3, 4], "id, warn, neutral, plain"))
+def question_status(spark, d):
+    rows = spark.createDataFrame(ANSWERS, "id long, answer boolean, a string, b string, c string")
+    return rows.select("id", *[report.question_status(F.col("answer"), k).alias(k) for k in ("warn", "neutral", "plain")])
+
+
+SETTINGS = [("kvk_api_key", "KvK-sleutel", "KvK", 0), ("maps_key", "Kaarten", "Kaarten", 1)]
+STORED = [("kvk_api_key", "geheim123"), ("oud", "x")]
+
+
+@query(f"""SELECT service, ord, d.key, label, v.value IS NOT NULL AS is_set, CASE WHEN v.value IS NULL THEN '' ELSE repeat('*', length(v.value) - 4) || right(v.value, 4) END AS shown
+           FROM {values(SETTINGS, 'key, label, service, ord')} d LEFT JOIN {values(STORED, 'key, value')} v ON d.key = v.key""".replace("AS t(key, label, service, ord) d", "AS d(key, label, service, ord)").replace("AS t(key, value) v", "AS v(key, value)"))
+def settings_list(spark, d):
+    return report.settings_listed(spark.createDataFrame(SETTINGS, "key string, label string, service string, ord int"), spark.createDataFrame(STORED, "key string, value string"))
+
+
+GEOCODED = [(1, 7.5, "Weg 1, Stad", True), (2, 4.0, "Weg 1", False), (3, 9.0, "", False), (4, None, None, None)]
+
+
+@query(wanted(GEOCODED, [0, 3], "id, valid"))
+def geocode_valid(spark, d):
+    return spark.createDataFrame(GEOCODED, "id long, score double, name string, w boolean").select("id", evidence.geocoded(F.col("score"), F.col("name")).alias("valid"))
+
+
+REVERSED = [("ec2-1-2.compute.amazonaws.com.", "amazonaws.com"), ("host.nl", "host.nl")]
+
+
+@query(wanted(REVERSED, [0, 1], "name, org"))
+def ip_organisation(spark, d):
+    return spark.createDataFrame(REVERSED, "name string, org string").select("name", evidence.organisation_of(F.col("name")).alias("org"))
+
+
+CLAIMS = [(1, ["Thuiswinkel Waarborg"], "thuiswinkel", True), (2, ["Kiyoh"], "thuiswinkel", False), (3, [], "kiyoh", False)]
+
+
+@query(wanted(CLAIMS, [0, 3], "id, claimed"))
+def trustmark_claimed(spark, d):
+    return spark.createDataFrame(CLAIMS, "id long, names array<string>, key string, w boolean").select("id", evidence.claimed(F.col("names"), F.col("key")).alias("claimed"))
+
+
+REGISTER = [(1, ["12345678", "kort", "23456789"]), (2, []), (3, ["x"])]
+
+
+@query("SELECT * FROM (VALUES (1, '12345678'), (1, '23456789'), (2, 'zoek2'), (3, 'zoek3')) AS t(shop_id, number)")
+def register_rows(spark, d):
+    lookups = spark.createDataFrame(REGISTER, "shop_id long, numbers array<string>")
+    return evidence.register_rows(lookups, lookups.select("shop_id", F.concat(F.lit("zoek"), "shop_id").alias("number")), "shop_id")
+
+
+FRAUD = [(1, [("Shop.nl is fout", "Titel")], "", "Titel"), (2, [], "shop.nl en SHOP.nl", "Domein 2x gevonden in zoekresultaten"), (3, [], "shop.nl shop.nl geen resultaten", ""), (4, [], "shop.nl", "")]
+
+
+@query(wanted(FRAUD, [0, 3], "id, hits"))
+def fraud_hits(spark, d):
+    rows = spark.createDataFrame(FRAUD, "id long, items array<struct<text:string,title:string>>, page string, w string")
+    return rows.select("id", joined(F.slice(evidence.fraud_hits(F.col("items"), F.col("page"), F.lit("shop.nl")), 1, 5)).alias("hits"))
+
+
+ISSUERS = [(1, [("countryName", "US"), ("organizationName", "Let's Encrypt"), ("commonName", "R3")], "r3", "Let's Encrypt", True, False), (2, [("commonName", "Eigen")], "EIGEN", "Eigen", False, True), (3, [], None, None, False, False)]
+
+
+@query(wanted(ISSUERS, [0, 3, 4, 5], "id, issuer, free, self_signed"))
+def certificate_issuer(spark, d):
+    rows = spark.createDataFrame(ISSUERS, "id long, rdns array<struct<k:string,v:string>>, subject string, a string, b boolean, c boolean")
+    issuer = evidence.common_name(F.col("rdns"))
+    return rows.select("id", issuer.alias("issuer"), evidence.free_issuer(issuer).alias("free"), evidence.self_signed(issuer, F.col("subject")).alias("self_signed"))
+
+
+STATES = [(1, ["whois", "ssl"], "completed", 0), (2, ["tech"], "partial", 0), (3, ["tech", "ssl"], "running", 1), (4, ["ssl"], "pending", 1)]
+DONE = [(1, "whois", True), (1, "ssl", True), (2, "tech", False), (3, "ssl", True)]
+
+
+@query(wanted(STATES, [0, 2, 3], 'id, status, "left"'))
+def scan_states(spark, d):
+    rows = spark.createDataFrame(STATES, "id long, requested array<string>, w string, v int").select("id", "requested")
+    return streams.scan_states(rows, spark.createDataFrame(DONE, "scan_id long, collector string, ok boolean"))
+
+
+TRIES = [("a", 1, False, "x"), ("a", 2, True, "y"), ("a", 3, True, "z"), ("b", 1, False, "p"), ("b", 2, False, "q"), ("b", 4, True, "laat")]
+
+
+@query(f"SELECT s, coalesce(arg_min(result, attempt) FILTER (ok), arg_max(result, attempt)) AS result, bool_or(ok) AS ok FROM {values(TRIES, 's, attempt, ok, result')} WHERE attempt <= 3 GROUP BY 1")
+def first_success(spark, d):
+    return streams.first_success(spark.createDataFrame(TRIES, "s string, attempt int, ok boolean, result string"), "s")
+
+
+WHOIS_ROWS = [(1, "R", None, None, None), (2, None, None, None, None), (3, None, None, None, "fout"), (4, None, None, "ruw", None)]
+
+
+@query("SELECT * FROM (VALUES (1), (3), (4)) AS t(id)")
+def whois_stored(spark, d):
+    return ingest.usable_whois(spark.createDataFrame(WHOIS_ROWS, "id long, registrar string, registration_date date, raw_data string, error string")).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def cascading_delete(spark, d):
+    gone = shops(spark, d).filter("id % 3 = 0").select(F.col("id").alias("shop_id"))
+    return ingest.without_shops(scans(spark, d), gone).select("id")
+
+
+@query(f"""SELECT s.id, coalesce(e.online, s.risk_level = 'low') AS is_online FROM {SHOPS} s
+           LEFT JOIN (SELECT shop_id, bool_and(is_online) AS online FROM {CHECKS} GROUP BY 1) e ON s.id = e.shop_id""")
+def status_merge(spark, d):
+    fresh = checks(spark, d).groupBy(F.col("shop_id").alias("id")).agg(F.bool_and("is_online").alias("online"))
+    return shops(spark, d).join(fresh, "id", "left").select("id", F.coalesce("online", F.col("risk_level") == "low").alias("is_online"))
+
+
+STORED_PAGES = [(1, ["https://b.nl", "https://a.nl", "https://c.nl"], {"email": ["https://x.nl"]})]
+
+
+@query("""SELECT 1 AS id, 'https://a.nl|https://b.nl|https://c.nl' AS links, sha256('{"email":["https://x.nl"]}') AS provenance_hash""")
+def scrape_stored(spark, d):
+    rows = ingest.stored_scrape(spark.createDataFrame(STORED_PAGES, "id long, external_links array<string>, sources map<string,array<string>>"))
+    return rows.select("id", joined(F.col("external_links")).alias("links"), "provenance_hash")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT source AS shop_id, unnest({SQL_EMAILS}) AS value, 'page-' || doc_id AS url FROM documents),
+                n AS (SELECT shop_id, url, row_number() OVER (PARTITION BY shop_id ORDER BY url) AS i, string_agg('email: ' || value, '|' ORDER BY value) AS lines FROM f GROUP BY 1, 2)
+           SELECT shop_id, 'bewijs_' || lpad(i::VARCHAR, 3, '0') || '_' || url AS file, lines FROM n WHERE i < 1000""")
+def evidence_files(spark, d):
+    found = crawled(spark, d).select("shop_id", F.lit("email").alias("type"), F.explode("emails").alias("value"), F.concat(F.lit("page-"), "page_no").alias("url"))
+    each = found.select("shop_id").distinct()
+    pages = crawl.evidence_pages(crawl.provenance(found), each.withColumn("url", F.lit("home")), found.select("shop_id", "type", "value").limit(0))
+    return report.evidence_files(pages).select("shop_id", "file", joined(F.col("lines")).alias("lines")).filter(F.substring("file", 8, 3).rlike("^[0-9]{3}$"))
+
+
+@query(f"""SELECT id, b AS ten, five FROM {values([(1, 'cijfer 8,5 / 10', 8.5, None), (2, '4,87 / 5 sterren', None, 4.87)], 'id, h, b, five')}""")
+def trusted_scores(spark, d):
+    rows = spark.createDataFrame([(1, "cijfer 8,5 / 10"), (2, "4,87 / 5 sterren")], "id long, h string")
+    return rows.select("id", evidence.score_of_ten(F.col("h")).alias("ten"), evidence.score_of_five(F.col("h")).alias("five"))
+
+
+@query("SELECT event_id AS id, CASE WHEN value < 100 THEN value::INTEGER < 50 END AS is_online FROM events")
+def online_from_status(spark, d):
+    status_code = F.when(F.col("value") < 100, F.round("value").cast("int") * 10)
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), (status_code < 500).alias("is_online"))
+
