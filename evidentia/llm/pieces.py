@@ -37,8 +37,12 @@ _UNITS = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 _OWN_MARK = "\ud800"
 
 
+_PAIR_FACTOR = 0x9E3779B97F4A7C15
+_NONE = 2**31 - 1
+
+
 class PieceModel:
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 2, memo_entries: int = 250_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4, memo_entries: int = 400_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         self.pieces = [model.id_to_piece(k) for k in range(n)]
@@ -57,8 +61,115 @@ class PieceModel:
         #: What is known of units, by variant, in two generations: what was met lately, and what was before that.
         self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self._pair_table()
         self.code = {piece: k.to_bytes(2, sys.byteorder) for piece, k in self.ids.items()}
 
+    def _pair_table(self) -> None:
+        """A hash table in arrays of all pairs of pieces whose union is a piece: pair, union, order of the union."""
+        bits = 20
+        self.shift = np.uint64(64 - bits)
+        self.pair = np.full(1 << bits, -1, np.int64)
+        self.union, self.union_order = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        mask = (1 << bits) - 1
+        for piece, k in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    pair = left << 32 | right
+                    at = (pair * _PAIR_FACTOR & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+                    while self.pair[at] != -1:
+                        at = (at + 1) & mask
+                    self.pair[at], self.union[at], self.union_order[at] = pair, k, int(self.order[piece])
+
+    def _unions(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair the union's id and order; _NONE as order where there is no such piece."""
+        pair = left.astype(np.int64) << 32 | right
+        at = ((pair.astype(np.uint64) * np.uint64(_PAIR_FACTOR)) >> self.shift).astype(np.int64)
+        found = self.pair[at]
+        open_ = np.flatnonzero((found != pair) & (found != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.pair) - 1)
+            found[open_] = self.pair[at[open_]]
+            open_ = open_[(found[open_] != pair[open_]) & (found[open_] != -1)]
+        return self.union[at], np.where(found == pair, self.union_order[at], _NONE)
+
+    def _place(self, unit: str, variant: int) -> int:
+        return xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), seed=(self.seed * 1_000_003 + variant) & 0xFFFFFFFF)
+
+    def _dropped(self, place, left, length, right):
+        """Whether the keyed hash passes a merge over; of one merge or of arrays of merges alike."""
+        x = (place + left * 0x9E3779B1 + length * 0x85EBCA77 + right * 0xC2B2AE3D) & 0xFFFFFFFF
+        x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
+        x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
+        return (x ^ (x >> 16)) < self.dropout
+
+    def merge_many(self, wanted: list[tuple[str, int]]) -> list[bytes]:
+        """_merge of many (unit, variant), all of them one agenda step at a time. Long units go one by one."""
+        out: list[bytes | None] = [None] * len(wanted)
+        short = []
+        for j, (unit, variant) in enumerate(wanted):
+            if len(unit) > 64:
+                out[j] = self._merge(unit, variant)
+            else:
+                short.append(j)
+        if not short:
+            return out
+        lengths = np.array([len(wanted[j][0]) for j in short])
+        place = np.array([self._place(*wanted[j]) for j in short], np.int64) if self.dropout else np.zeros(len(short), np.int64)
+        letters = np.frombuffer("".join([wanted[j][0] for j in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, which = np.unique(letters, return_inverse=True)
+        unknown = len(self.pieces)
+        named = [self.ids.get(chr(c), unknown + k) for k, c in enumerate(kinds.tolist())]
+        in_bytes = {unknown + k: self._in_bytes(chr(c)) for k, c in enumerate(kinds.tolist()) if named[k] >= unknown}
+        symbol = np.array(named, np.int32)[which]
+        unit = np.repeat(np.arange(len(short), dtype=np.int32), lengths)
+        start = np.arange(len(symbol)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        width = np.ones(len(symbol), np.int64)
+        union, order = np.zeros(len(symbol), np.int32), np.full(len(symbol), _NONE, np.int32)
+        inner = np.flatnonzero(unit[1:] == unit[:-1])
+        union[inner], order[inner] = self._unions(symbol[inner], symbol[inner + 1])
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            best = np.minimum.reduceat(order.astype(np.int64) << 32 | np.arange(len(order)), first)
+            done = (best >> 32) == _NONE
+            if done.any():
+                ended = np.repeat(done, np.diff(np.append(first, len(unit))))
+                ids, of = symbol[ended], unit[ended]
+                bounds = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
+                plain, words = ids < unknown, ids.astype(np.uint16)
+                whole = np.logical_and.reduceat(plain, bounds[:-1]).tolist()
+                edges = bounds.tolist()
+                for n, k in enumerate(of[bounds[:-1]].tolist()):
+                    a, b = edges[n], edges[n + 1]
+                    out[short[k]] = words[a:b].tobytes() if whole[n] else b"".join([in_bytes[i] if i >= unknown else i.to_bytes(2, sys.byteorder) for i in ids[a:b].tolist()])
+                keep = ~ended
+                symbol, unit, start, width, union, order = symbol[keep], unit[keep], start[keep], width[keep], union[keep], order[keep]
+                best = best[~done]
+                first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else first[:0]
+                if not len(symbol):
+                    break
+                at = (best & 0xFFFFFFFF) - (np.cumsum(ended) - 0)[best & 0xFFFFFFFF]
+            else:
+                at = best & 0xFFFFFFFF
+            if self.dropout:
+                over = self._dropped(place[unit[at]], start[at], width[at] + width[at + 1], start[at + 1])
+                order[at[over]] = _NONE
+                at = at[~over]
+            symbol[at] = union[at]
+            width[at] += width[at + 1]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            symbol, unit, start, width, union, order = symbol[keep], unit[keep], start[keep], width[keep], union[keep], order[keep]
+            for left in (moved, moved - 1):
+                left = left[left >= 0]
+                right = np.minimum(left + 1, len(unit) - 1)
+                same = (unit[left] == unit[right]) & (left < right)
+                order[left[~same]] = _NONE
+                left = left[same]
+                union[left], order[left] = self._unions(symbol[left], symbol[left + 1])
+        return out
+
     def _merge(self, unit: str, variant: int) -> bytes:
         """The ids of a unit's pieces, as 16-bit words."""
         order, symbols = self.order, list(unit)
@@ -70,20 +181,14 @@ class PieceModel:
             if both in order:
                 agenda.append((order[both], k, both))
         heapq.heapify(agenda)
-        drop, place = self.dropout, None
-        if drop:
-            place = xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), seed=(self.seed * 1_000_003 + variant) & 0xFFFFFFFF)
+        drop, place = self.dropout, self._place(unit, variant)
         while agenda:
             _, k, both = heapq.heappop(agenda)
             right = after[k]
             if not symbols[k] or right >= n or symbols[k] + symbols[right] != both:
                 continue
-            if drop:
-                x = (place + k * 0x9E3779B1 + len(both) * 0x85EBCA77 + right * 0xC2B2AE3D) & 0xFFFFFFFF
-                x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
-                x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
-                if x ^ (x >> 16) < drop:
-                    continue
+            if drop and self._dropped(place, k, len(both), right):
+                continue
             symbols[k], symbols[right] = both, ""
             after[k] = after[right]
             if after[k] < n:
@@ -101,27 +206,40 @@ class PieceModel:
     def _in_bytes(self, letter: str) -> bytes:
         return b"".join(self.byte_ids[b].to_bytes(2, sys.byteorder) for b in (MARK if letter == _OWN_MARK else letter).encode())
 
-    def encode(self, text: str) -> np.ndarray:
+    def _units(self, text: str) -> tuple[list[str], list[int]]:
+        """The units of a text and the variant of each."""
         if not text:
-            return np.zeros(0, np.uint16)
-        if sum(map(len, self.young)) > self.limit:
-            self.old, self.young = self.young, [{} for _ in range(self.variants)]
+            return [], []
         if MARK in text:
             text = text.replace(MARK, _OWN_MARK)
         units = _UNITS.findall(MARK + text.replace(" ", MARK))
         if self.variants == 1:
-            which = [0] * len(units)
-        else:
-            key = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=self.seed))
-            which = (mixed(np.arange(len(units), dtype=np.uint64) + key) % np.uint64(self.variants)).astype(np.uint8).tolist()
-        out, young, old = [], self.young, self.old
-        for unit, v in zip(units, which):
-            found = young[v].get(unit)
-            if found is None:
-                found = old[v].get(unit)
-                young[v][unit] = found = self._merge(unit, v) if found is None else found
-            out.append(found)
-        return np.frombuffer(b"".join(out), np.uint16)
+            return units, [0] * len(units)
+        key = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=self.seed))
+        return units, (mixed(np.arange(len(units), dtype=np.uint64) + key) % np.uint64(self.variants)).astype(np.uint8).tolist()
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The piece ids of each text."""
+        if sum(map(len, self.young)) > self.limit:
+            self.old, self.young = self.young, [{} for _ in range(self.variants)]
+        split = [self._units(t) for t in texts]
+        fresh: list[set[str]] = [set() for _ in range(self.variants)]
+        for units, which in split:
+            for u, v in zip(units, which):
+                if u not in self.young[v]:
+                    fresh[v].add(u)
+        wanted: list[tuple[str, int]] = []
+        for v, units in enumerate(fresh):
+            again = units & self.old[v].keys()
+            self.young[v].update({u: self.old[v][u] for u in again})
+            wanted += [(u, v) for u in units - again]
+        for (u, v), ids in zip(wanted, self.merge_many(wanted)):
+            self.young[v][u] = ids
+        known = self.young
+        return [np.frombuffer(b"".join([known[v][u] for u, v in zip(*own)]), np.uint16) for own in split]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.pieces
@@ -148,7 +266,7 @@ def _model(path: str, dropout: float, seed: int, variants: int) -> PieceModel:
     return PieceModel(path, dropout, seed, variants)
 
 
-def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
+def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids, decoded, lossless. model: the path of a merge-type SentencePiece model."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -157,7 +275,7 @@ def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, va
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [coder.encode(t) for t in texts]
+                ids = coder.encode_many(texts)
                 decoded = [coder.decode(x) for x in ids]
                 flat = np.concatenate(ids).astype(np.int32)
                 begin = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
