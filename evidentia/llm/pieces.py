@@ -39,6 +39,7 @@ _OWN_MARK = "\ud800"
 
 _PAIR_FACTOR = 0x9E3779B97F4A7C15
 _NONE = 2**31 - 1
+_POWERS = np.cumprod(np.full(1024, 0x01000193, np.uint32), dtype=np.uint32)
 
 
 class PieceModel:
@@ -93,8 +94,14 @@ class PieceModel:
             open_ = open_[(found[open_] != pair[open_]) & (found[open_] != -1)]
         return self.union[at], np.where(found == pair, self.union_order[at], _NONE)
 
+    def _places(self, letters: np.ndarray, start: np.ndarray, first: np.ndarray, variant: np.ndarray) -> np.ndarray:
+        """A keyed hash of each unit and variant: letters in a row, their places in their units, and where units begin."""
+        total = np.add.reduceat(letters * _POWERS[start & 1023], first)
+        return ((total ^ np.uint32((self.seed * 0x9E3779B1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) + variant.astype(np.uint32) * np.uint32(0xC2B2AE35)).astype(np.int64)
+
     def _place(self, unit: str, variant: int) -> int:
-        return xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), seed=(self.seed * 1_000_003 + variant) & 0xFFFFFFFF)
+        letters = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return int(self._places(letters, np.arange(len(letters)), np.zeros(1, np.int64), np.array([variant]))[0])
 
     def _dropped(self, place, left, length, right):
         """Whether the keyed hash passes a merge over; of one merge or of arrays of merges alike."""
@@ -115,15 +122,17 @@ class PieceModel:
         if not short:
             return out
         lengths = np.array([len(wanted[j][0]) for j in short])
-        place = np.array([self._place(*wanted[j]) for j in short], np.int64) if self.dropout else np.zeros(len(short), np.int64)
         letters = np.frombuffer("".join([wanted[j][0] for j in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds, which = np.unique(letters, return_inverse=True)
+        kinds = np.flatnonzero(np.bincount(letters))
         unknown = len(self.pieces)
         named = [self.ids.get(chr(c), unknown + k) for k, c in enumerate(kinds.tolist())]
         in_bytes = {unknown + k: self._in_bytes(chr(c)) for k, c in enumerate(kinds.tolist()) if named[k] >= unknown}
-        symbol = np.array(named, np.int32)[which]
+        name_of = np.zeros(int(kinds[-1]) + 1, np.int32)
+        name_of[kinds] = named
+        symbol = name_of[letters]
         unit = np.repeat(np.arange(len(short), dtype=np.int32), lengths)
         start = np.arange(len(symbol)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place = self._places(letters, start, np.cumsum(lengths) - lengths, np.array([wanted[j][1] for j in short]))
         width = np.ones(len(symbol), np.int64)
         union, order = np.zeros(len(symbol), np.int32), np.full(len(symbol), _NONE, np.int32)
         inner = np.flatnonzero(unit[1:] == unit[:-1])
@@ -148,7 +157,7 @@ class PieceModel:
                 first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else first[:0]
                 if not len(symbol):
                     break
-                at = (best & 0xFFFFFFFF) - (np.cumsum(ended) - 0)[best & 0xFFFFFFFF]
+                at = (best & 0xFFFFFFFF) - np.cumsum(ended)[best & 0xFFFFFFFF]
             else:
                 at = best & 0xFFFFFFFF
             if self.dropout:
