@@ -120,7 +120,8 @@ def public_url(url: Column, addresses: Column) -> Column:
 def file_prefix(url: Column, index: Column) -> Column:
     """A safe file name for the evidence of the index-th URL, from 0."""
     safe = F.substring(F.regexp_replace(F.regexp_replace(url, "^https?://", ""), "[^a-zA-Z0-9._-]", "_"), 1, 70)
-    return F.concat(F.lit("bewijs_"), F.lpad((index + 1).cast("string"), 3, "0"), F.lit("_"), safe)
+    number = (index + 1).cast("string")
+    return F.concat(F.lit("bewijs_"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")), F.lit("_"), safe)
 
 
 def html_escaped(text: Column) -> Column:

@@ -186,31 +186,34 @@ LISTED = [("Winkel-Een.nl",), ("www.winkel-een.nl",), ("https://winkel-twee.nl/"
 
 
 @query(f"""WITH l AS (SELECT CASE WHEN starts_with(trim(u), 'http') THEN trim(u) ELSE 'https://' || trim(u) END AS url FROM {values(LISTED, 'u')}
-                      UNION ALL SELECT url FROM {SHOPS} WHERE id % 2 = 0 UNION ALL SELECT url || '/x' FROM {SHOPS} WHERE id % 3 = 0 UNION ALL SELECT 'new' || id || '.nl' FROM {SHOPS} WHERE id % 50 = 0),
+                      UNION ALL SELECT url FROM {SHOPS} UNION ALL SELECT url || '/x' FROM {SHOPS} UNION ALL SELECT 'new' || id || '.nl' FROM {SHOPS} WHERE platform = 'BUILDING'),
                 m AS (SELECT CASE WHEN starts_with(url, 'http') THEN url ELSE 'https://' || url END AS url FROM l),
                 n AS (SELECT url, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\\.', '') AS domain FROM m)
            SELECT domain, count(*) AS n FROM (SELECT min(domain) AS domain, lower(domain) AS k FROM n
              WHERE domain <> 'localhost' AND lower(domain) NOT IN (SELECT lower(c_name) || '.nl' FROM customer) GROUP BY lower(domain)) GROUP BY 1""")
 def import_anti(spark, d):
     own = shops(spark, d)
-    listed = spark.createDataFrame(LISTED, "url string").union(own.filter("id % 2 = 0").select("url")).union(own.filter("id % 3 = 0").select(F.concat("url", F.lit("/x"))))
-    listed = listed.union(own.filter("id % 50 = 0").select(F.concat(F.lit("new"), "id", F.lit(".nl"))))
+    listed = spark.createDataFrame(LISTED, "url string").union(own.select("url")).union(own.select(F.concat("url", F.lit("/x"))))
+    listed = listed.union(own.filter("platform = 'BUILDING'").select(F.concat(F.lit("new"), "id", F.lit(".nl"))))
     # A shop's URL holds a '#', which ends its authority; its known domain is what the same reading gives.
     known = own.select("url", F.concat(F.lower("domain"), F.lit(".nl")).alias("domain"))
     return ingest.new_shops(listed, known).groupBy(F.col("domain")).agg(F.count("*").alias("n"))
 
 
+def placed(rows, order):
+    """The first page of an order, with places."""
+    return filters.page(rows, order, 1, 100).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 @query(f"""SELECT id, row_number() OVER (ORDER BY CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, domain_age DESC, id) AS place
-           FROM {SHOPS} ORDER BY place LIMIT 200""")
+           FROM {SHOPS} ORDER BY place LIMIT 100""")
 def client_sort(spark, d):
-    rows = shops(spark, d).orderBy(filters.sort_key("risk"), filters.sort_key("age").desc(), "id").limit(200)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(filters.sort_key("risk"), filters.sort_key("age").desc(), "id"))).select("id", "place")
+    return placed(shops(spark, d), [filters.sort_key("risk"), filters.sort_key("age").desc(), F.col("id")]).select("id", "place")
 
 
-@query(f"""SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 77 THEN 0 WHEN id % 40 = 0 THEN 1 ELSE 2 END, domain, id) AS place FROM {SHOPS} ORDER BY place LIMIT 100""")
+@query(f"""SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 77 THEN 0 WHEN platform = 'HOUSEHOLD' THEN 1 ELSE 2 END, domain, id) AS place FROM {SHOPS} ORDER BY place LIMIT 100""")
 def pin_to_top(spark, d):
-    order = [filters.pinned_first(F.col("id") == 77, F.col("id") % 40 == 0), F.col("domain"), F.col("id")]
-    return shops(spark, d).orderBy(*order).limit(100).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "place")
+    return placed(shops(spark, d), [filters.pinned_first(F.col("id") == 77, F.col("platform") == "HOUSEHOLD"), F.col("domain"), F.col("id")]).select("id", "place")
 
 
 @query(f"""SELECT domain AS "Domein", risk_level AS "Risico", platform AS "Platform", CASE WHEN last_scanned IS NULL THEN '' ELSE strftime(last_scanned, '%Y-%m-%d %H:%M:%S') END AS "Laatste scan",
@@ -871,9 +874,9 @@ def mask_secret(spark, d):
     return spark.createDataFrame(SECRETS, "secret string, shown string").select("secret", text.masked(F.col("secret")).alias("shown"))
 
 
-@query("SELECT page_id, 'bewijs_' || lpad((page_id + 1)::VARCHAR, greatest(3, length((page_id + 1)::VARCHAR))::INTEGER, '0') || '_' || regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9._-]', '_', 'g')[1:70] AS file FROM pages WHERE page_id < 999")
+@query("SELECT page_id, 'bewijs_' || lpad((page_id + 1)::VARCHAR, greatest(3, length((page_id + 1)::VARCHAR))::INTEGER, '0') || '_' || regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9._-]', '_', 'g')[1:70] AS file FROM pages")
 def file_prefix(spark, d):
-    return table(spark, d, "pages").filter("page_id < 999").select("page_id", urls.file_prefix(F.col("url"), F.col("page_id")).alias("file"))
+    return table(spark, d, "pages").select("page_id", urls.file_prefix(F.col("url"), F.col("page_id")).alias("file"))
 
 
 @query(f"""SELECT id, section, ord, label, value FROM (SELECT id, 'Samenvatting' AS section, 0 AS ord, 'Domein' AS label, domain AS value FROM {SHOPS} UNION ALL SELECT id, 'Samenvatting', 1, 'Risico', risk_level FROM {SHOPS}
@@ -896,26 +899,26 @@ def _stream(spark, d):
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet" if not os.path.isdir(path) else "*.parquet").parquet(d if not os.path.isdir(path) else path)
     e = stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("shop_id"), (F.col("event_type") != "error").alias("is_online"), F.col("value").alias("response_ms"), F.col("ts").alias("checked_at"))
-    return e, f"{shared}/evidentia-stream-{uuid.uuid4().hex}", "s" + uuid.uuid4().hex
+    return e, f"{shared}/evidentia-stream-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT shop_id, checked_at, id, is_online, response_ms FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY checked_at DESC, id DESC) AS r FROM {CHECKS}) WHERE r = 1")
 def stream_status_latest(spark, d):
-    stream, checkpoint, name = _stream(spark, d)
-    return streams.replay(spark, streams.latest_status(stream), name, "complete", checkpoint)
+    stream, folder = _stream(spark, d)
+    return streams.replay(spark, streams.latest_status(stream), "complete", folder)
 
 
 @query(f"SELECT shop_id AS scan_id, max(checked_at) AS ts, count(*) AS updates, arg_max(response_ms, checked_at) AS progress FROM {CHECKS} GROUP BY 1")
 def stream_progress(spark, d):
-    stream, checkpoint, name = _stream(spark, d)
+    stream, folder = _stream(spark, d)
     events = stream.select(F.col("shop_id").alias("scan_id"), F.col("checked_at").alias("ts"), F.col("id").alias("seq"), F.col("response_ms").alias("progress"))
-    return streams.replay(spark, streams.latest_progress(events), name, "complete", checkpoint)
+    return streams.replay(spark, streams.latest_progress(events), "complete", folder)
 
 
 @query(f"SELECT date_trunc('hour', checked_at) AS hour, count(*) AS checks, sum(is_online::INTEGER)::BIGINT AS online FROM {CHECKS} GROUP BY 1")
 def stream_uptime(spark, d):
-    stream, checkpoint, name = _stream(spark, d)
-    return streams.replay(spark, streams.hourly_uptime(stream), name, "complete", checkpoint)
+    stream, folder = _stream(spark, d)
+    return streams.replay(spark, streams.hourly_uptime(stream), "complete", folder)
 
 
 # --- more of the evidence, on literal rows
@@ -1060,9 +1063,9 @@ def whois_stored(spark, d):
     return ingest.usable_whois(spark.createDataFrame(WHOIS_ROWS, "id long, registrar string, registration_date date, raw_data string, error string")).select("id")
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
 def cascading_delete(spark, d):
-    gone = shops(spark, d).filter("id % 3 = 0").select(F.col("id").alias("shop_id"))
+    gone = shops(spark, d).filter("platform = 'MACHINERY'").select(F.col("id").alias("shop_id"))
     return ingest.without_shops(scans(spark, d), gone).select("id")
 
 
@@ -1084,12 +1087,12 @@ def scrape_stored(spark, d):
 
 @query(f"""WITH f AS (SELECT DISTINCT source AS shop_id, unnest({SQL_EMAILS}) AS value, 'page-' || doc_id AS url FROM documents),
                 n AS (SELECT shop_id, url, row_number() OVER (PARTITION BY shop_id ORDER BY url) AS i, string_agg('email: ' || value, '|' ORDER BY value) AS lines FROM f GROUP BY 1, 2)
-           SELECT shop_id, 'bewijs_' || lpad(i::VARCHAR, 3, '0') || '_' || url AS file, lines FROM n WHERE i < 1000""")
+           SELECT shop_id, 'bewijs_' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INTEGER, '0') || '_' || url AS file, lines FROM n""")
 def evidence_files(spark, d):
     found = crawled(spark, d).select("shop_id", F.lit("email").alias("type"), F.explode("emails").alias("value"), F.concat(F.lit("page-"), "page_no").alias("url"))
     each = found.select("shop_id").distinct()
     pages = crawl.evidence_pages(crawl.provenance(found), each.withColumn("url", F.lit("home")), found.select("shop_id", "type", "value").limit(0))
-    return report.evidence_files(pages).select("shop_id", "file", joined(F.col("lines")).alias("lines")).filter(F.substring("file", 8, 3).rlike("^[0-9]{3}$"))
+    return report.evidence_files(pages).select("shop_id", "file", joined(F.col("lines")).alias("lines"))
 
 
 @query(f"""SELECT id, b AS ten, five FROM {values([(1, 'cijfer 8,5 / 10', 8.5, None), (2, '4,87 / 5 sterren', None, 4.87)], 'id, h, b, five')}""")

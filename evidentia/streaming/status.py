@@ -75,8 +75,15 @@ def scan_machine(events: DataFrame) -> DataFrame:
     return events.groupBy("scan_id").transformWithStateInPandas(ScanMachine(), outputStructType="scan_id long, status string, left int", outputMode="Update", timeMode="None")
 
 
-def replay(spark: SparkSession, stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now and return its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def replay(spark: SparkSession, stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is there now and return its results: the last table in complete mode, else all changes. Batches
+    are written as Parquet by the executors; folder must be one that they share."""
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/rows")
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(f"{folder}/rows")

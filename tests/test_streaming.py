@@ -1,7 +1,5 @@
 """Streams against their batch forms."""
 
-import uuid
-
 from evidentia.streaming import status
 
 EVENTS = [(1, ["whois", "ssl"], None, None), (1, ["whois", "ssl"], "whois", True), (1, ["whois", "ssl"], "ssl", True), (2, ["tech"], "tech", False), (3, ["tech", "ssl"], "ssl", True)]
@@ -25,7 +23,7 @@ def test_scan_machine(spark, tmp_path):
     spark.createDataFrame(EVENTS, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     try:
-        out = status.replay(spark, status.scan_machine(stream), "m" + uuid.uuid4().hex, "update", str(tmp_path / "ck"))
+        out = status.replay(spark, status.scan_machine(stream), "update", str(tmp_path / "out"))
         assert {r.scan_id: r.status for r in out.collect()} == {1: "completed", 2: "partial", 3: "running"}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
