@@ -230,3 +230,10 @@ COUNTRY_NAMES = {
     "LT": "Litouwen", "LV": "Letland", "EE": "Estland", "MT": "Malta", "CY": "Cyprus", "GR": "Griekenland", "TR": "Turkije", "US": "VS",
     "RU": "Rusland", "UA": "Oekraïne", "CN": "China",
 }
+
+# --- Fixed values: sites that say nothing about a shop when they turn up in a search -----------------------------------
+
+SKIPPED_SITES = [
+    "duckduckgo.com", "google.com", "facebook.com", "github.com", "stackoverflow.com", "w3schools.com", "developer.mozilla.org",
+    "support.google.com", "ads.google.com", "business.facebook.com",
+]

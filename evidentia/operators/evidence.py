@@ -213,3 +213,20 @@ def register_rows(lookups: DataFrame, placeholders: DataFrame, by: str) -> DataF
     """Rows to store: a row for each lookup with a number, else a shop's placeholder. lookups(by, numbers array)."""
     stored = lookups.select(by, F.explode(F.slice(F.filter("numbers", lambda n: n.rlike(r"^\d{8}$")), 1, 5)).alias("number"))
     return stored.unionByName(placeholders.join(stored.select(by).distinct(), by, "left_anti"), allowMissingColumns=True)
+
+
+# --- redirects
+
+
+def redirect_summary(start: Column, chain: Column) -> Column:
+    """Of a chain of struct<url, status_code, location> that ends with the page shown: its length, whether the domain changed, and
+    whether it leads from http to https."""
+    from ..functions import urls
+
+    final = F.try_element_at(chain, F.lit(-1))["url"]
+    return F.struct(
+        F.greatest(F.size(chain) - 1, F.lit(0)).alias("redirects"),
+        F.coalesce(urls.host(start) != urls.host(final), F.lit(False)).alias("domain_changed"),
+        F.coalesce(start.startswith("http://") & final.startswith("https://"), F.lit(False)).alias("http_to_https"),
+        (F.size(chain) - 1 > 3).alias("too_many"),
+    )

@@ -57,3 +57,14 @@ def evidence_files(pages: DataFrame, by: str = "shop_id") -> DataFrame:
 
     index = F.row_number().over(Window.partitionBy(by).orderBy("url")) - 1
     return pages.withColumn("_index", index).select(by, "url", urls.file_prefix(F.col("url"), F.col("_index")).alias("file"), F.transform("findings", line).alias("lines"))
+
+
+def non_zero(counts: Column) -> Column:
+    """The entries of a map of counts that are above zero."""
+    return F.map_filter(counts, lambda k, v: F.coalesce(v, F.lit(0)) > 0)
+
+
+def batch_of_reports(rows: DataFrame, chosen: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """report_rows of the chosen shops (key), at most `most` of them, by key; shops that do not exist are left out."""
+    picked = chosen.select(key).distinct().join(rows.select(key).distinct(), key, "left_semi").orderBy(key).limit(most)
+    return rows.join(F.broadcast(picked), key, "left_semi")

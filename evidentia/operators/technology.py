@@ -90,3 +90,24 @@ def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, t
 def without_own(items: Column, own: Column) -> Column:
     """Items that do not contain the own domain."""
     return F.filter(items, lambda x: ~F.lower(x).contains(F.lower(own)))
+
+
+def other_sites(results: DataFrame, by: str, most: int = 10) -> DataFrame:
+    """results(by, place, url, title) -> the first `most` sites of a search, each domain once, without search engines and the
+    like: by, place, domain, url, title (at most 100 letters)."""
+    from pyspark.sql import Window
+
+    from ..functions import urls
+
+    sites = results.filter(F.col("url").startswith("http")).withColumn("domain", urls.host(F.col("url")))
+    sites = sites.filter(~F.col("domain").isin(fixed.SKIPPED_SITES))
+    first = sites.withColumn("_turn", F.row_number().over(Window.partitionBy(by, "domain").orderBy("place", "url"))).filter("_turn = 1")
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("place", "url"))).filter(F.col("place") <= most)
+    return ranked.select(by, "place", "domain", "url", F.substring("title", 1, 100).alias("title"))
+
+
+def analytics_lines(answer: Column) -> Column:
+    """The (subdomain, id) pairs of a lookup's lines; none if the answer speaks of an error."""
+    lines = F.transform(F.split(F.trim(answer), "\n"), lambda x: F.split(F.trim(x), ","))
+    pairs = F.transform(F.filter(lines, lambda p: F.size(p) == 2), lambda p: F.struct(F.trim(p[0]).alias("subdomain"), F.trim(p[1]).alias("id")))
+    return F.when(F.lower(answer).contains("error"), F.array().cast("array<struct<subdomain:string,id:string>>")).otherwise(pairs)

@@ -1106,3 +1106,48 @@ def online_from_status(spark, d):
     status_code = F.when(F.col("value") < 100, F.round("value").cast("int") * 10)
     return table(spark, d, "events").select(F.col("event_id").alias("id"), (status_code < 500).alias("is_online"))
 
+
+
+FOUND = [(1, 1, "https://www.google.com/x", "G"), (1, 2, "https://a.nl/1", "A"), (1, 3, "https://www.a.nl/2", "A2"), (1, 4, "http://b.nl", "B" * 120), (1, 5, "ftp://c.nl", "C"), (2, 1, "https://w.nl", "W")]
+
+
+@query(f"SELECT * FROM {values([(1, 1, 'a.nl', 'A'), (1, 2, 'b.nl', 'B' * 100), (2, 1, 'w.nl', 'W')], 'shop_id, place, domain, title')}")
+def search_other_sites(spark, d):
+    return technology.other_sites(spark.createDataFrame(FOUND, "shop_id long, place int, url string, title string"), "shop_id").drop("url")
+
+
+ANSWERED = [(1, "a.nl,UA-1\nb.a.nl, UA-2 \nkapot", "a.nl=UA-1|b.a.nl=UA-2"), (2, "error invalid", ""), (3, "", "")]
+
+
+@query(wanted(ANSWERED, [0, 2], "id, pairs"))
+def analytics_lookup(spark, d):
+    rows = spark.createDataFrame(ANSWERED, "id long, answer string, w string")
+    return rows.select("id", joined(F.transform(technology.analytics_lines(F.col("answer")), lambda p: F.concat_ws("=", p["subdomain"], p["id"]))).alias("pairs"))
+
+
+CHAINS = [
+    (1, "http://a.nl", [("http://a.nl", 301, "https://www.a.nl"), ("https://www.a.nl", 200, "(final)")], 1, False, True, False),
+    (2, "http://a.nl", [("http://b.nl", 200, "(final)")], 0, True, False, False), (3, "http://a.nl", [], 0, False, False, False),
+    (4, "http://a.nl", [("http://a.nl", 301, "x")] * 5 + [("https://c.nl", 200, "(final)")], 5, True, True, True),
+]
+
+
+@query(wanted(CHAINS, [0, 3, 4, 5, 6], "id, redirects, domain_changed, http_to_https, too_many"))
+def redirect_chains(spark, d):
+    rows = spark.createDataFrame(CHAINS, "id long, start string, chain array<struct<url:string,status_code:int,location:string>>, a int, b boolean, c boolean, e boolean")
+    return rows.select("id", evidence.redirect_summary(F.col("start"), F.col("chain")).alias("r")).select("id", "r.*")
+
+
+@query("SELECT o_custkey AS shop_id, o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY 1, 2")
+def non_zero_badges(spark, d):
+    kinds = {k: F.count_if(F.col("o_orderstatus") == k) for k in ("F", "O", "P")}
+    counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("shop_id")).agg(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds.values())).alias("counts"))
+    return counts.select("shop_id", F.explode(report.non_zero(F.col("counts"))).alias("kind", "n"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT shop_id FROM {SCANS} WHERE price > 300000), c AS (SELECT id FROM {SHOPS} WHERE id IN (SELECT shop_id FROM p) ORDER BY id LIMIT 50)
+           SELECT id, label, value FROM (SELECT id, 'Domein' AS label, domain AS value FROM {SHOPS} UNION ALL SELECT id, 'Risico', risk_level FROM {SHOPS}) WHERE id IN (SELECT id FROM c)""")
+def batch_reports(spark, d):
+    rows = report.report_rows(shops(spark, d), "id", [("Samenvatting", [("Domein", "domain"), ("Risico", "risk_level")])])
+    chosen = scans(spark, d).filter("price > 300000").select(F.col("shop_id").alias("id"))
+    return report.batch_of_reports(rows, chosen, "id").select("id", "label", "value")
