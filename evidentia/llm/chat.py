@@ -66,6 +66,20 @@ def parting(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+#: Texts that share neither their first nor their last character, also where a template strips, escapes or changes case.
+PLACEHOLDERS = ("a", "b")
+
+
+def text_place(now: str, start: int, one: str, other: str) -> tuple[int, int]:
+    """Where the last turn's text begins and ends in now[start:]; one and other are the outputs with the PLACEHOLDERS for it.
+    What precedes and follows the text is common to all three outputs, and the placeholders end it at the text's own edges."""
+    base = start if one.startswith(now[:start]) and other.startswith(now[:start]) else 0
+    now, one, other = now[base:], one[base:], other[base:]
+    left = min(parting(one, other), parting(now, one))
+    right = min(parting(one[::-1], other[::-1]), parting(now[::-1], one[::-1]), len(now) - left)
+    return max(0, base + left - start), max(0, base + len(now) - right - start)
+
+
 def formatted_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = inst_template, history: int = 64) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> one row per turn, in order within each partition: conv_id, turn_no (from 0),
     span (what the turn adds to the output), loss_start and loss_end (the masked part of the span, null if none) and
@@ -90,11 +104,7 @@ def formatted_turns(conversations: DataFrame, template: Callable[[list[Turn]], s
                 span = now[start:]
                 loss = (None, None)
                 if role == "assistant":
-                    # The text's place: where outputs with and without it part, seen from both ends of the span.
-                    empty = template([*turns[:-1], (role, "")])[start:]
-                    left = parting(span, empty)
-                    right = min(parting(span[::-1], empty[::-1]), len(empty) - left)
-                    loss = (left, len(span) - right)
+                    loss = text_place(now, start, *(template([*turns[:-1], (role, x)]) for x in PLACEHOLDERS))
                 rows.append((conv, number, span, *loss, rewrites))
                 number, last = number + 1, now
             if rows:

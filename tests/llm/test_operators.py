@@ -303,6 +303,23 @@ def test_chat_finds_templates_that_rewrite(spark):
     assert [r.rewrites for r in chat.formatted_turns(frame, forgetful).orderBy("turn_no").collect()] == [False, False, True]
 
 
+@pytest.mark.parametrize("template", [
+    chat.inst_template, lambda turns: "".join(f"[{r}][INST]{x.strip()}[/INST]" for r, x in turns), lambda turns: f"{len(turns)}:" + "".join(f"{r}[{x}]" for r, x in turns),
+    lambda turns: "|".join(f"[{r}[{x}]" for r, x in reversed(turns)),
+])
+def test_chat_masks_texts_like_their_marks(spark, template):
+    texts = ["[abc]", "[abc", "[/", "[", "]", "[/INST", "[/[[", "[1] bron", "abc]", "", "a", "b", "ab", "ba", "</", "assistant[", "[assistant["]
+    rows = [(k, 0, "user", "[a]") for k in range(len(texts))] + [(k, 1, "assistant", x) for k, x in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.formatted_turns(frame, template).filter("turn_no = 1").collect()}
+    for k, x in enumerate(texts):
+        r, whole = found[k], template([("user", "[a]"), ("assistant", x)])
+        begin = r.loss_start + len(whole) - len(r.span)
+        # A span may begin within the text if the template rewrites; the mask then has the rest of it.
+        assert x.endswith(r.span[r.loss_start : r.loss_end]) and (r.rewrites or r.span[r.loss_start : r.loss_end] == x)
+        assert whole[: begin] + x[len(x) - (r.loss_end - r.loss_start) :] + r.span[r.loss_end :] == whole
+
+
 # --- media
 
 
