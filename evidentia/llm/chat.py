@@ -5,8 +5,10 @@ conversation and compares each output with the one before: what the longer outpu
 an output that does not begin with the one before shows a template that rewrites its history. A turn's loss mask
 covers the text of an assistant turn within its span. The template knows nothing of this, and the operator nothing of it.
 
-Conversations are dealt by id and read in the order of turns, one Arrow batch at a time, so a long one is
-never held whole: a template sees at most `history` turns before a turn, as a model's context would.
+Conversations are dealt by id and read in the order of turns, one Arrow batch at a time. A template sees all turns before a turn,
+however many: a conversation is held whole and its rendering grows with the square of its turns. For a template that
+is declared local to a turn (local_to_a_turn) a caller may bound both by `history`; whether the turns let go render apart from
+those kept is checked each time.
 
 The template here writes <s>[role]text</s> marks. Control strings inside texts and roles are escaped reversibly: an escape sign, and a
 letter for each control string or for the sign itself.
@@ -48,6 +50,13 @@ def unescaped(text: str) -> str:
     return _ESCAPED.sub(lambda m: _PLAIN[m[0]], text)
 
 
+def local_to_a_turn(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]], str]:
+    """Declares that a template renders each turn by itself: its output is that of each turn alone, in a row."""
+    template.local_to_a_turn = True
+    return template
+
+
+@local_to_a_turn
 def inst_template(turns: list[Turn]) -> str:
     """Each turn as <s>, its role, [INST], its text, [/INST] and </s>; what they hold is escaped."""
     return "".join(f"<s>{escaped(role)}[INST]{escaped(text)}[/INST]</s>" for role, text in turns)
@@ -80,10 +89,13 @@ def text_place(now: str, start: int, one: str, other: str) -> tuple[int, int]:
     return max(0, base + left - start), max(0, base + len(now) - right - start)
 
 
-def formatted_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = inst_template, history: int = 64) -> DataFrame:
+def formatted_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = inst_template, history: int | None = None) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> one row per turn, in order within each partition: conv_id, turn_no (from 0),
     span (what the turn adds to the output), loss_start and loss_end (the masked part of the span, null if none) and
-    rewrites (whether the output with this turn changes earlier output)."""
+    rewrites (whether the output with this turn changes earlier output). With history, a template that is local to a turn sees
+    so many turns before a turn at least, and twice as many at most."""
+    if history is not None and not (history > 0 and getattr(template, "local_to_a_turn", False)):
+        raise ValueError("a bounded history is for templates declared local to a turn")
     id_type = conversations.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "turn_no", "span", "loss_start", "loss_end", "rewrites"]
 
@@ -94,9 +106,11 @@ def formatted_turns(conversations: DataFrame, template: Callable[[list[Turn]], s
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if conv != current or number == 0:
                     current, number, turns, last = conv, 0, [], none
-                if len(turns) == 2 * history:
-                    turns = turns[history:]
+                if history is not None and len(turns) == 2 * history:
+                    gone, turns, whole = template(turns[:history]), turns[history:], last
                     last = template(turns)
+                    if gone + last != whole:
+                        raise ValueError("the template is declared local to a turn and is not")
                 turns.append((role, text))
                 now = template(turns)
                 rewrites = not now.startswith(last)

@@ -320,6 +320,25 @@ def test_chat_masks_texts_like_their_marks(spark, template):
         assert whole[: begin] + x[len(x) - (r.loss_end - r.loss_start) :] + r.span[r.loss_end :] == whole
 
 
+def test_chat_renders_the_whole_prefix(spark):
+    def late(turns):
+        """Rewrites turn 0 from turn 200 on, and numbers the turns."""
+        return "".join(f"<{k}>{'…' if k == 0 and len(turns) > 200 else x}" for k, (_, x) in enumerate(turns))
+
+    rows = [(1, k, "assistant" if k % 2 else "user", f"tekst {k}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.formatted_turns(frame, late).orderBy("turn_no").collect()
+    assert [r.turn_no for r in found if r.rewrites] == [200]
+    assert all(r.span == f"<{k}>tekst {k}" for k, r in enumerate(found) if not r.rewrites)
+    assert found[200].span == late([(r, x) for _, _, r, x in rows[:201]])[len("<0>") :]
+    with pytest.raises(ValueError):
+        chat.formatted_turns(frame, late, history=64)
+    bounded = chat.formatted_turns(frame, history=64).orderBy("turn_no").collect()
+    assert bounded == chat.formatted_turns(frame).orderBy("turn_no").collect()
+    with pytest.raises(Exception, match="declared local to a turn and is not"):
+        chat.formatted_turns(frame, chat.local_to_a_turn(late), history=64).collect()
+
+
 # --- media
 
 
