@@ -79,6 +79,14 @@ def shops_by_id(ids: DataFrame, shop: str, value: str) -> DataFrame:
     return ids.groupBy(value).agg(F.countDistinct(shop).alias("shops"), F.min(shop).alias("first_shop"), F.max(shop).alias("last_shop")).filter("shops > 1")
 
 
+def shops_of_shared_ids(ids: DataFrame, shop: str, value: str) -> DataFrame:
+    """One row for each shop of a value that several shops have: value, shop and the value's number of shops. Shops
+    with the same value are each other's partners, so this is the whole cross-reference without its pairs."""
+    once = ids.select(F.col(value), F.col(shop)).filter(F.col(value).isNotNull() & F.col(shop).isNotNull()).distinct()
+    shared = once.groupBy(value).agg(F.count(shop).alias("shops")).filter("shops > 1")
+    return once.join(shared, value).select(value, shop, "shops")
+
+
 def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, text: str) -> DataFrame:
     """Shops whose text contains another shop's value, in any case: the search by substring. A table of distinct values
     is compared with every text, so it suits value lists of bounded size; shared_ids is the form for large tables."""

@@ -257,6 +257,13 @@ def tracker_xref_equi(spark, d):
     return technology.shops_by_id(ids, "shop_id", "v")
 
 
+@query(f"""WITH t AS (SELECT DISTINCT shop_id, 'GTM-K' || k AS v FROM {CHECKS} WHERE k IS NOT NULL)
+           SELECT v, shop_id, shops FROM (SELECT *, count(*) OVER (PARTITION BY v) AS shops FROM t) WHERE shops > 1""")
+def tracker_xref_shops(spark, d):
+    ids = checks(spark, d).filter("k is not null").select("shop_id", F.concat(F.lit("GTM-K"), "k").alias("v"))
+    return technology.shops_of_shared_ids(ids, "shop_id", "v")
+
+
 XREF = [(1, "AW-123456789", "AW-123456789 GTM-AAAAA"), (2, "AW-1234567890", "AW-1234567890"), (3, "GTM-AAAAA", "gtm-aaaaa FB-1"), (4, "UA-9", "")]
 
 
