@@ -47,19 +47,32 @@ def running_progress(pages: DataFrame, by: str, order: list[str], counts: dict[s
     return pages.withColumns({"done": F.count(F.lit(1)).over(window), **{out: F.sum(c).over(window) for out, c in counts.items()}})
 
 
-def crawl_order(start: DataFrame, links: DataFrame, max_pages: int = 50, max_depth: int = 20) -> DataFrame:
+#: A plan holds so many levels of a crawl at most; then what was reached is stored and read again.
+LEVELS_A_PLAN = 4
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The same rows without their lineage: in the cluster's checkpoint folder, if it has one, else on the executors."""
+    context = rows.sparkSession.sparkContext
+    return rows.checkpoint() if context.getCheckpointDir() else rows.localCheckpoint()
+
+
+def crawl_order(start: DataFrame, links: DataFrame, max_pages: int = 50) -> DataFrame:
     """The pages that a crawl takes: start(site, url), links(src, dst) -> site, url, depth, kind, place.
-    Links are followed level by level within the site, each page once; of all reached pages the crawl takes
+    Links are followed level by level within the site, each page once, however deep; of all reached pages the crawl takes
     priority pages first, then others, then product pages, of these at most a fifth of the budget or three."""
     reached = start.select("site", urls.canonical(F.col("url")).alias("url"), F.lit(0).alias("depth"))
-    edges = links.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst")).filter("src <> dst").filter(urls.scrapeable(F.col("dst"))).distinct()
-    level = reached
-    for depth in range(1, max_depth + 1):
+    edges = links.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst")).filter("src <> dst").filter(urls.scrapeable(F.col("dst"))).distinct().persist()
+    level, depth = reached, 0
+    while True:
+        depth += 1
         found = level.join(edges, level["url"] == edges["src"]).filter(urls.same_site(F.col("dst"), F.col("site"))).select("site", F.col("dst").alias("url")).distinct()
         level = found.join(reached, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)).persist()
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
+        if depth % LEVELS_A_PLAN == 0:
+            reached, level = _cut(reached), _cut(level)
     kind = F.when(F.col("depth") == 0, 0).when(urls.priority_page(F.col("url")), 1).when(urls.product_page(F.col("url")), 3).otherwise(2)
     ranked = reached.withColumn("kind", kind)
     ranked = ranked.withColumn("_product", F.row_number().over(Window.partitionBy("site", "kind").orderBy("depth", "url")))

@@ -1,9 +1,17 @@
 """Operators on small rows and by brute force."""
 
-from evidentia.operators import technology
+from evidentia.operators import crawl, technology
 
 
 def test_every_shop_of_a_shared_id_is_named(spark):
     rows = [(1, "a"), (2, "a"), (3, "a"), (3, "a"), (4, "b"), (5, None), (6, None), (None, "b"), (2, "c"), (7, "c")]
     found = technology.shops_of_shared_ids(spark.createDataFrame(rows, "shop long, v string"), "shop", "v").collect()
     assert sorted(tuple(r) for r in found) == [("a", 1, 3), ("a", 2, 3), ("a", 3, 3), ("c", 2, 2), ("c", 7, 2)]
+
+
+def test_crawl_follows_a_chain_of_pages(spark):
+    pages = ["https://s.nl/", *(f"https://s.nl/lijst/{k}" for k in range(1, 30)), "https://s.nl/contact"]
+    links = [*zip(pages, pages[1:]), (pages[9], pages[2]), (pages[-1], pages[0])]
+    found = crawl.crawl_order(spark.createDataFrame([("s.nl", pages[0])], "site string, url string"), spark.createDataFrame(links, "src string, dst string")).collect()
+    assert {r.url: r.depth for r in found} == {p: k for k, p in enumerate(pages)}
+    assert [r.url for r in sorted(found, key=lambda r: r.place)] == [pages[0], pages[-1], *pages[1:-1]]
