@@ -2,9 +2,11 @@
 
 Symbols begin as single letters; an agenda gives the neighbouring pair whose union is the best piece of the model, the
 leftmost at a tie. With dropout, a merge that the agenda gives is passed over when a hash keyed by the seed, the
-unit and the merge's place is below the rate, so a seed always gives the same segmentation and other seeds
+occurrence and the merge's place is below the rate, so a seed always gives the same segmentation and other seeds
 give others. A unit is a run of spaces with the word after it: no piece of such a model reaches from a word into the
-next space, so units are independent; each occurrence draws one of `variants` keys by text and position.
+next space, so units are independent. An occurrence is a text and a unit's position in it, so a unit may be cut in as many
+ways as its merges allow. Only the way without dropout is remembered, with its merges: an occurrence that passes over none
+of them is cut so, and each other one is merged afresh.
 
 Decoding joins the pieces, turns byte pieces back to bytes and markers to spaces. A marker that stands in the
 text itself is written in bytes, so that every text comes back as it was.
@@ -39,11 +41,12 @@ _OWN_MARK = "\ud800"
 
 _PAIR_FACTOR = 0x9E3779B97F4A7C15
 _NONE = 2**31 - 1
-_POWERS = np.cumprod(np.full(1024, 0x01000193, np.uint32), dtype=np.uint32)
+#: So many units are merged at once, which keeps their arrays in the processor's cache.
+_AT_ONCE = 16_384
 
 
 class PieceModel:
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4, memo_entries: int = 400_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, memo_entries: int = 400_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         self.pieces = [model.id_to_piece(k) for k in range(n)]
@@ -57,11 +60,11 @@ class PieceModel:
         self.byte_set[self.byte_ids] = True
         self.control = np.array([model.is_control(k) or model.is_unknown(k) for k in range(n)])
         self.dropout = int(dropout * 2**32)
-        self.seed, self.variants = seed, variants if dropout else 1
+        self.seed = seed
         self.limit = memo_entries
-        #: What is known of units, by variant, in two generations: what was met lately, and what was before that.
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        #: What is known of units in two generations, what was met lately and what was before that: ids and merges without dropout.
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         self._pair_table()
         self.code = {piece: k.to_bytes(2, sys.byteorder) for piece, k in self.ids.items()}
 
@@ -94,35 +97,38 @@ class PieceModel:
             open_ = open_[(found[open_] != pair[open_]) & (found[open_] != -1)]
         return self.union[at], np.where(found == pair, self.union_order[at], _NONE)
 
-    def _places(self, letters: np.ndarray, start: np.ndarray, first: np.ndarray, variant: np.ndarray) -> np.ndarray:
-        """A keyed hash of each unit and variant: letters in a row, their places in their units, and where units begin."""
-        total = np.add.reduceat(letters * _POWERS[start & 1023], first)
-        return ((total ^ np.uint32((self.seed * 0x9E3779B1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) + variant.astype(np.uint32) * np.uint32(0xC2B2AE35)).astype(np.int64)
+    @staticmethod
+    def _merge_place(left, length, right):
+        """A number for a merge's place in its unit; of one merge or of arrays of merges alike."""
+        return (left * 0x9E3779B1 + length * 0x85EBCA77 + right * 0xC2B2AE3D) & 0xFFFFFFFF
 
-    def _place(self, unit: str, variant: int) -> int:
-        letters = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return int(self._places(letters, np.arange(len(letters)), np.zeros(1, np.int64), np.array([variant]))[0])
-
-    def _dropped(self, place, left, length, right):
-        """Whether the keyed hash passes a merge over; of one merge or of arrays of merges alike."""
-        x = (place + left * 0x9E3779B1 + length * 0x85EBCA77 + right * 0xC2B2AE3D) & 0xFFFFFFFF
+    def _dropped(self, key, place):
+        """Whether the keyed hash passes a merge over; of Python numbers or of arrays of 32 bits alike."""
+        x = (key + place) & 0xFFFFFFFF
         x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
         x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
         return (x ^ (x >> 16)) < self.dropout
 
-    def merge_many(self, wanted: list[tuple[str, int]]) -> list[bytes]:
-        """_merge of many (unit, variant), all of them one agenda step at a time. Long units go one by one."""
+    def merge_many(self, wanted: list[str], keys: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+        """_merge of many units, with dropout if they have keys, all of them one agenda step at a time. Long units go one by one."""
+        out: list[tuple[bytes, bytes]] = []
+        for k in range(0, len(wanted), _AT_ONCE):
+            out += self._merge_some(wanted[k : k + _AT_ONCE], None if keys is None else keys[k : k + _AT_ONCE])
+        return out
+
+    def _merge_some(self, wanted: list[str], keys: np.ndarray | None) -> list[tuple[bytes, bytes]]:
         out: list[bytes | None] = [None] * len(wanted)
-        short = []
-        for j, (unit, variant) in enumerate(wanted):
+        merges: list[bytes] = [b""] * len(wanted)
+        short, taken = [], []
+        for j, unit in enumerate(wanted):
             if len(unit) > 64:
-                out[j] = self._merge(unit, variant)
+                out[j], merges[j] = self._merge(unit, None if keys is None else int(keys[j]))
             else:
                 short.append(j)
         if not short:
-            return out
-        lengths = np.array([len(wanted[j][0]) for j in short])
-        letters = np.frombuffer("".join([wanted[j][0] for j in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            return list(zip(out, merges))
+        lengths = np.array([len(wanted[j]) for j in short])
+        letters = np.frombuffer("".join([wanted[j] for j in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = np.flatnonzero(np.bincount(letters))
         unknown = len(self.pieces)
         named = [self.ids.get(chr(c), unknown + k) for k, c in enumerate(kinds.tolist())]
@@ -132,7 +138,7 @@ class PieceModel:
         symbol = name_of[letters]
         unit = np.repeat(np.arange(len(short), dtype=np.int32), lengths)
         start = np.arange(len(symbol)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = self._places(letters, start, np.cumsum(lengths) - lengths, np.array([wanted[j][1] for j in short]))
+        key = None if keys is None else keys[short]
         width = np.ones(len(symbol), np.int64)
         union, order = np.zeros(len(symbol), np.int32), np.full(len(symbol), _NONE, np.int32)
         inner = np.flatnonzero(unit[1:] == unit[:-1])
@@ -160,8 +166,11 @@ class PieceModel:
                 at = (best & 0xFFFFFFFF) - np.cumsum(ended)[best & 0xFFFFFFFF]
             else:
                 at = best & 0xFFFFFFFF
-            if self.dropout:
-                over = self._dropped(place[unit[at]], start[at], width[at] + width[at + 1], start[at + 1])
+            place = self._merge_place(start[at], width[at] + width[at + 1], start[at + 1]).astype(np.uint32)
+            if key is None:
+                taken.append((unit[at], place))
+            else:
+                over = self._dropped(key[unit[at]], place)
                 order[at[over]] = _NONE
                 at = at[~over]
             symbol[at] = union[at]
@@ -177,10 +186,17 @@ class PieceModel:
                 order[left[~same]] = _NONE
                 left = left[same]
                 union[left], order[left] = self._unions(symbol[left], symbol[left + 1])
-        return out
+        if taken:
+            owner = np.concatenate([u for u, _ in taken])
+            by_unit = np.argsort(owner, kind="stable")
+            places = np.concatenate([p for _, p in taken])[by_unit].tobytes()
+            edges = (np.searchsorted(owner[by_unit], np.arange(len(short) + 1)) * 4).tolist()
+            for n, j in enumerate(short):
+                merges[j] = places[edges[n] : edges[n + 1]]
+        return list(zip(out, merges))
 
-    def _merge(self, unit: str, variant: int) -> bytes:
-        """The ids of a unit's pieces, as 16-bit words."""
+    def _merge(self, unit: str, key: int | None) -> tuple[bytes, bytes]:
+        """The ids of a unit's pieces, as 16-bit words, and without a key its merges, as 32-bit words."""
         order, symbols = self.order, list(unit)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -190,13 +206,16 @@ class PieceModel:
             if both in order:
                 agenda.append((order[both], k, both))
         heapq.heapify(agenda)
-        drop, place = self.dropout, self._place(unit, variant)
+        taken = []
         while agenda:
             _, k, both = heapq.heappop(agenda)
             right = after[k]
             if not symbols[k] or right >= n or symbols[k] + symbols[right] != both:
                 continue
-            if drop and self._dropped(place, k, len(both), right):
+            place = self._merge_place(k, len(both), right)
+            if key is None:
+                taken.append(place)
+            elif self._dropped(key, place):
                 continue
             symbols[k], symbols[right] = both, ""
             after[k] = after[right]
@@ -210,42 +229,51 @@ class PieceModel:
                 if wider in order:
                     heapq.heappush(agenda, (order[wider], before[k], wider))
         code = self.code
-        return b"".join([code[s] if s in code else self._in_bytes(s) for s in symbols if s])
+        return b"".join([code[s] if s in code else self._in_bytes(s) for s in symbols if s]), np.array(taken, np.uint32).tobytes()
 
     def _in_bytes(self, letter: str) -> bytes:
         return b"".join(self.byte_ids[b].to_bytes(2, sys.byteorder) for b in (MARK if letter == _OWN_MARK else letter).encode())
 
-    def _units(self, text: str) -> tuple[list[str], list[int]]:
-        """The units of a text and the variant of each."""
+    def _units(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The units of a text and, with dropout, the key of each."""
         if not text:
-            return [], []
+            return [], np.zeros(0, np.uint32)
         if MARK in text:
             text = text.replace(MARK, _OWN_MARK)
         units = _UNITS.findall(MARK + text.replace(" ", MARK))
-        if self.variants == 1:
-            return units, [0] * len(units)
+        if not self.dropout:
+            return units, np.zeros(0, np.uint32)
         key = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=self.seed))
-        return units, (mixed(np.arange(len(units), dtype=np.uint64) + key) % np.uint64(self.variants)).astype(np.uint8).tolist()
+        return units, mixed(np.arange(len(units), dtype=np.uint64) + key).astype(np.uint32)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The piece ids of each text."""
-        if sum(map(len, self.young)) > self.limit:
-            self.old, self.young = self.young, [{} for _ in range(self.variants)]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
         split = [self._units(t) for t in texts]
-        fresh: list[set[str]] = [set() for _ in range(self.variants)]
-        for units, which in split:
-            for u, v in zip(units, which):
-                if u not in self.young[v]:
-                    fresh[v].add(u)
-        wanted: list[tuple[str, int]] = []
-        for v, units in enumerate(fresh):
-            again = units & self.old[v].keys()
-            self.young[v].update({u: self.old[v][u] for u in again})
-            wanted += [(u, v) for u in units - again]
-        for (u, v), ids in zip(wanted, self.merge_many(wanted)):
-            self.young[v][u] = ids
-        known = self.young
-        return [np.frombuffer(b"".join([known[v][u] for u, v in zip(*own)]), np.uint16) for own in split]
+        units = [u for own, _ in split for u in own]
+        fresh = set(units) - self.young.keys()
+        again = fresh & self.old.keys()
+        self.young.update({u: self.old[u] for u in again})
+        wanted = list(fresh - again)
+        self.young.update(zip(wanted, self.merge_many(wanted)))
+        known = [self.young[u] for u in units]
+        ids = [i for i, _ in known]
+        if self.dropout and units:
+            keys = np.concatenate([k for _, k in split])
+            merges = np.array([len(m) for _, m in known]) // 4
+            owner = np.repeat(np.arange(len(units)), merges)
+            over = self._dropped(keys[owner], np.frombuffer(b"".join([m for _, m in known]), np.uint32))
+            changed = np.zeros(len(units), bool)
+            changed[owner[over]] = True
+            at = np.flatnonzero(changed)
+            for j, (own, _) in zip(at.tolist(), self.merge_many([units[j] for j in at.tolist()], keys[at])):
+                ids[j] = own
+        out, begin = [], 0
+        for own, _ in split:
+            out.append(np.frombuffer(b"".join(ids[begin : begin + len(own)]), np.uint16))
+            begin += len(own)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
@@ -270,17 +298,17 @@ class PieceModel:
 
 
 @lru_cache(maxsize=2)
-def _model(path: str, dropout: float, seed: int, variants: int) -> PieceModel:
+def _model(path: str, dropout: float, seed: int) -> PieceModel:
     """One model for all tasks of a Python worker, so that later tasks know the units of earlier ones."""
-    return PieceModel(path, dropout, seed, variants)
+    return PieceModel(path, dropout, seed)
 
 
-def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids, decoded, lossless. model: the path of a merge-type SentencePiece model."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _model(model, dropout, seed, variants)
+        coder = _model(model, dropout, seed)
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]

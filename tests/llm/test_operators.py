@@ -407,3 +407,19 @@ def test_pieces(odd, none, docs):
     rows = pieces.encoded(odd, path).collect()
     assert ids(rows) == ALL_IDS and all(r.lossless for r in rows)
     assert pieces.encoded(none, path).collect() == []
+
+
+def test_each_occurrence_of_a_unit_is_cut_by_itself():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coder = pieces.PieceModel(path, 0.1, 1)
+    units = ["▁understanding", "▁internationalization", "▁😀é", "▁", "▁" + "lang" * 30] * 400
+    keys = np.random.default_rng(3).integers(0, 2**32, len(units), dtype=np.uint32)
+    fresh = coder.merge_many(units, keys)
+    assert fresh == [coder._merge(u, int(k)) for u, k in zip(units, keys)]
+    text = "internationalization " * 3000
+    own, drawn = coder._units(text)
+    assert coder.encode(text).tobytes() == b"".join(coder._merge(u, int(k))[0] for u, k in zip(own, drawn)) and coder.decode(coder.encode(text)) == text
+    cuts = {coder._merge(u, int(k))[0] for u, k in zip(own[:3000], drawn)}
+    assert len(cuts) > 20
+    known = dict(coder.young)
+    assert [coder.encode(text).tobytes() for _ in range(2)] == [pieces.PieceModel(path, 0.1, 1).encode(text).tobytes()] * 2 and coder.young == known
