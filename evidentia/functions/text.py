@@ -4,7 +4,9 @@ Patterns run with Unicode classes, as (?U) says; null texts yield empty sets."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,14 +76,27 @@ def longest_only(items: Column) -> Column:
     return F.filter(items, lambda x: ~F.exists(items, lambda y: (y != x) & y.contains(x)))
 
 
+_STREET, _CONTEXT = re.compile(fixed.STREET_ADDRESS), re.compile(fixed.CONTEXT_ADDRESS)
+
+
+def addresses_in(text: str | None) -> list[str]:
+    """addresses of one text."""
+    street = (" ".join(p for p in (g.strip(" ") for g in m.groups("")) if p) for m in _STREET.finditer(text or ""))
+    context = (" ".join(m[0].split()) for m in _CONTEXT.finditer(text or ""))
+    items = {x for x in street if len(x) > 10} | {x for x in context if 10 < len(x) < 120}
+    return sorted(x for x in items if not any(x != y and x in y for y in items))
+
+
 def addresses(text: Column) -> Column:
-    """Street addresses by street suffix and by postcode, without those within a longer one."""
-    parts = F.arrays_zip(*[found(text, fixed.STREET_ADDRESS, g).alias(f"p{g}") for g in (1, 2, 3, 4)])
-    street = F.transform(parts, lambda p: F.array_join(F.filter(F.array(*[F.trim(p[f"p{g}"]) for g in (1, 2, 3, 4)]), lambda x: x != ""), " "))
-    context = F.transform(found(text, fixed.CONTEXT_ADDRESS, 0), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
-    street = F.filter(street, lambda x: F.length(x) > 10)
-    context = F.filter(context, lambda x: (F.length(x) > 10) & (F.length(x) < 120))
-    return longest_only(_set(street, context))
+    """Street addresses by street suffix and by postcode, without those within a longer one. In Python: a long run of words after
+    a capital takes more stack than the JVM's matcher has."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(addresses_in)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<string>")(text)
 
 
 def prices(text: Column) -> Column:

@@ -420,6 +420,23 @@ def social_platform(spark, d):
     return spark.createDataFrame(SOCIAL, "url string, wanted string").select("url", urls.social_platform(F.col("url")).alias("platform"))
 
 
+def page_links(spark, d):
+    """The URL of each page and all links in it, and the literal cases."""
+    read = table(spark, d, "pages").select("page_id", "url", html_functions.parse_html(F.col("url"), F.col("html")).alias("p"))
+    found = read.select("page_id", F.explode(F.concat(F.array("url"), F.col("p.links"))).alias("url"))
+    return found.union(spark.createDataFrame([(-1, c[0]) for c in (*CANONICAL, *SOCIAL)], "page_id long, url string"))
+
+
+@query()
+def canonical_of_links(spark, d):
+    return page_links(spark, d).select("page_id", "url", urls.canonical(F.col("url")).alias("canonical"))
+
+
+@query()
+def social_of_links(spark, d):
+    return page_links(spark, d).select("page_id", "url", urls.social_platform(F.col("url")).alias("platform"))
+
+
 ADDRESSES = [("10.1.2.3", True), ("172.31.0.1", True), ("172.32.0.1", False), ("8.8.8.8", False), ("127.0.0.1", True), ("::1", True), ("fd00::1", True), ("2001:db8::1", False), ("geen ip", False), ("192.168.9.9", True), ("999.1.1.1", False)]
 
 
@@ -489,6 +506,11 @@ def addresses(spark, d):
     return spark.createDataFrame(ADDRESS_CASES, "text string, wanted string").select("text", joined(text.addresses(F.col("text"))).alias("addresses"))
 
 
+@query()
+def addresses_of_documents(spark, d):
+    return entity_texts(spark, d).select("id", joined(text.addresses(F.col("text"))).alias("addresses"))
+
+
 LONGEST = [(1, ["Dorpsstraat 1", "Dorpsstraat 1 1234 AB", "Kerkweg 22"]), (2, ["a"]), (3, ["ab", "b", "abc"])]
 
 
@@ -945,6 +967,13 @@ def shopify_identity(spark, d):
     return rows.select("id", joined(F.col("s.shop_id")).alias("shop_id"), joined(F.col("s.myshopify_domain")).alias("domain"), joined(F.col("s.shopify_shop")).alias("shop"))
 
 
+@query()
+def shopify_of_pages(spark, d):
+    rows = spark.createDataFrame([(-r[0], r[1]) for r in SHOPIFY], "id long, html string").union(table(spark, d, "pages").select("page_id", "html"))
+    found = rows.select("id", technology.shopify_identities(F.col("html")).alias("s"))
+    return found.select("id", *[joined(F.col(f"s.{k}")).alias(k) for k in fixed.SHOPIFY_IDENTITIES])
+
+
 LDJSON = [
     (1, ['{"@graph":[{"email":"mailto:A@b.nl","telephone":"06"},{"vatID":"NL1"}]}'], "a@b.nl", "06", "NL1", ""),
     (2, ['[{"address":{"streetAddress":"Weg 1","addressLocality":"Stad"}}]'], "", "", "", "Weg 1, Stad"), (3, ["kapot"], "", "", "", ""), (4, [], "", "", "", ""),
@@ -957,6 +986,15 @@ def structured_data(spark, d):
     return rows.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "tax_ids", "addresses")])
 
 
+@query()
+def structured_of_pages(spark, d):
+    cases = [(-r[0], "", "".join(f'<script type="application/ld+json">{b}</script>' for b in r[1])) for r in LDJSON]
+    rows = spark.createDataFrame(cases, "id long, url string, html string").union(table(spark, d, "pages").select("page_id", "url", "html"))
+    parsed = rows.select("id", html_functions.parse_html(F.col("url"), F.col("html")).alias("p"))
+    found = parsed.select("id", html_functions.structured_data(F.col("p.ldjson")).alias("s"))
+    return found.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "tax_ids", "addresses")])
+
+
 TITLES = [("Fietsen Jansen - KVK 12345678", "Fietsen Jansen"), ("Winkel B.V. 87654321", "Winkel B.V."), ("Gewoon | Kamer van Koophandel", "Gewoon")]
 
 
@@ -973,6 +1011,11 @@ def html_escape(spark, d):
     return spark.createDataFrame(ESCAPES, "t string, shown string").select("t", urls.html_escaped(F.col("t")).alias("shown"))
 
 
+@query("""SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS shown_sha256 FROM documents""")
+def html_escape_of_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(urls.html_escaped(F.col("text")), 256).alias("shown_sha256"))
+
+
 ANSWERS = [(1, True, "warn", "neutral", "ok"), (2, False, "none", "none", "none"), (3, None, "unknown", "unknown", "unknown")]
 
 

@@ -1,6 +1,13 @@
 """Operators on small rows and by brute force."""
 
+import re
+from urllib.parse import urlsplit
+
+from evidentia.functions import fixed, html, text
 from evidentia.operators import crawl, technology
+from evidentia.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_every_shop_of_a_shared_id_is_named(spark):
@@ -15,3 +22,56 @@ def test_crawl_follows_a_chain_of_pages(spark):
     found = crawl.crawl_order(spark.createDataFrame([("s.nl", pages[0])], "site string, url string"), spark.createDataFrame(links, "src string, dst string")).collect()
     assert {r.url: r.depth for r in found} == {p: k for k, p in enumerate(pages)}
     assert [r.url for r in sorted(found, key=lambda r: r.place)] == [pages[0], pages[-1], *pages[1:-1]]
+
+
+def read(spark, name):
+    """The rows of a query over the whole table, and those of a table."""
+    return [tuple(r) for r in catalog.QUERIES[name](spark, SF).collect()]
+
+
+def test_addresses_of_whole_texts(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} | dict(catalog.ENTITY_TEXTS)
+    wanted = {}
+    for k, t in texts.items():
+        street = [" ".join(p for p in (g.strip(" ") for g in m.groups("")) if p) for m in re.finditer(fixed.STREET_ADDRESS, t)]
+        near = [" ".join(m[0].split()) for m in re.finditer(fixed.CONTEXT_ADDRESS, t)]
+        items = {x for x in street if len(x) > 10} | {x for x in near if 10 < len(x) < 120}
+        wanted[k] = "|".join(sorted(x for x in items if not any(x != y and x in y for y in items)))
+    found = read(spark, "addresses_of_documents")
+    assert len(found) == len(texts) and dict(found) == wanted and any(wanted.values())
+
+
+def test_links_of_whole_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    links = sorted([(p.page_id, u) for p in pages for u in (p.url, *html.parse(p.url, p.html)[3])] + [(-1, c[0]) for c in (*catalog.CANONICAL, *catalog.SOCIAL)])
+
+    def canonical(url):
+        scheme, host, path, query = re.match(r"(?s)(?:([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", url).groups("")
+        kept = [q for q in query.split("&") if "=" in q and q.split("=")[0].lower() not in fixed.TRACKING_PARAMETERS and q.split("=")[-1]]
+        return f"{scheme.lower()}://{re.sub('^www[.]', '', host.lower())}{path if path == '/' else path.removesuffix('/')}{'?' if kept else ''}{'&'.join(kept)}"
+
+    def platform(url):
+        own = re.sub("^www[.]", "", (urlsplit(url).hostname or ""))
+        return next((p for d, p in fixed.SOCIAL_DOMAINS.items() if own == d or own.endswith("." + d)), None)
+
+    assert sorted(read(spark, "canonical_of_links")) == [(k, u, canonical(u)) for k, u in links] and len(links) > len(pages)
+    assert sorted(read(spark, "social_of_links")) == [(k, u, platform(u)) for k, u in links]
+
+
+def test_identities_and_structured_data_of_whole_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    shopify = {p.page_id: p.html or "" for p in pages} | {-r[0]: r[1] for r in catalog.SHOPIFY}
+    found = {r[0]: r[1:] for r in read(spark, "shopify_of_pages")}
+    assert found == {k: tuple("|".join(sorted(set(re.findall(x, t)))) for x in fixed.SHOPIFY_IDENTITIES.values()) for k, t in shopify.items()}
+    found = {r[0]: r[1:] for r in read(spark, "structured_of_pages")}
+    blocks = {p.page_id: html.parse(p.url, p.html)[4] for p in pages}
+    assert found.keys() == blocks.keys() | {-r[0] for r in catalog.LDJSON}
+    assert all(found[-r[0]] == r[2:] for r in catalog.LDJSON)
+    assert all(found[k] == ("",) * 4 for k, own in blocks.items() if not own)
+
+
+def test_addresses_after_a_long_run_of_words(spark):
+    row = ("Dit " + "zijn woorden " * 20_000 + ". Dorpsstraat 12, 1234 AB Utrecht",)
+    frame = spark.createDataFrame([row, (None,), ("Dorpsstraat 12",)], "t string")
+    found = [r.a for r in frame.select(text.addresses(frame["t"]).alias("a")).collect()]
+    assert found == [["Dorpsstraat 12 1234 AB Utrecht", "Dorpsstraat 12, 1234 AB Utrecht"], [], ["Dorpsstraat 12"]]
