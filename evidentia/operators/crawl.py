@@ -41,22 +41,32 @@ def evidence_pages(sources: DataFrame, home: DataFrame, unplaced: DataFrame, by:
     return placed.unionByName(rest.select(by, "url", "type", "value")).groupBy(by, "url").agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("findings"))
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """The same rows without their lineage: in the cluster's checkpoint folder, if it has one, else on the executors."""
+    context = rows.sparkSession.sparkContext
+    return rows.checkpoint() if context.getCheckpointDir() else rows.localCheckpoint()
+
+
 def running_progress(pages: DataFrame, by: str, order: list[str], counts: dict[str, str]) -> DataFrame:
-    """Pages with running totals over a crawl: done, and the sums of the given columns."""
-    window = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return pages.withColumns({"done": F.count(F.lit(1)).over(window), **{out: F.sum(c).over(window) for out, c in counts.items()}})
+    """Pages with running totals over a crawl: done, and the sums of the given columns. Pages are dealt by ranges of the order and
+    stored so, and each range of a crawl goes on from the totals of those before it: no task has all of a large crawl."""
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _cut(pages.repartitionByRange(parts, order[0]).withColumn("_range", F.spark_partition_id()))
+    sums = {"done": F.count(F.lit(1)), **{out: F.sum(c) for out, c in counts.items()}}
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(by, "_range").agg(*[v.alias(f"_{k}") for k, v in sums.items()])
+    before = totals.select(F.col(by).alias("_by"), F.col("_range").alias("_from"), *[F.sum(f"_{k}").over(earlier).alias(f"_{k}") for k in sums])
+    window = Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = dealt.withColumns({k: v.over(window) for k, v in sums.items()})
+    placed = within.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_from")))
+    whole = {k: F.coalesce(F.col(k) + F.col(f"_{k}"), k, f"_{k}").cast(within.schema[k].dataType) for k in sums}
+    return placed.withColumns(whole).drop("_by", "_from", "_range", *[f"_{k}" for k in sums])
 
 
 #: A plan holds so many levels of a crawl at most; then what was reached is stored and read again.
 LEVELS_A_PLAN = 4
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """The same rows without their lineage: in the cluster's checkpoint folder, if it has one, else on the executors."""
-    context = rows.sparkSession.sparkContext
-    return rows.checkpoint() if context.getCheckpointDir() else rows.localCheckpoint()
-
-
 def crawl_order(start: DataFrame, links: DataFrame, max_pages: int = 50) -> DataFrame:
     """The pages that a crawl takes: start(site, url), links(src, dst) -> site, url, depth, kind, place.
     Links are followed level by level within the site, each page once, however deep; of all reached pages the crawl takes

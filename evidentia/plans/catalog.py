@@ -640,7 +640,7 @@ def evidence_pages(spark, d):
 
 @query("""SELECT doc_id, count(*) OVER w AS done, sum(n_chars) OVER w::BIGINT AS chars FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)""")
 def running_progress(spark, d):
-    return crawl.running_progress(crawled(spark, d), "shop_id", ["page_no"], {"chars": "n_chars"}).select(F.col("page_no").alias("doc_id"), "done", "chars")
+    return crawl.running_progress(crawled(spark, d).select("shop_id", "page_no", "n_chars"), "shop_id", ["page_no"], {"chars": "n_chars"}).select(F.col("page_no").alias("doc_id"), "done", "chars")
 
 
 LINKS = [("https://s.nl/", x) for x in ("https://s.nl/contact", "https://s.nl/a", "https://s.nl/product/1/", "https://ander.nl/x", "https://s.nl/b.pdf")] + [("https://s.nl/a", "https://s.nl/b"), ("https://s.nl/a", "https://s.nl/"), ("https://s.nl/b", "https://www.s.nl/a#x")]

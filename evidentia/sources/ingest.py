@@ -65,5 +65,5 @@ def stored_scrape(pages: DataFrame) -> DataFrame:
 
 
 def write_export(df: DataFrame, path: str) -> None:
-    """An export as one CSV file with a header; exports are of selected shops."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """An export as CSV files with headers, as many as df has partitions."""
+    df.write.mode("overwrite").option("header", True).csv(path)

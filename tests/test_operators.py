@@ -6,6 +6,7 @@ from urllib.parse import urlsplit
 from evidentia.functions import fixed, html, text
 from evidentia.operators import crawl, technology
 from evidentia.plans import catalog
+from evidentia.sources import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,21 @@ def test_addresses_after_a_long_run_of_words(spark):
     frame = spark.createDataFrame([row, (None,), ("Dorpsstraat 12",)], "t string")
     found = [r.a for r in frame.select(text.addresses(frame["t"]).alias("a")).collect()]
     assert found == [["Dorpsstraat 12 1234 AB Utrecht", "Dorpsstraat 12, 1234 AB Utrecht"], [], ["Dorpsstraat 12"]]
+
+
+def test_running_progress_over_ranges(spark):
+    rows = [(None if k % 7 == 0 else "hot" if k % 7 < 5 else "b", None if k == 50 else k, None if k < 20 or k % 11 == 0 else k % 13) for k in range(400)]
+    found = crawl.running_progress(spark.createDataFrame(rows, "shop string, page int, n int"), "shop", ["page"], {"chars": "n"})
+    assert found.columns == ["shop", "page", "n", "done", "chars"]
+    wanted, done, chars = [], {}, {}
+    for shop, page, n in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        done[shop] = done.get(shop, 0) + 1
+        chars[shop] = chars.get(shop) if n is None else (chars.get(shop) or 0) + n
+        wanted.append((shop, page, n, done[shop], chars[shop]))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+    assert "_range" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exports_have_a_file_for_each_partition(spark, tmp_path):
+    ingest.write_export(spark.range(0, 100, 1, 4), str(tmp_path / "export"))
+    assert len(list((tmp_path / "export").glob("*.csv"))) == 4 and spark.read.csv(str(tmp_path / "export"), header=True).count() == 100
