@@ -409,17 +409,43 @@ def test_pieces(odd, none, docs):
     assert pieces.encoded(none, path).collect() == []
 
 
-def test_each_occurrence_of_a_unit_is_cut_by_itself():
+def scanned(coder, unit, key):
+    """Merge-dropout by its definition: look at all neighbours for the best union again after every step. Also the number of merges passed over."""
+    symbols, over = [(k, c) for k, c in enumerate(unit)], set()
+    while True:
+        can = [(coder.order[a + b], k) for k, ((_, a), (_, b)) in enumerate(zip(symbols, symbols[1:])) if a + b in coder.order and (symbols[k], symbols[k + 1]) not in over]
+        if not can:
+            break
+        k = min(can)[1]
+        (i, a), (j, b) = symbols[k : k + 2]
+        if key is not None and coder._dropped(key, coder._merge_place(i, len(a + b), j)):
+            over.add(((i, a), (j, b)))
+        else:
+            symbols[k : k + 2] = [(i, a + b)]
+    return [i for _, s in symbols for i in ([coder.ids[s]] if s in coder.ids else coder._in_bytes(s))], len(over)
+
+
+def test_piece_dropout_against_a_plain_scan():
+    """Every occurrence is merged by its own key, on both sides of the longest shared array, whether trees are kept or forgotten."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     coder = pieces.PieceModel(path, 0.1, 1)
-    units = ["▁understanding", "▁internationalization", "▁😀é", "▁", "▁" + "lang" * 30] * 400
-    keys = np.random.default_rng(3).integers(0, 2**32, len(units), dtype=np.uint32)
-    fresh = coder.merge_many(units, keys)
-    assert fresh == [coder._merge(u, int(k)) for u, k in zip(units, keys)]
-    text = "internationalization " * 3000
-    own, drawn = coder._units(text)
-    assert coder.encode(text).tobytes() == b"".join(coder._merge(u, int(k))[0] for u, k in zip(own, drawn)) and coder.decode(coder.encode(text)) == text
-    cuts = {coder._merge(u, int(k))[0] for u, k in zip(own[:3000], drawn)}
-    assert len(cuts) > 20
-    known = dict(coder.young)
-    assert [coder.encode(text).tobytes() for _ in range(2)] == [pieces.PieceModel(path, 0.1, 1).encode(text).tobytes()] * 2 and coder.young == known
+    random.seed(3)
+    letters = "etaoinshrdlu éßж日😀1"
+    units = ["".join(random.choices(letters.replace(" ", ""), k=n)) for n in (1, 2, 3, 5, 7, 9, 11, 15, 20, 30, 40, 60, 62, 63, 64, 65, 70) for _ in range(8)]
+    units += ["international", "internationalisation", "the", "verantwoordelijkheid"] * 50
+    text = "  ".join([" ".join(units), "▁ x"])
+    own = coder._units(text)
+    keys = coder._keys(text, len(own)).tolist()
+    wanted = [scanned(coder, pieces.MARK + u, k) for u, k in zip(own, keys)]
+    assert coder.encode(text).tolist() == [i for ids, _ in wanted for i in ids]
+    assert coder.encode(text).tolist() == [i for ids, _ in wanted for i in ids] and coder.decode(coder.encode(text)) == text
+    assert any(n > 1 for _, n in wanted) and len({tuple(ids) for (ids, _), u in zip(wanted, own) if u == "internationalisation"}) > 8
+    whole = coder.merge_many([pieces.MARK + u for u in own], np.array(keys, np.uint32))
+    alone = [coder._merge(pieces.MARK + u, k) for u, k in zip(own, keys)]
+    for field in ("ids", "n_ids", "places", "passed", "n_steps"):
+        assert getattr(whole, field).tolist() == [x for one in alone for x in getattr(one, field).tolist()]
+    forgetful = pieces.PieceModel(path, 0.1, 1, memo_bytes=0)
+    assert forgetful.encode(text).tolist() == coder.encode(text).tolist()
+    plain = pieces.PieceModel(path)
+    assert plain.encode(text).tolist() == [i for u in own for i in scanned(plain, pieces.MARK + u, None)[0]]
+    assert max(coder.byte_ids) < 2**31 and coder.encode(text).dtype == np.int32
