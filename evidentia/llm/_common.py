@@ -13,8 +13,10 @@ from .scratch import shared_folder
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bytes of text that the numpy operators handle at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that the operators handle at once; a longer text is handled alone.
+CHUNK_BYTES = 1 << 18
+#: Rows of an Arrow batch at most, as texts may be long.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have BATCH_ROWS rows at most: both sides of a Python worker hold whole batches of texts."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `most` bytes together, or one longer text alone."""
     if batch.num_rows == 0:
@@ -62,28 +71,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class SpanHash:
     """Hashes of any spans of an array of 64-bit words by one running sum: words are weighted by powers of an odd
-    base modulo 2**64, and a span's sum is divided by the power at its start, so equal spans agree at any place."""
+    base modulo 2**64, and a span's sum is divided by the power at its start, so equal spans agree at any place.
+    Powers are kept for the next call, up to KEPT of them."""
 
     BASE = 0x9E3779B97F4A7C15
+    KEPT = 1 << 19
 
     def __init__(self) -> None:
-        self.size = 0
-
-    def _powers(self, n: int) -> None:
-        if n > self.size:
-            self.size = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                self.power = np.cumprod(np.full(self.size, self.BASE, np.uint64))
-                self.inverse = np.cumprod(np.full(self.size, pow(self.BASE, -1, 1 << 64), np.uint64))
+        self.power = self.inverse = np.zeros(0, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n <= len(self.power):
+            return self.power, self.inverse
+        size = max(n, 1 << 16)
+        power = np.cumprod(np.full(size, self.BASE, np.uint64))
+        inverse = np.cumprod(np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64))
+        if size <= self.KEPT:
+            self.power, self.inverse = power, inverse
+        return power, inverse
 
     def __call__(self, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of words[start:end] for each pair; spans are not empty."""
         if len(start) == 0:
             return np.zeros(0, np.uint64)
-        self._powers(len(words))
+        power, inverse = self._powers(len(words))
         total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * self.power[: len(words)], out=total[1:])
-        return mixed((total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        np.cumsum(words * power[: len(words)], out=total[1:])
+        return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 #: A random 64-bit word for each byte value, from a fixed seed.

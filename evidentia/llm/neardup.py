@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BYTE_WORDS, SpanHash, cut_lineage, mixed, slices, utf8, word_spans
+from ._common import BYTE_WORDS, SpanHash, cut_lineage, mixed, short_batches, slices, utf8, word_spans
 
 COORDINATES = 64
 BINS = 32
@@ -123,12 +123,16 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, need: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept. Texts are linked when
-    100 * intersection >= percent * union of their sets of `words`-word shingles."""
+    100 * intersection >= percent * union of their sets of `words`-word shingles. need: how many coordinates two signatures must
+    agree on to be compared in full, by default need_of(percent), which loses a pair at the very threshold with the chance stated
+    there. need=1 posts every coordinate and compares all that share any: a pair at 80 percent then goes unseen with a chance below
+    2**-148, less than that of a hash collision; it costs more comparisons."""
+    short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    need = need_of(percent)
+    need = need_of(percent) if need is None else need
     prefix = COORDINATES - need + 1
     rows = cut_lineage(docs.mapInArrow(_features(words, id_type, False), f"doc_id {id_type}, n_shingles long, class binary, signature array<int>"))
     nodes = cut_lineage(

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mixed, slices
+from ._common import mixed, short_batches, slices
 
 MARK = "▁"
 #: Units of a text that begins with a marker.
@@ -399,12 +399,13 @@ def _model(path: str, dropout: float, seed: int) -> PieceModel:
 
 def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids, decoded, lossless. model: the path of a merge-type SentencePiece model."""
+    short_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _model(model, dropout, seed)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids, begin = coder.encode_all(texts)
                 bounds = begin.tolist()

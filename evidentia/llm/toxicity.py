@@ -1,11 +1,12 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton finds in folded text.
 
-Folding lower-cases a text and maps look-alike letters and the digits and signs that stand for letters, so that
-disguised words meet the lexicon. Entries match at the start of a word. Phrases on the exception list hide the
-entries inside them. The lexicon begins with a list of insults and grows by a bounded sample of labelled rows: an entry
-is a word or word stem that occurs in many more toxic texts than chance allows; its weight is its log odds. A text's
-raw score is the sum of the weights found, and its final score a logistic function of that sum and of the sum by
-length, with coefficients fitted on the same sample.
+Folding lower-cases a text, takes accents off and maps look-alike letters and the digits and signs that stand for letters, so
+that disguised words meet the lexicon. A sign that may stand for several letters or for none (AMBIGUOUS) is read each way. The
+lexicon begins with a list of insults and grows by a bounded sample of labelled rows: words, beginnings of words, and phrases of
+two words. What is learned must occur far oftener in toxic texts than in clean ones, in many of them and between many
+different neighbours, which the copies of one text never give. Entries match from the start of a word; a phrase matches whole words. An entry's weight is its log odds. Phrases on the
+exception list hide the entries inside them. A text's raw score is the sum of the weights found, and its final score a
+logistic function of that sum and of the sum by length, with coefficients fitted on the same sample.
 
 Defined results: null and empty texts score as texts in which nothing is found; without labelled rows the
 lexicon is empty and every score is 0.5; repeated rows are rows of their own; an empty table gives an empty
@@ -17,15 +18,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import median
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import short_batches, slices
 from .labelled import labelled_sample
 
 #: Letters of other scripts, digits and signs, each with the Latin letter that it passes for.
@@ -35,8 +39,11 @@ LOOKALIKES = {
     "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
 }
-LOOKALIKES |= {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {z: "" for z in "\u200b\u200c\u200d\u2060\ufeff\u00ad"}
-_FOLDED = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
+_FOLDED = str.maketrans(LOOKALIKES | {z: "" for z in "\u200b\u200c\u200d\u2060\ufeff\u00ad"})
+#: Signs with several readings: before folding, each reading's letters. In the first a sign parts words, and 1 is an i.
+AMBIGUOUS = ({}, {"!": "i", "|": "i"}, {"!": "i", "|": "l", "1": "l"})
+_READINGS = [str.maketrans(r) for r in AMBIGUOUS]
+_SIGNS = re.compile(r"[1!|](?=\w)")
 
 #: Phrases in which a lexicon entry does no harm.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "scumbling", "stupidity of war", "sore loser clause")
@@ -49,8 +56,25 @@ UNFITTED = (-4.0, 1.7, 0.3)
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def plain(text: str) -> str:
+    """Lower case, without accents and in plain widths."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    return "".join([c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)])
+
+
 def fold(text: str) -> str:
-    return _FOLDED.sub(lambda found: LOOKALIKES[found[0]], text.lower())
+    """The first reading of a text."""
+    return plain(text).translate(_FOLDED)
+
+
+def readings(text: str) -> list[str]:
+    """All different readings of a text; they have the same length and places."""
+    text = plain(text)
+    if not _SIGNS.search(text):
+        return [text.translate(_FOLDED)]
+    return list(dict.fromkeys(text.translate(r).translate(_FOLDED) for r in _READINGS))
 
 
 @dataclass
@@ -63,22 +87,22 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            out.add_word(entry, (len(entry), weight))
+            out.add_word(entry, (len(entry), weight, " " not in entry))
         for phrase in self.exceptions:
-            out.add_word(fold(phrase), (len(fold(phrase)), None))
+            out.add_word(fold(phrase), (len(fold(phrase)), None, True))
         out.make_automaton()
         return out
 
     def features(self, text: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
-        folded = fold(text)
-        found, hidden = [], []
-        for end, (length, weight) in automaton.iter(folded):
-            start = end - length + 1
-            if start == 0 or not folded[start - 1].isalnum():
-                (hidden if weight is None else found).append((start, end, weight))
+        best: dict[int, float] = {}
+        hidden, found = [], []
+        for folded in readings(text):
+            for end, (length, weight, is_stem) in automaton.iter(folded):
+                start = end - length + 1
+                if (start == 0 or not folded[start - 1].isalnum()) and (is_stem or end + 1 == len(folded) or not folded[end + 1].isalnum()):
+                    (hidden if weight is None else found).append((start, end, weight))
         if not found:
             return 0.0, 0.0
-        best: dict[int, float] = {}
         for start, end, weight in found:
             if not any(a <= start and end <= b for a, b, _ in hidden):
                 best[start] = max(weight, best.get(start, 0.0))
@@ -91,54 +115,50 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * log_raw + c * density))))
 
 
-def learn_lexicon(sample: list[tuple[str, int]], entries: int = 400, least_texts: int = 4, shortest: int = 3, longest: int = 16) -> Lexicon:
-    """Entries are taken by how far their counts are from chance (likelihood ratio), while they cover toxic texts
-    in which fewer than two earlier entries were found. A stem that never occurs without its next letter is left
-    to the longer one."""
-    toxic, clean = Counter(), Counter()
-    n_toxic = n_clean = 0
-    of_text: list[set[str]] = []
-    for text, label in sample:
-        stems = {w[:k] for w in set(_TOKEN.findall(fold(text))) for k in range(shortest, min(longest, len(w)) + 1)}
-        if label:
-            n_toxic += 1
-            toxic.update(stems)
-            of_text.append(stems)
-        else:
-            n_clean += 1
-            clean.update(stems)
+def _beginnings(word: str, shortest: int = 4, longest: int = 16) -> list[str]:
+    return [word[:k] for k in range(shortest, min(longest, len(word)) + 1)]
+
+
+def _occurrences(texts: list[list[str]]) -> Counter:
+    """How often words begin with an entry, and how often two words follow each other."""
+    words = Counter(w for tokens in texts for w in tokens)
+    out = Counter(f"{a} {b}" for tokens in texts for a, b in zip(tokens, tokens[1:]))
+    for word, n in words.items():
+        for beginning in _beginnings(word):
+            out[beginning] += n
+    return out
+
+
+def learn_lexicon(sample: list[tuple[str, int]], entries: int = 400, least_texts: int = 10, least_log_odds: float = 2.5) -> Lexicon:
+    """Entries are taken by the log odds of their rates per word in toxic and in clean texts; an entry must occur in least_texts
+    different toxic texts, between as many different neighbours (the words before and after it), and be likelier than by chance by so many
+    log odds. Equal texts count once. A beginning that never occurs without its next letter is left to the longer one. A seed that
+    does not occur has the median weight of those that do."""
+    of_text = {text: _TOKEN.findall(fold(text)) for text, _ in sample}
+    bad, good = [of_text[t] for t in {t: 0 for t, label in sample if label}], [of_text[t] for t in {t: 0 for t, label in sample if not label}]
     if not sample:
         return Lexicon({})
-    if not n_toxic or not n_clean:
+    if not bad or not good:
         return Lexicon(dict.fromkeys(SEEDS, 4.0), coefficients=UNFITTED)
-    same_as_longer = {s[:-1] for s, n in toxic.items() if len(s) > shortest and toxic[s[:-1]] == n}
-
-    def log_odds(s: str) -> float:
-        return math.log((toxic[s] + 0.5) / (n_toxic + 1)) - math.log((clean[s] + 0.5) / (n_clean + 1))
-
-    def surprise(s: str) -> float:
-        """Twice the log likelihood ratio of the two rates against one common rate."""
-        k, m = toxic[s], clean[s]
-        rate = (k + m) / (n_toxic + n_clean)
-        part = lambda x, n: x * math.log(max(x, 1e-9) / n / rate) + (n - x) * math.log(max(n - x, 1e-9) / n / max(1 - rate, 1e-9))
-        return 2 * (part(k, n_toxic) + part(m, n_clean))
-
-    ranked = sorted((s for s, n in toxic.items() if n >= least_texts and s not in same_as_longer and log_odds(s) > 2), key=lambda s: (-surprise(s), s))
-    holders: dict[str, list[int]] = {s: [] for s in ranked}
-    for k, stems in enumerate(of_text):
-        for s in stems & holders.keys():
-            holders[s].append(k)
-    covered, weights = [0] * len(of_text), {s: round(log_odds(s), 4) for s in SEEDS if log_odds(s) > 0}
-    for s in weights:
-        for k, stems in enumerate(of_text):
-            covered[k] += s in stems
-    for s in ranked:
-        if surprise(s) < 18 or len(weights) == entries:
-            break
-        if s not in weights and sum(covered[k] < 2 for k in holders[s]) >= 3:
-            weights[s] = round(log_odds(s), 4)
-            for k in holders[s]:
-                covered[k] += 1
+    toxic, clean, in_texts = _occurrences(bad), _occurrences(good), Counter()
+    for tokens in bad:
+        in_texts.update({b for w in set(tokens) for b in _beginnings(w)} | {f"{a} {b}" for a, b in zip(tokens, tokens[1:])})
+    n_toxic, n_clean = sum(map(len, bad)) + 1, sum(map(len, good)) + 1
+    rate = {e: math.log((toxic[e] + 0.5) / n_toxic) - math.log((clean[e] + 0.5) / n_clean) for e, n in in_texts.items() if n >= least_texts}
+    same_as_longer = {e[:-1] for e in toxic if toxic[e[:-1]] == toxic[e]}
+    likely = {e for e, r in rate.items() if r >= least_log_odds and e not in same_as_longer}
+    neighbours: dict[str, set] = {e: set() for e in likely}
+    for tokens in bad:
+        around = ["", *tokens, ""]
+        for k, token in enumerate(tokens):
+            for entry in likely.intersection(_beginnings(token)):
+                neighbours[entry].add((around[k], around[k + 2]))
+            if k + 1 < len(tokens) and (entry := f"{token} {tokens[k + 1]}") in likely:
+                neighbours[entry].add((around[k], around[k + 3]))
+    ranked = sorted((e for e in likely if len(neighbours[e]) >= least_texts), key=lambda e: (-rate[e], e))
+    own = {e: round(rate[e], 4) for e in ranked if not any(e != s and e.startswith(s) for s in SEEDS)}
+    known = [own[s] for s in SEEDS if s in own]
+    weights = dict.fromkeys(SEEDS, median(known) if known else 4.0) | dict(list(own.items())[:entries])
     lexicon = Lexicon(weights)
     automaton = lexicon.automaton()
     x = np.array([(1.0, *lexicon.features(text, automaton)) for text, _ in sample])
@@ -153,14 +173,16 @@ def learn_lexicon(sample: list[tuple[str, int]], entries: int = 400, least_texts
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> Column:
     """A column expression of the toxicity of docs' text."""
+    short_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = lexicon.automaton()
         for texts in batches:
-            yield pd.Series([lexicon.score(t or "", automaton) for t in texts], dtype="float64")
+            found = [lexicon.score(t or "", automaton) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])) for t in part.column(0).to_pylist()]
+            yield pa.array(found, pa.float64())
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")(F.coalesce("text", F.lit("")))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(F.coalesce("text", F.lit("")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 6000) -> DataFrame:
