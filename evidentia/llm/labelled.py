@@ -10,7 +10,7 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, most_bytes: int = 64 << 20) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, most_bytes: int = 16 << 20) -> list[tuple[str, int]]:
     """Up to `rows` labels for which `learn` holds, picked by a hash of doc_id, with their whole texts. The ids are
     picked from the labels alone, so at most `rows` of them are broadcast; of each id one text comes back, that of the least hash
     if there are several. Reading stops where the texts have most_bytes together."""

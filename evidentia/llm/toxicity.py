@@ -119,14 +119,8 @@ def _beginnings(word: str, shortest: int = 4, longest: int = 16) -> list[str]:
     return [word[:k] for k in range(shortest, min(longest, len(word)) + 1)]
 
 
-def _occurrences(texts: list[list[str]]) -> Counter:
-    """How often words begin with an entry, and how often two words follow each other."""
-    words = Counter(w for tokens in texts for w in tokens)
-    out = Counter(f"{a} {b}" for tokens in texts for a, b in zip(tokens, tokens[1:]))
-    for word, n in words.items():
-        for beginning in _beginnings(word):
-            out[beginning] += n
-    return out
+def _pairs(tokens: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
 
 
 def learn_lexicon(sample: list[tuple[str, int]], entries: int = 400, least_texts: int = 10, least_log_odds: float = 2.5) -> Lexicon:
@@ -134,17 +128,32 @@ def learn_lexicon(sample: list[tuple[str, int]], entries: int = 400, least_texts
     different toxic texts, between as many different neighbours (the words before and after it), and be likelier than by chance by so many
     log odds. Equal texts count once. A beginning that never occurs without its next letter is left to the longer one. A seed that
     does not occur has the median weight of those that do."""
-    of_text = {text: _TOKEN.findall(fold(text)) for text, _ in sample}
-    bad, good = [of_text[t] for t in {t: 0 for t, label in sample if label}], [of_text[t] for t in {t: 0 for t, label in sample if not label}]
-    if not sample:
+    texts = {text: label for text, label in sample}
+    if not texts:
         return Lexicon({})
-    if not bad or not good:
+    if len(set(texts.values())) < 2:
         return Lexicon(dict.fromkeys(SEEDS, 4.0), coefficients=UNFITTED)
-    toxic, clean, in_texts = _occurrences(bad), _occurrences(good), Counter()
+    # Of toxic texts the words are kept; clean ones are gone through one by one and counted for entries of toxic ones only.
+    bad = [_TOKEN.findall(fold(text)) for text, label in texts.items() if label]
+    toxic, in_texts = Counter(), Counter()
     for tokens in bad:
-        in_texts.update({b for w in set(tokens) for b in _beginnings(w)} | {f"{a} {b}" for a, b in zip(tokens, tokens[1:])})
-    n_toxic, n_clean = sum(map(len, bad)) + 1, sum(map(len, good)) + 1
-    rate = {e: math.log((toxic[e] + 0.5) / n_toxic) - math.log((clean[e] + 0.5) / n_clean) for e, n in in_texts.items() if n >= least_texts}
+        own = Counter(b for w in tokens for b in _beginnings(w))
+        own.update(_pairs(tokens))
+        toxic.update(own)
+        in_texts.update(own.keys())
+    often = {e for e, n in in_texts.items() if n >= least_texts}
+    clean, words, n_clean = Counter(), Counter(), 1
+    for text, label in texts.items():
+        if not label:
+            tokens = _TOKEN.findall(fold(text))
+            n_clean += len(tokens)
+            words.update(tokens)
+            clean.update(often.intersection(own := _pairs(tokens)) and [p for p in own if p in often])
+    for word, n in words.items():
+        for beginning in often.intersection(_beginnings(word)):
+            clean[beginning] += n
+    n_toxic = sum(map(len, bad)) + 1
+    rate = {e: math.log((toxic[e] + 0.5) / n_toxic) - math.log((clean[e] + 0.5) / n_clean) for e in often}
     same_as_longer = {e[:-1] for e in toxic if toxic[e[:-1]] == toxic[e]}
     likely = {e for e, r in rate.items() if r >= least_log_odds and e not in same_as_longer}
     neighbours: dict[str, set] = {e: set() for e in likely}
