@@ -19,6 +19,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(group))
 
 
+def _where(condition: Column, text: Column) -> Column:
+    """The texts in which a dear pattern can match at all; null for the others."""
+    return F.when(condition, text)
+
+
 def _set(*lists: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
 
@@ -29,7 +34,7 @@ def _clean_email(x: Column) -> Column:
 
 def emails(text: Column, html: Column | None = None) -> Column:
     """Addresses in the text and in mailto: links, lower-cased, without those that name an asset file."""
-    in_text = F.transform(found(text, fixed.EMAIL, 0), _clean_email)
+    in_text = F.transform(found(_where(text.contains("@"), text), fixed.EMAIL, 0), _clean_email)
     lists = [in_text]
     if html is not None:
         lists.append(F.filter(F.transform(found(html, "(?i)" + fixed.MAILTO), _clean_email), lambda x: x.contains("@")))
@@ -43,10 +48,12 @@ def phones(text: Column) -> Column:
 
 
 def kvk_numbers(text: Column) -> Column:
+    text = _where(text.rlike(r"(?U)\d{8}"), text)
     return F.filter(_set(*[found(text, p) for p in fixed.KVK_NUMBERS]), lambda x: ~x.startswith("0"))
 
 
 def vat_numbers(text: Column) -> Column:
+    text = _where(text.rlike(r"(?iU)nl\d{9}b\d{2}"), text)
     return _set(*[F.transform(found(text, p), F.upper) for p in fixed.VAT_NUMBERS])
 
 
@@ -109,25 +116,28 @@ def suspicious_price(text: Column) -> Column:
     return F.coalesce(lowest < fixed.SUSPICIOUS_PRICE, F.lit(False))
 
 
-def mentions(text: Column, words: list[str]) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(map(re.escape, dict.fromkeys(words)))), F.lit(False))
+def mentions(text: Column, words: list[str], lowered: bool = False) -> Column:
+    """Whether any of the words occurs, in any case. A text that is in lower case already (lowered) is not lowered again: with several
+    flags of one text, lower it in a projection below."""
+    low = text if lowered else F.lower(text)
+    return F.coalesce(any_of([low.contains(w) for w in dict.fromkeys(words)]), F.lit(False))
 
 
-def opening_soon(text: Column) -> Column:
-    return mentions(text, fixed.OPENING_SOON)
+def opening_soon(text: Column, lowered: bool = False) -> Column:
+    return mentions(text, fixed.OPENING_SOON, lowered)
 
 
-def maintenance(text: Column, status: Column | None = None) -> Column:
-    spoken = mentions(text, fixed.MAINTENANCE)
+def maintenance(text: Column, status: Column | None = None, lowered: bool = False) -> Column:
+    spoken = mentions(text, fixed.MAINTENANCE, lowered)
     return spoken if status is None else spoken | F.coalesce(status == 503, F.lit(False))
 
 
-def delivery_time(text: Column) -> Column:
-    return mentions(text, fixed.DELIVERY_TIME)
+def delivery_time(text: Column, lowered: bool = False) -> Column:
+    return mentions(text, fixed.DELIVERY_TIME, lowered)
 
 
-def pre_order(text: Column) -> Column:
-    return mentions(text, fixed.PRE_ORDER)
+def pre_order(text: Column, lowered: bool = False) -> Column:
+    return mentions(text, fixed.PRE_ORDER, lowered)
 
 
 def whatsapp(html: Column, links: Column | None = None) -> Column:

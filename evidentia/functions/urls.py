@@ -49,15 +49,29 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+def _decoded(part: Column) -> Column:
+    return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(part: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical(url: Column) -> Column:
-    """One form of all spellings of a page's URL: lower host without www., no slash at the end, no fragment, no
-    tracking parameters."""
+    """One form of all spellings of a page's URL: lower host without www., no slash at the end of the path, no fragment. Parameters
+    are decoded and encoded anew; those without a value and those that track are left out, and those of one name stand together
+    where the first of them stood."""
     scheme = F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.\\-]*)://", 1)
-    own_path = path(url)
+    place = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)", 1)
+    own_path = F.regexp_replace(path(url), ";[^/]*$", "")
     own_path = F.when(own_path == "/", own_path).otherwise(F.regexp_replace(own_path, "/$", ""))
-    kept = F.filter(F.split(query(url), "&"), lambda p: p.contains("=") & ~F.lower(F.substring_index(p, "=", 1)).isin(fixed.TRACKING_PARAMETERS) & (F.substring_index(p, "=", -1) != ""))
-    rest = F.array_join(kept, "&")
-    return F.concat(F.lower(scheme), F.lit("://"), F.regexp_replace(F.lower(authority(url)), r"^www\.", ""), own_path, F.when(rest != "", F.concat(F.lit("?"), rest)).otherwise(F.lit("")))
+    given = F.filter(F.split(query(url), "&"), lambda p: p.rlike("^[^=]*=."))
+    pairs = F.transform(given, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("value")))
+    pairs = F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(fixed.TRACKING_PARAMETERS))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+    together = F.flatten(F.transform(names, lambda n: F.filter(pairs, lambda p: p["name"] == n)))
+    rest = F.array_join(F.transform(together, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
+    return F.concat(F.lower(scheme), F.lit("://"), F.regexp_replace(F.lower(place), r"^www\.", ""), own_path, F.when(rest != "", F.concat(F.lit("?"), rest)).otherwise(F.lit("")))
 
 
 def same_site(url: Column, base: Column) -> Column:

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.shared import cut_lineage
 
 
-def crawl_aggregate(pages: DataFrame, by: str, order: str, sets: list[str], flags: list[str]) -> DataFrame:
-    """Per crawl: sorted unions of array columns, any-of of flags, languages in the order first seen, page counts."""
-    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets]
-    anys = [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
-    return pages.groupBy(by).agg(*unions, *anys, F.count_if(F.col("error").isNull()).alias("pages_crawled"), F.count_if(F.col("error").isNotNull()).alias("pages_failed"))
+def crawl_aggregate(pages: DataFrame, by: str, sets: list[str], flags: list[str]) -> DataFrame:
+    """Per crawl, in one pass over its pages: sorted unions of array columns, any-of of flags, and the numbers of pages without
+    and with an error. A value is kept once per crawl and task before values meet."""
+    def named(c: str) -> Column:
+        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("kind"), x.alias("value")))
+
+    none, found = F.array().cast("array<struct<kind:string,value:string>>"), map(named, sets)
+    spread = pages.select(by, *flags, F.col("error").isNull().alias("_ok"), F.posexplode_outer(F.concat(none, *found)).alias("_place", "_found"))
+    first = F.coalesce("_place", F.lit(0)) == 0
+    once = spread.groupBy(by, F.col("_found.kind").alias("_kind"), F.col("_found.value").alias("_value")).agg(
+        *[F.bool_or(f).alias(f) for f in flags], F.count_if(first & F.col("_ok")).alias("pages_crawled"), F.count_if(first & ~F.col("_ok")).alias("pages_failed")
+    )
+    return once.groupBy(by).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("_kind") == c, F.col("_value")))).alias(c) for c in sets],
+        *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags],
+        F.sum("pages_crawled").alias("pages_crawled"), F.sum("pages_failed").alias("pages_failed"),
+    )
+
+
+def crawl_errors(pages: DataFrame, by: str) -> DataFrame:
+    """pages(by, url, error) -> the failed pages: by, url, error."""
+    return pages.filter(F.col("error").isNotNull()).select(by, "url", "error")
 
 
 def first_seen(values: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -35,23 +53,17 @@ def provenance(findings: DataFrame, by: str = "shop_id") -> DataFrame:
 
 def evidence_pages(sources: DataFrame, home: DataFrame, unplaced: DataFrame, by: str = "shop_id") -> DataFrame:
     """provenance's rows turned round: by, url, findings. Shops of which no value has a page get their values
-    (unplaced: by, type, value) under their home page (home: by, url)."""
-    placed = sources.select(by, F.explode("urls").alias("url"), "type", "value").filter("url <> ''")
+    (unplaced: by, type, value) under their home page (home: by, url). What was found is stored, as it is read twice."""
+    placed = cut_lineage(sources.select(by, F.explode("urls").alias("url"), "type", "value").filter("url <> ''"))
     rest = unplaced.join(placed.select(by).distinct(), by, "left_anti").join(home, by)
     return placed.unionByName(rest.select(by, "url", "type", "value")).groupBy(by, "url").agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("findings"))
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """The same rows without their lineage: in the cluster's checkpoint folder, if it has one, else on the executors."""
-    context = rows.sparkSession.sparkContext
-    return rows.checkpoint() if context.getCheckpointDir() else rows.localCheckpoint()
-
-
 def running_progress(pages: DataFrame, by: str, order: list[str], counts: dict[str, str]) -> DataFrame:
     """Pages with running totals over a crawl: done, and the sums of the given columns. Pages are dealt by ranges of the order and
     stored so, and each range of a crawl goes on from the totals of those before it: no task has all of a large crawl."""
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _cut(pages.repartitionByRange(parts, order[0]).withColumn("_range", F.spark_partition_id()))
+    dealt = cut_lineage(pages.repartitionByRange(parts, order[0]).withColumn("_range", F.spark_partition_id()))
     sums = {"done": F.count(F.lit(1)), **{out: F.sum(c) for out, c in counts.items()}}
     earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(by, "_range").agg(*[v.alias(f"_{k}") for k, v in sums.items()])
@@ -63,29 +75,62 @@ def running_progress(pages: DataFrame, by: str, order: list[str], counts: dict[s
     return placed.withColumns(whole).drop("_by", "_from", "_range", *[f"_{k}" for k in sums])
 
 
-#: A plan holds so many levels of a crawl at most; then what was reached is stored and read again.
-LEVELS_A_PLAN = 4
+def running_distinct(found: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """found(by, order, value, ...) -> by, order, and how many distinct values a crawl has found up to that page. Only a value's first
+    page counts, so this is a running total of first finds."""
+    firsts = found.groupBy(by, value).agg(F.min(order).alias(order)).groupBy(by, order).agg(F.count("*").alias("_fresh"))
+    pages = found.select(by, order).distinct().join(firsts, [by, order], "left").withColumn("_fresh", F.coalesce("_fresh", F.lit(0)))
+    return running_progress(pages, by, [order], {"distinct": "_fresh"}).select(by, order, "distinct")
+
+
+PRIORITY, NORMAL, PRODUCT = 1, 2, 3
+
+
+def crawl_order(start: DataFrame, links: DataFrame, failed: DataFrame | None = None, max_pages: int = 50) -> DataFrame:
+    """The pages that a crawl takes: start(site, url), links(src, dst), failed(url) -> site, url, depth, kind, place (from 1).
+
+    A site has three queues, first in first out: priority pages, others, product pages. A page is taken from the first queue that has
+    one; its links within the site, in the order of their URLs, join their queues unless they were in one before. Failed pages
+    give no links and use none of the budget of max_pages; product pages end when a fifth of the budget (three at least) was taken.
+
+    All sites move at once, by whole runs of pages: a priority queue is taken as it stands, and another queue up to the first
+    page that brings a link for a queue before it. So rounds are few, however many pages and sites there are; a round holds each site's
+    links of at most max_pages pages and failed ones. What is known is stored after each round."""
+    site_url, most_products = ["site", "url"], max(3, max_pages // 5)
+    edges = links.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst"))
+    edges = cut_lineage(edges.filter(urls.scrapeable(F.col("dst"))).distinct())
+    bad = failed.select(urls.canonical(F.col("url")).alias("url")).distinct() if failed is not None else None
 
+    def entries(rows: DataFrame) -> DataFrame:
+        """Queue rows (site, url, depth, kind, seq) with what is known of their pages."""
+        rows = rows.withColumns({"product": urls.product_page(F.col("url")), "taken": F.lit(False), "now": F.lit(False), "place": F.lit(None).cast("long")})
+        return rows.withColumn("ok", F.lit(True)) if bad is None else rows.join(bad.withColumn("_bad", F.lit(True)), "url", "left").withColumn("ok", F.col("_bad").isNull()).drop("_bad")
 
-def crawl_order(start: DataFrame, links: DataFrame, max_pages: int = 50) -> DataFrame:
-    """The pages that a crawl takes: start(site, url), links(src, dst) -> site, url, depth, kind, place.
-    Links are followed level by level within the site, each page once, however deep; of all reached pages the crawl takes
-    priority pages first, then others, then product pages, of these at most a fifth of the budget or three."""
-    reached = start.select("site", urls.canonical(F.col("url")).alias("url"), F.lit(0).alias("depth"))
-    edges = links.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst")).filter("src <> dst").filter(urls.scrapeable(F.col("dst"))).distinct().persist()
-    level, depth = reached, 0
+    # now: whether a page was taken in the last round
+    columns = ["site", "url", "depth", "kind", "seq", "product", "ok", "taken", "now", "place"]
+    known = start.select("site", urls.canonical(F.col("url")).alias("url")).distinct().withColumns({"depth": F.lit(0), "kind": F.lit(NORMAL)})
+    known = cut_lineage(entries(known.withColumn("seq", F.row_number().over(Window.partitionBy("site").orderBy("url")).cast("long"))).select(columns))
+    taken, ok, kind, waiting = F.col("taken"), F.col("ok"), F.col("kind"), ~F.col("taken")
+    by_seq = Window.partitionBy("site").orderBy("seq")
+    earlier = by_seq.rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        depth += 1
-        found = level.join(edges, level["url"] == edges["src"]).filter(urls.same_site(F.col("dst"), F.col("site"))).select("site", F.col("dst").alias("url")).distinct()
-        level = found.join(reached, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
-        if depth % LEVELS_A_PLAN == 0:
-            reached, level = _cut(reached), _cut(level)
-    kind = F.when(F.col("depth") == 0, 0).when(urls.priority_page(F.col("url")), 1).when(urls.product_page(F.col("url")), 3).otherwise(2)
-    ranked = reached.withColumn("kind", kind)
-    ranked = ranked.withColumn("_product", F.row_number().over(Window.partitionBy("site", "kind").orderBy("depth", "url")))
-    ranked = ranked.filter((F.col("kind") < 3) | (F.col("_product") <= max(3, max_pages // 5)))
-    place = F.row_number().over(Window.partitionBy("site").orderBy("kind", "depth", "url"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= max_pages).select("site", "url", "depth", "kind", "place")
+        sites = known.groupBy("site").agg(
+            F.count_if(taken & ok).alias("_pages"), F.count_if(taken & ok & F.col("product")).alias("_products"), F.min(F.when(waiting, kind)).alias("_turn"), F.max("seq").alias("_last")
+        )
+        turn = known.filter(waiting).join(sites, "site").filter(kind == F.col("_turn")).withColumns({
+            "_rank": F.row_number().over(by_seq), "_before": F.coalesce(F.sum(ok.cast("int")).over(earlier), F.lit(0)),
+            "_sold": F.coalesce(F.sum((ok & F.col("product")).cast("int")).over(earlier), F.lit(0)),
+        })
+        turn = turn.filter((F.col("_pages") + F.col("_before") < max_pages) & ((kind < PRODUCT) | (F.col("_products") + F.col("_sold") < most_products)))
+        found = turn.filter(ok).join(edges, F.col("url") == F.col("src")).filter(urls.same_site(F.col("dst"), F.col("site")))
+        fresh = found.groupBy("site", F.col("dst").alias("url")).agg(F.min(F.struct("_rank", "depth", "_turn", "_last")).alias("_by")).join(known.select(site_url), site_url, "left_anti")
+        fresh = fresh.select("site", "url", "_by.*").withColumn("kind", F.when(urls.priority_page(F.col("url")), PRIORITY).when(urls.product_page(F.col("url")), PRODUCT).otherwise(NORMAL))
+        ends = fresh.filter(kind < F.col("_turn")).groupBy("site").agg(F.min("_rank").alias("_end"))
+        within = F.col("_end").isNull() | (F.col("_rank") <= F.col("_end"))
+        took = turn.join(ends, "site", "left").filter(within).select("site", "url", F.when(ok, F.col("_pages") + F.col("_before") + 1).alias("_place"), F.lit(True).alias("_took"))
+        order = Window.partitionBy("site").orderBy("_rank", "url")
+        joined = fresh.join(ends, "site", "left").filter(within).select("site", "url", (F.col("depth") + 1).alias("depth"), "kind", (F.col("_last") + F.row_number().over(order)).alias("seq"))
+        marked = known.drop("now").join(took, site_url, "left").withColumns({"taken": taken | F.col("_took").isNotNull(), "place": F.coalesce("place", "_place"), "now": F.col("_took").isNotNull()})
+        known = cut_lineage(marked.select(columns).unionByName(entries(joined).select(columns)))
+        if known.filter("now").isEmpty():
+            return known.filter(taken & ok).select("site", "url", "depth", "kind", "place")

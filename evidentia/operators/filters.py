@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.shared import cut_lineage
 
 _NUMBER = re.compile(r"([><=!]+)?\s*(\d+(?:\.\d+)?)")
 
@@ -63,6 +64,8 @@ def risk_order(level: Column) -> Column:
 
 def sort_key(name: str) -> Column:
     """The overview's sort key of a filter name, with '' or 0 for null."""
+    if name == "scanned":
+        return F.coalesce(F.date_format("last_scanned", "yyyy-MM-dd HH:mm:ss"), F.lit(""))
     kind, column = OVERVIEW_FILTERS.get(name, ("text", name))
     if kind == "risk":
         return risk_order(F.col(column))
@@ -78,6 +81,21 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20)
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+#: The names by which the overview can be sorted.
+SORT_KEYS = (*OVERVIEW_FILTERS, "scanned")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """All rows with their place in an order, from 1; the order must end in a unique key. Rows are dealt by ranges of the order and stored
+    so, and each range goes on from the number of rows before it: no task orders everything."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = ranges.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, within).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def scans_matching(scans: DataFrame, shop_id: int | None = None, status: str | None = None) -> DataFrame:
     """Scans with all given properties; 0 and '' are not given."""
     if shop_id:

@@ -25,17 +25,24 @@ def overview_order() -> list[Column]:
 
 
 def with_stats(shops: DataFrame, scrape: DataFrame, whois: DataFrame, ssl: DataFrame, trustmark: DataFrame, tech: DataFrame, scam: DataFrame, status: DataFrame) -> DataFrame:
-    """shops with the statistics of the latest record of each kind; null where a shop has none."""
+    """shops with the statistics of the latest record of each kind; null where a shop has none. Within a record, missing page flags are false,
+    missing lists empty, missing trustmark counts 0, and empty names null."""
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     parts = [
         latest_by_id(scrape, "shop_id").select(
             "shop_id", *[size(c).alias(c) for c in ("emails", "phones", "addresses", "kvk", "btw", "iban")],
-            F.col("has_contact").alias("contact"), F.col("has_privacy").alias("privacy"), F.col("has_terms").alias("terms"), F.col("has_return").alias("returns"),
+            flag("has_contact").alias("contact"), flag("has_privacy").alias("privacy"), flag("has_terms").alias("terms"), flag("has_return").alias("returns"),
+            "is_opening_soon", "is_maintenance", "has_delivery_time", "has_preorder", "has_whatsapp_contact", "has_suspicious_prices",
+            F.coalesce("detected_languages", F.array().cast("array<string>")).alias("detected_languages"),
         ),
-        latest_by_id(whois, "shop_id").select("shop_id", "registrar", F.col("domain_age_days").alias("domain_age")),
-        latest_by_id(ssl, "shop_id").select("shop_id", F.col("has_ssl").alias("ssl_valid"), F.col("issuer").alias("ssl_issuer")),
-        latest_by_id(trustmark, "shop_id").select("shop_id", F.col("total_verified").alias("trustmarks_verified"), "claimed_not_verified", "trustpilot_score"),
-        latest_by_id(tech, "shop_id").select("shop_id", F.coalesce("ecommerce_platform", "cms").alias("platform")),
+        latest_by_id(whois, "shop_id").select("shop_id", given("registrar").alias("registrar"), F.col("domain_age_days").alias("domain_age"), F.col("registration_date").cast("string").alias("registration_date")),
+        latest_by_id(ssl, "shop_id").select("shop_id", flag("has_ssl").alias("ssl_valid"), F.col("issuer").alias("ssl_issuer")),
+        latest_by_id(trustmark, "shop_id").select(
+            "shop_id", F.coalesce("total_verified", F.lit(0)).alias("trustmarks_verified"), F.coalesce("claimed_not_verified", F.lit(0)).alias("claimed_not_verified"), "trustpilot_score"
+        ),
+        latest_by_id(tech, "shop_id").select("shop_id", F.coalesce(given("ecommerce_platform"), given("cms")).alias("platform")),
         latest_by_id(scam, "shop_id").select("shop_id", F.col("flagged").alias("scam_flagged"), F.col("total_hits").alias("scam_hits")),
         latest(status, "shop_id", F.col("checked_at").desc_nulls_last(), F.col("id").desc()).select("shop_id", "is_online", F.col("checked_at").alias("status_checked_at")),
     ]
@@ -56,6 +63,16 @@ def detail(shops: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def shop_of(shops: DataFrame, key: int) -> DataFrame:
+    """The shop of an id: one row or none, read with the condition pushed to the files."""
+    return shops.filter(F.col("id") == key)
+
+
+def detail_json(details: DataFrame) -> DataFrame:
+    """detail's rows as JSON texts: id, json."""
+    return details.select("id", F.to_json(F.struct(*details.columns)).alias("json"))
+
+
 def yes_no(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit(False)), "Ja").otherwise("Nee")
 

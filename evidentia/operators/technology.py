@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.urls import any_of
 
 
 def lower_pattern(pattern: str) -> str:
@@ -15,17 +16,53 @@ def lower_pattern(pattern: str) -> str:
     return re.sub(r"\\[A-Za-z]|[^\\]", lambda m: m[0] if m[0].startswith("\\") else m[0].lower(), pattern)
 
 
-def detected(html: Column, headers: Column | None = None) -> Column:
-    """The technologies of a page in the order of the signature table: array<struct<number, category, name>>.
-    A signature is one alternation over the lower-cased page, so all of them run in one projection and no
-    page is joined to the table."""
-    low, found = F.lower(html), []
-    for number, (category, name, patterns, header_names) in enumerate(fixed.TECHNOLOGIES):
-        hit = low.rlike("|".join(f"(?:{lower_pattern(p)})" for p in patterns))
-        if headers is not None and header_names:
-            hit = hit | F.exists(F.map_keys(headers), lambda k: F.lower(k).rlike("|".join(map(re.escape, header_names))))
-        found.append(F.when(hit, F.struct(F.lit(number).alias("number"), F.lit(category).alias("category"), F.lit(name).alias("name"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+def literal_start(pattern: str) -> tuple[str, bool]:
+    """The literal text that a pattern begins with, and whether that is all of it."""
+    out, k = "", 0
+    while k < len(pattern):
+        if pattern[k] == "\\" and k + 1 < len(pattern) and not pattern[k + 1].isalnum():
+            out, k = out + pattern[k + 1], k + 2
+        elif pattern[k] in "\\.[](){}*+?|^$":
+            return (out[:-1] if pattern[k] in "*+?{" else out), False
+        else:
+            out, k = out + pattern[k], k + 1
+    return out, True
+
+
+def signature(low: Column, patterns: list[str]) -> Column:
+    """Whether any pattern matches a lower-cased page. Most are literals and looked for as such; a true pattern runs only on pages that
+    hold its literal beginning."""
+    hits = []
+    for pattern in dict.fromkeys(map(lower_pattern, patterns)):
+        start, whole = literal_start(pattern)
+        hits.append(low.contains(start) if whole else low.contains(start) & low.rlike(pattern))
+    return any_of(hits)
+
+
+def signatures(html: Column, headers: Column | None = None, lowered: bool = False) -> list[tuple[str, str, Column]]:
+    """(category, name, whether the page or one of its headers, as "name: value", shows it) in the order of the signature table."""
+    low, lines, out = html if lowered else F.lower(html), None, []
+    if headers is not None:
+        lines = F.lower(F.array_join(F.transform(F.map_entries(headers), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n"))
+    for category, name, patterns, marks in fixed.TECHNOLOGIES:
+        hit = F.coalesce(signature(low, patterns), F.lit(False))
+        if lines is not None and marks:
+            hit = hit | F.coalesce(any_of([lines.contains(m.lower()) for m in marks]), F.lit(False))
+        out.append((category, name, hit))
+    return out
+
+
+def detected(html: Column, headers: Column | None = None, lowered: bool = False) -> Column:
+    """The technologies of a page in the order of the signature table: array<struct<number, category, name>>. All signatures run in
+    one projection and no page is joined to the table; give a page in lower case (lowered) from a projection below."""
+    none = F.array().cast("array<struct<number:int,category:string,name:string>>")
+    entry = lambda k, c, n: F.array(F.struct(F.lit(k).alias("number"), F.lit(c).alias("category"), F.lit(n).alias("name")))
+    return F.concat(*[F.when(hit, entry(k, category, name)).otherwise(none) for k, (category, name, hit) in enumerate(signatures(html, headers, lowered))])
+
+
+def detected_names(html: Column, headers: Column | None = None, sign: str = "|", lowered: bool = False) -> Column:
+    """The names of a page's technologies, joined."""
+    return F.concat_ws(sign, *[F.when(hit, F.lit(name)) for _, name, hit in signatures(html, headers, lowered)])
 
 
 def first_of(found: Column, category: str) -> Column:
@@ -35,8 +72,10 @@ def first_of(found: Column, category: str) -> Column:
 
 def by_category(found: Column) -> Column:
     """category -> names, in the order of the signature table."""
-    categories = list(dict.fromkeys(t[0] for t in fixed.TECHNOLOGIES))
-    pairs = [F.struct(F.lit(c).alias("k"), F.transform(F.filter(found, lambda x, c=c: x["category"] == c), lambda x: x["name"]).alias("v")) for c in categories]
+    def names(category: str) -> Column:
+        return F.transform(F.filter(found, lambda x: x["category"] == category), lambda x: x["name"])
+
+    pairs = [F.struct(F.lit(c).alias("k"), names(c).alias("v")) for c in dict.fromkeys(t[0] for t in fixed.TECHNOLOGIES)]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.size(p["v"]) > 0))
 
 
@@ -67,7 +106,8 @@ def tracker_totals(pages: DataFrame, by: str) -> DataFrame:
 
 def shared_ids(ids: DataFrame, shop: str, value: str) -> DataFrame:
     """Pairs of shops (shop, other, value) that have a value in common, by an equi-join on the value. ids has one
-    row for each shop and value at least; both directions are given."""
+    row for each shop and value at least; both directions are given. A value of n shops gives n * (n - 1) rows: for values that
+    many shops have, shops_of_shared_ids names the same partners in n rows."""
     once = ids.select(F.col(shop), F.col(value)).distinct()
     other = once.select(F.col(shop).alias("other"), F.col(value))
     return once.join(other, value).filter(F.col(shop) != F.col("other")).select(shop, "other", value)
@@ -87,12 +127,37 @@ def shops_of_shared_ids(ids: DataFrame, shop: str, value: str) -> DataFrame:
     return once.join(shared, value).select(value, shop, "shops")
 
 
-def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, text: str) -> DataFrame:
-    """Shops whose text contains another shop's value, in any case: the search by substring. A table of distinct values
-    is compared with every text, so it suits value lists of bounded size; shared_ids is the form for large tables."""
+def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, text: str, most: int = 1000) -> DataFrame:
+    """Shops whose text contains another shop's value, in any case: the search by substring, for a list of at most `most` values,
+    which is checked. Every text is compared with each value, so longer lists are searched by shops_of_shared_ids."""
     needles = ids.select(F.col(shop), F.col(value)).distinct()
+    if needles.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} values: shops_of_shared_ids is the form for such lists")
     hay = flat.select(F.col(shop).alias("other"), F.col(text))
-    return needles.join(hay, (F.col(shop) != F.col("other")) & F.lower(text).contains(F.lower(value))).select(shop, "other", value).distinct()
+    return hay.join(F.broadcast(needles), (F.col(shop) != F.col("other")) & F.lower(text).contains(F.lower(value))).select(shop, "other", value).distinct()
+
+
+def cross_references(ids: DataFrame, shops: DataFrame, shop: str, value: str) -> DataFrame:
+    """The shops of each shared value with their domains: value, shop, domain, url, shops; each shop once for a value, and only
+    shops that there are. shops(id, domain, url)."""
+    return shops_of_shared_ids(ids, shop, value).join(shops.select(F.col("id").alias(shop), "domain", "url"), shop).select(value, shop, "domain", "url", "shops")
+
+
+def tracker_records(ids: DataFrame, by: str) -> DataFrame:
+    """ids(by, platform, display_id) -> one record of each shop: its platforms, its distinct ids as one text, and their numbers."""
+    once = ids.select(by, "platform", "display_id").distinct()
+    return once.groupBy(by).agg(
+        F.array_sort(F.collect_set("platform")).alias("trackers"), F.array_join(F.array_sort(F.collect_set("display_id")), " ").alias("all_ids_flat"),
+        F.countDistinct("platform").alias("total_trackers"), F.countDistinct("display_id").alias("total_unique_ids"),
+    )
+
+
+def reverse_lookup_ids(detected_ids: DataFrame, looked_up: DataFrame, by: str, most: int = 3) -> DataFrame:
+    """The ids of which other domains are looked up: of those detected and those that a lookup gave, (by, id), each once, the
+    Analytics and Tag Manager ids, the first `most` of a shop in their order."""
+    both = detected_ids.select(by, "id").unionByName(looked_up.select(by, "id")).distinct()
+    wanted = both.filter(F.col("id").startswith("UA-") | F.col("id").startswith("GTM-"))
+    return wanted.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("id"))).filter(F.col("place") <= most)
 
 
 def without_own(items: Column, own: Column) -> Column:
@@ -103,8 +168,6 @@ def without_own(items: Column, own: Column) -> Column:
 def other_sites(results: DataFrame, by: str, most: int = 10) -> DataFrame:
     """results(by, place, url, title) -> the first `most` sites of a search, each domain once, without search engines and the
     like: by, place, domain, url, title (at most 100 letters)."""
-    from pyspark.sql import Window
-
     from ..functions import urls
 
     sites = results.filter(F.col("url").startswith("http")).withColumn("domain", urls.host(F.col("url")))

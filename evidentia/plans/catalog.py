@@ -4,6 +4,7 @@ shown on literal rows, given to Spark and to SQL alike."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from ..functions import fixed, text, urls
 from ..functions import html as html_functions
 from ..operators import crawl, evidence, filters, latest, overview, report, risk, technology
 from ..sources import ingest
+from ..sources.shared import shared_folder
 from ..streaming import status as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,27 +202,141 @@ def import_anti(spark, d):
     return ingest.new_shops(listed, known).groupBy(F.col("domain")).agg(F.count("*").alias("n"))
 
 
-def placed(rows, order):
-    """The first page of an order, with places."""
-    return filters.page(rows, order, 1, 100).withColumn("place", F.row_number().over(Window.orderBy(*order)))
-
-
-@query(f"""SELECT id, row_number() OVER (ORDER BY CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, domain_age DESC, id) AS place
-           FROM {SHOPS} ORDER BY place LIMIT 100""")
+@query(f"""SELECT id, row_number() OVER (ORDER BY CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, domain_age DESC, id) AS place FROM {SHOPS}""")
 def client_sort(spark, d):
-    return placed(shops(spark, d), [filters.sort_key("risk"), filters.sort_key("age").desc(), F.col("id")]).select("id", "place")
+    return filters.numbered(shops(spark, d), [filters.sort_key("risk"), filters.sort_key("age").desc(), F.col("id")]).select("id", "place")
 
 
-@query(f"""SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 77 THEN 0 WHEN platform = 'HOUSEHOLD' THEN 1 ELSE 2 END, domain, id) AS place FROM {SHOPS} ORDER BY place LIMIT 100""")
+@query(f"""SELECT id, row_number() OVER (ORDER BY CASE WHEN id = 77 THEN 0 WHEN platform = 'HOUSEHOLD' THEN 1 ELSE 2 END, domain, id) AS place FROM {SHOPS}""")
 def pin_to_top(spark, d):
-    return placed(shops(spark, d), [filters.pinned_first(F.col("id") == 77, F.col("platform") == "HOUSEHOLD"), F.col("domain"), F.col("id")]).select("id", "place")
+    return filters.numbered(shops(spark, d), [filters.pinned_first(F.col("id") == 77, F.col("platform") == "HOUSEHOLD"), F.col("domain"), F.col("id")]).select("id", "place")
+
+
+# Evidence records made of orders: which orders are records of a kind, their columns, and the statistics that SQL expects of the latest.
+_some = lambda n: f"slice(array('a', 'b', 'c', 'd'), 1, cast({n} AS int))"
+FLAGS = {"is_opening_soon": "o_orderkey % 7 = 1", "is_maintenance": "o_orderkey % 11 = 1", "has_delivery_time": "o_custkey % 2 = 1", "has_preorder": "o_custkey % 5 = 2", "has_whatsapp_contact": "o_orderkey % 6 = 2", "has_suspicious_prices": "o_totalprice < 50000"}
+RECORDS = {
+    "scrape": ("o_orderkey % 2 = 0", {
+        "emails": _some("o_orderkey % 4"), "phones": _some("o_orderkey % 3"), "addresses": _some("o_custkey % 2"), "kvk": _some("least(4, o_orderkey % 5)"), "btw": f"CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE {_some('o_custkey % 4')} END",
+        "iban": _some("o_custkey % 3"), "has_contact": "nullif(o_orderkey % 3 = 1, false)", "has_privacy": "nullif(o_orderkey % 5 = 1, false)", "has_terms": "o_custkey % 3 = 1", "has_return": "o_custkey % 7 = 1", **FLAGS,
+        "detected_languages": "CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE slice(array('nl', 'en', 'de'), 1, cast(o_orderkey % 4 AS int)) END",
+    }, {
+        "emails": "(o_orderkey % 4)::INTEGER", "phones": "(o_orderkey % 3)::INTEGER", "addresses": "(o_custkey % 2)::INTEGER", "kvk": "least(4, o_orderkey % 5)::INTEGER", "btw": "(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 4 END)::INTEGER",
+        "iban": "(o_custkey % 3)::INTEGER", "contact": "o_orderkey % 3 = 1", "privacy": "o_orderkey % 5 = 1", "terms": "o_custkey % 3 = 1", "returns": "o_custkey % 7 = 1", **FLAGS,
+        "detected_languages": "CASE WHEN o_custkey % 9 = 0 THEN '' ELSE array_to_string((['nl', 'en', 'de'])[1:(o_orderkey % 4)], '|') END",
+    }),
+    "whois": ("o_orderkey % 3 = 0", {"registrar": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END", "domain_age_days": "cast(o_orderkey % 1500 AS int)", "registration_date": "cast(o_orderdate AS date)"},
+              {"registrar": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END", "domain_age": "(o_orderkey % 1500)::INTEGER", "registration_date": "o_orderdate::DATE::VARCHAR"}),
+    "ssl": ("o_orderkey % 3 = 1", {"has_ssl": "nullif(o_orderkey % 2 = 0, false)", "issuer": "o_orderpriority"}, {"ssl_valid": "o_orderkey % 2 = 0", "ssl_issuer": "o_orderpriority"}),
+    "trustmark": ("o_orderkey % 4 = 0", {"total_verified": "nullif(cast(o_orderkey % 3 AS int), 0)", "claimed_not_verified": "nullif(cast(o_custkey % 2 AS int), 0)", "trustpilot_score": "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE cast(o_custkey % 50 AS double) / 10 END"},
+                  {"trustmarks_verified": "(o_orderkey % 3)::INTEGER", "claimed_not_verified": "(o_custkey % 2)::INTEGER", "trustpilot_score": "CASE WHEN o_custkey % 3 <> 0 THEN (o_custkey % 50)::DOUBLE / 10 END"}),
+    "tech": ("o_orderkey % 5 = 0", {"ecommerce_platform": "CASE WHEN o_custkey % 3 = 0 THEN 'Shopify' ELSE '' END", "cms": "CASE WHEN o_custkey % 4 = 0 THEN 'WordPress' END"},
+             {"platform": "CASE WHEN o_custkey % 3 = 0 THEN 'Shopify' WHEN o_custkey % 4 = 0 THEN 'WordPress' END"}),
+    "scam": ("o_orderkey % 7 = 0", {"flagged": "o_totalprice > 200000", "total_hits": "cast(o_orderkey % 6 AS int)"}, {"scam_flagged": "o_totalprice > 200000", "scam_hits": "(o_orderkey % 6)::INTEGER"}),
+}
+_BASE = ["id", "domain", "url", "risk_level"]
+_STATS = [c for _, _, stats in RECORDS.values() for c in stats]
+OVERVIEW = f"(SELECT {', '.join('s.' + c for c in _BASE)}, l.last_scanned, l.shop_id IS NOT NULL AS has_scan, {', '.join(f'{k}.{c}' for k, (_, _, stats) in RECORDS.items() for c in stats)}, e.is_online, e.checked_at AS status_checked_at FROM {SHOPS} s LEFT JOIN {LAST} l ON s.id = l.shop_id " + " ".join(
+    f"LEFT JOIN (SELECT o_custkey AS shop_id, {', '.join(f'{x} AS {c}' for c, x in stats.items())} FROM orders WHERE {where} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) {k} ON s.id = {k}.shop_id"
+    for k, (where, _, stats) in RECORDS.items()
+) + f" LEFT JOIN (SELECT * FROM {CHECKS} QUALIFY row_number() OVER (PARTITION BY shop_id ORDER BY checked_at DESC, id DESC) = 1) e ON s.id = e.shop_id)"
+
+
+def full_overview(spark, d):
+    """The overview with the statistics of eight kinds of records."""
+    o = table(spark, d, "orders")
+    made = {k: o.filter(where).selectExpr("o_orderkey AS id", "o_custkey AS shop_id", *[f"{x} AS {c}" for c, x in columns.items()]) for k, (where, columns, _) in RECORDS.items()}
+    return overview.with_stats(overview.overview(shops(spark, d).select(_BASE), scans(spark, d)), **made, status=checks(spark, d))
+
+
+@query(f"SELECT * FROM {OVERVIEW}")
+def overview_full(spark, d):
+    return full_overview(spark, d).withColumn("detected_languages", joined(F.col("detected_languages")))
+
+
+_CELLS = {
+    "text": "coalesce({c}::VARCHAR, '')", "risk": "coalesce({c}, 'onbekend')", "blank": "CASE WHEN {c} IS NULL OR {c} = 0 THEN '' ELSE {c}::VARCHAR END", "yes": "CASE WHEN {c} THEN 'Ja' ELSE 'Nee' END",
+    "three": "CASE WHEN {c} THEN 'Ja' WHEN NOT {c} THEN 'Nee' ELSE '' END", "number": "coalesce({c}, 0)::BIGINT", "time": "coalesce(strftime({c}, '%Y-%m-%d %H:%M:%S'), '')",
+}
 
 
-@query(f"""SELECT domain AS "Domein", risk_level AS "Risico", platform AS "Platform", CASE WHEN last_scanned IS NULL THEN '' ELSE strftime(last_scanned, '%Y-%m-%d %H:%M:%S') END AS "Laatste scan",
-           'Nee' AS "SSL geldig", '' AS "Online", 0::BIGINT AS "E-mails (aantal)" FROM {SHOPS} s LEFT JOIN {LAST} l ON s.id = l.shop_id""")
+@query("SELECT " + ", ".join(_CELLS[kind].format(c=c) + f' AS "{label}"' for label, kind, c in overview.EXPORT) + f" FROM {OVERVIEW}")
 def export_standard(spark, d):
-    rows = overview.export_rows(overview.overview(shops(spark, d), scans(spark, d)))
-    return rows.select("Domein", "Risico", "Platform", "Laatste scan", "SSL geldig", "Online", "E-mails (aantal)")
+    return overview.export_rows(full_overview(spark, d))
+
+
+_SQL_KEYS = {"risk": "CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END", "scanned": "coalesce(strftime(last_scanned, '%Y-%m-%d %H:%M:%S'), '')"} | {
+    k: {"text": f"coalesce({c}, '')", "number": f"coalesce({c}, 0)::DOUBLE", "bool": f"coalesce({c}, false)::INTEGER"}[kind] for k, (kind, c) in filters.OVERVIEW_FILTERS.items() if kind != "risk"
+}
+
+
+@query("SELECT id, " + ", ".join(f'{_SQL_KEYS[k]} AS "{k}"' for k in filters.SORT_KEYS) + f" FROM {OVERVIEW}")
+def sort_keys(spark, d):
+    return full_overview(spark, d).select("id", *[filters.sort_key(k).alias(k) for k in filters.SORT_KEYS])
+
+
+SORTED = {"tp": "desc", "scanned": "asc", "registrar": "desc", "emails": "asc"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS key, id, row_number() OVER (ORDER BY {_SQL_KEYS[k]} {way}, id) AS place FROM {OVERVIEW}" for k, way in SORTED.items()))
+def sorted_overview(spark, d):
+    rows = full_overview(spark, d).select("id", *[filters.sort_key(k).alias(k) for k in SORTED])
+    each = [filters.numbered(rows, [F.col(k).desc() if way == "desc" else F.col(k).asc(), F.col("id")]).select(F.lit(k).alias("key"), "id", "place") for k, way in SORTED.items()]
+    return each[0].union(each[1]).union(each[2]).union(each[3])
+
+
+ASKED = {
+    "domain": "#0000", "risk": "high", "platform": "shop", "age": "<900", "emails": ">1", "phones": "2", "addresses": "=1", "kvk": "!=0", "btw": ">=2", "iban": "<2", "keurm": "1", "vals": "=1", "tp": ">2.5",
+    "registrar": "URGENT", "ssl": "ja", "contact": "nee", "privacy": "ja", "terms": "nee", "returns": "ja",
+}
+_SQL_ASKED = {
+    "domain": "contains(lower(domain), '#0000')", "risk": "risk_level = 'high'", "platform": "contains(lower(coalesce(platform, '')), 'shop')", "age": "coalesce(domain_age, 0) < 900", "emails": "coalesce(emails, 0) > 1",
+    "phones": "coalesce(phones, 0) >= 2", "addresses": "coalesce(addresses, 0) = 1", "kvk": "coalesce(kvk, 0) <> 0", "btw": "coalesce(btw, 0) >= 2", "iban": "coalesce(iban, 0) < 2", "keurm": "coalesce(trustmarks_verified, 0) >= 1",
+    "vals": "coalesce(claimed_not_verified, 0) = 1", "tp": "coalesce(trustpilot_score, 0) > 2.5", "registrar": "contains(lower(coalesce(registrar, '')), 'urgent')", "ssl": "coalesce(ssl_valid, false)",
+    "contact": "NOT coalesce(contact, false)", "privacy": "coalesce(privacy, false)", "terms": "NOT coalesce(terms, false)", "returns": "coalesce(returns, false)",
+}
+
+
+@query(f"SELECT id, {', '.join(f'{x} AS {k}' for k, x in _SQL_ASKED.items())} FROM {OVERVIEW}")
+def each_column_filter(spark, d):
+    return full_overview(spark, d).select("id", *[filters.column_filters({k: v}).alias(k) for k, v in ASKED.items()])
+
+
+@query(f"SELECT id, domain, url FROM {SHOPS} WHERE id = 7")
+def shop_by_id(spark, d):
+    return overview.shop_of(shops(spark, d), 7).select("id", "domain", "url")
+
+
+@query(f"""SELECT v, shop_id, domain, url, shops FROM (SELECT *, count(*) OVER (PARTITION BY v) AS shops FROM (SELECT DISTINCT shop_id, 'GTM-K' || k AS v FROM {CHECKS} WHERE k IS NOT NULL)) JOIN {SHOPS} s ON shop_id = s.id WHERE shops > 1""")
+def tracker_xref_domains(spark, d):
+    ids = checks(spark, d).filter("k is not null").select("shop_id", F.concat(F.lit("GTM-K"), "k").alias("v"))
+    return technology.cross_references(ids, shops(spark, d), "shop_id", "v")
+
+
+TRACKER_ROWS = f"(SELECT shop_id, CASE WHEN id % 2 = 0 THEN 'google_tag_manager' ELSE 'google_analytics' END AS platform, CASE WHEN id % 2 = 0 THEN 'GTM-K' ELSE 'UA-' END || k AS display_id FROM {CHECKS} WHERE k IS NOT NULL)"
+
+
+def tracker_rows(spark, d):
+    return checks(spark, d).filter("k is not null").selectExpr("shop_id", "CASE WHEN id % 2 = 0 THEN 'google_tag_manager' ELSE 'google_analytics' END AS platform", "CASE WHEN id % 2 = 0 THEN 'GTM-K' ELSE 'UA-' END || k AS display_id")
+
+
+@query(f"""SELECT shop_id, string_agg(DISTINCT platform, '|' ORDER BY platform) AS trackers, string_agg(DISTINCT display_id, ' ' ORDER BY display_id) AS all_ids_flat, count(DISTINCT platform) AS total_trackers,
+           count(DISTINCT display_id) AS total_unique_ids FROM {TRACKER_ROWS} GROUP BY 1""")
+def tracker_records(spark, d):
+    return technology.tracker_records(tracker_rows(spark, d), "shop_id").withColumn("trackers", joined(F.col("trackers")))
+
+
+@query(f"SELECT shop_id, count(DISTINCT platform) AS platforms, count(DISTINCT display_id) AS ids FROM {TRACKER_ROWS} GROUP BY 1")
+def tracker_totals(spark, d):
+    pages = tracker_rows(spark, d).select("shop_id", F.array(F.struct("platform", "display_id")).alias("trackers"))
+    return technology.tracker_totals(pages, "shop_id")
+
+
+@query(f"""SELECT shop_id, id, place FROM (SELECT shop_id, id, row_number() OVER (PARTITION BY shop_id ORDER BY id) AS place FROM (SELECT DISTINCT shop_id, display_id AS id FROM {TRACKER_ROWS}
+           UNION SELECT o_custkey, 'UA-' || o_orderkey % 9 FROM orders UNION SELECT o_custkey, 'G-' || o_orderkey % 9 FROM orders) WHERE starts_with(id, 'UA-') OR starts_with(id, 'GTM-')) WHERE place <= 3""")
+def reverse_lookup_ids(spark, d):
+    o = table(spark, d, "orders").selectExpr("o_custkey AS shop_id", "explode(array('UA-' || (o_orderkey % 9), 'G-' || (o_orderkey % 9))) AS id")
+    return technology.reverse_lookup_ids(tracker_rows(spark, d).withColumnRenamed("display_id", "id"), o, "shop_id")
 
 
 LISTS = [(1, '["b@x.nl","a@x.nl"]', '["Weg 1","Laan 2"]'), (2, "[]", None), (3, '["","c@x.nl"]', '"los"'), (4, None, "[]")]
@@ -314,13 +430,41 @@ def _sql_signature(patterns: list[str]) -> str:
        + ", ".join(f"CASE WHEN regexp_matches(lower(html), '{_sql_signature(t[2])}') THEN '{t[1]}' END" for t in fixed.TECHNOLOGIES) + "], lambda x: x IS NOT NULL), '|') AS names FROM p")
 def tech_signatures(spark, d):
     rows = spark.createDataFrame(TECH_PAGES, "id long, html string").union(table(spark, d, "pages").select(F.col("page_id") + 100, "html"))
-    return rows.select("id", joined(F.transform(technology.detected(F.col("html")), lambda t: t["name"])).alias("names"))
+    low = rows.select("id", F.lower("html").alias("low"))
+    return low.select("id", technology.detected_names(F.col("low"), lowered=True).alias("names"))
 
 
-@query("SELECT id, coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower(html), '{_sql_signature(t[2])}') THEN '{t[1]}' END" for t in fixed.TECHNOLOGIES if t[0] == "ecommerce") + ") AS platform FROM " + values(TECH_PAGES, "id, html"))
+@query("SELECT id, coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower(html), '{_sql_signature(t[2])}') THEN '{t[1]}' END" for t in fixed.TECHNOLOGIES if t[0] == "ecommerce") + ") AS platform FROM (SELECT * FROM " + values(TECH_PAGES, "id, html") + " UNION ALL SELECT page_id + 100, html FROM pages)")
 def tech_first_platform(spark, d):
-    rows = spark.createDataFrame(TECH_PAGES, "id long, html string")
-    return rows.select("id", technology.first_of(technology.detected(F.col("html")), "ecommerce").alias("platform"))
+    rows = spark.createDataFrame(TECH_PAGES, "id long, html string").union(table(spark, d, "pages").select(F.col("page_id") + 100, "html"))
+    low = rows.select("id", F.lower("html").alias("low"))
+    return low.select("id", technology.first_of(technology.detected(F.col("low"), lowered=True), "ecommerce").alias("platform"))
+
+
+MARKED = [(-1, {"CF-Ray": "1"}, "Cloudflare"), (-2, {"server": "cloudfront", "x-cache": "x-amz-cf-id"}, "Amazon CloudFront"), (-3, {"x": "y"}, "")]
+SHOWN = f"""(SELECT * FROM {values([(m[0], ", ".join(f"{k}: {v}" for k, v in m[1].items())) for m in MARKED], "id, lines")}
+             UNION ALL SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'X-Vercel-Id: ' || user_id WHEN 1 THEN 'Server: X-NF ' || event_type ELSE 'Date: ' || user_id END FROM events)"""
+SQL_MARKS = [(t[1], t[3]) for t in fixed.TECHNOLOGIES if t[3]]
+
+
+@query("SELECT id, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(lines), '{m}')" for m in marks) + f" THEN '{n}' END" for n, marks in SQL_MARKS) + f"], lambda x: x IS NOT NULL), '|') AS names FROM {SHOWN}")
+def tech_headers(spark, d):
+    """Technologies that only response headers show, by name or by value."""
+    own = spark.createDataFrame([m[:2] for m in MARKED], "id long, headers map<string,string>")
+    made = table(spark, d, "events").selectExpr("event_id AS id", "CASE event_id % 3 WHEN 0 THEN map('X-Vercel-Id', cast(user_id AS string)) WHEN 1 THEN map('Server', 'X-NF ' || event_type) ELSE map('Date', cast(user_id AS string)) END AS headers")
+    return own.union(made).select("id", technology.detected_names(F.lit(""), F.col("headers")).alias("names"))
+
+
+BY_CATEGORY = list(dict.fromkeys(t[0] for t in fixed.TECHNOLOGIES))
+
+
+@query("WITH p AS (SELECT id, html FROM " + values(TECH_PAGES, "id, html") + " UNION ALL SELECT page_id + 100, html FROM pages), n AS (SELECT id, unnest(["
+       + ", ".join(f"CASE WHEN regexp_matches(lower(html), '{_sql_signature(t[2])}') THEN {{'k': {k}, 'c': '{t[0]}', 'n': '{t[1]}'}} END" for k, t in enumerate(fixed.TECHNOLOGIES))
+       + "]) AS t FROM p) SELECT id, t.c AS category, string_agg(t.n, '|' ORDER BY t.k) AS names FROM n WHERE t IS NOT NULL GROUP BY 1, 2")
+def tech_by_category(spark, d):
+    rows = spark.createDataFrame(TECH_PAGES, "id long, html string").union(table(spark, d, "pages").select(F.col("page_id") + 100, "html"))
+    low = rows.select("id", F.lower("html").alias("low"))
+    return low.select("id", F.explode(technology.by_category(technology.detected(F.col("low"), lowered=True))).alias("category", "n")).select("id", "category", joined(F.col("n")).alias("names"))
 
 
 HEADERS = [(1, []), (2, ["content-security-policy", "X-Frame-Options", "referrer-policy"]), (3, list(fixed.SECURITY_HEADERS)), (4, ["Server", "X-XSS-Protection"])]
@@ -538,8 +682,9 @@ KEYWORDS = f"(SELECT * FROM {values(KEYWORD_TEXTS, 'id, text')} UNION ALL SELECT
 @query(f"SELECT id, {_sql_words(fixed.OPENING_SOON)} AS opening_soon, {_sql_words(fixed.MAINTENANCE)} AS maintenance, {_sql_words(fixed.DELIVERY_TIME)} AS delivery_time, {_sql_words(fixed.PRE_ORDER)} AS pre_order FROM {KEYWORDS}")
 def keyword_flags(spark, d):
     rows = spark.createDataFrame(KEYWORD_TEXTS, "id long, text string").union(table(spark, d, "documents").select("doc_id", "text"))
-    c = F.col("text")
-    return rows.select("id", text.opening_soon(c).alias("opening_soon"), text.maintenance(c).alias("maintenance"), text.delivery_time(c).alias("delivery_time"), text.pre_order(c).alias("pre_order"))
+    c = F.col("low")
+    flags = {"opening_soon": text.opening_soon(c, True), "maintenance": text.maintenance(c, lowered=True), "delivery_time": text.delivery_time(c, True), "pre_order": text.pre_order(c, True)}
+    return rows.select("id", F.lower("text").alias("low")).select("id", *[v.alias(k) for k, v in flags.items()])
 
 
 @query(f"SELECT id, {_sql_words(fixed.WHATSAPP)} AS whatsapp FROM (SELECT * FROM {values(KEYWORD_TEXTS, 'id, text')} UNION ALL SELECT page_id, html FROM pages)")
@@ -605,10 +750,35 @@ def crawled(spark, d):
 @query(f"""SELECT source AS shop_id, {sql_set(f'flatten(list({SQL_EMAILS}))')} AS emails, bool_or({_sql_words(fixed.DELIVERY_TIME)}) AS delivery, bool_or(contains(lower(text), 'apache')) AS licensed,
            count(*) FILTER (n_chars >= 100) AS pages_crawled, count(*) FILTER (n_chars < 100) AS pages_failed FROM documents GROUP BY 1""")
 def crawl_aggregate(spark, d):
-    out = crawl.crawl_aggregate(crawled(spark, d), "shop_id", "page_no", ["emails"], ["delivery", "licensed"])
+    out = crawl.crawl_aggregate(crawled(spark, d), "shop_id", ["emails"], ["delivery", "licensed"])
     return out.withColumn("emails", joined(F.col("emails")))
 
 
+@query(f"""WITH v AS (SELECT source AS shop_id, kind, unnest(found) AS value FROM (SELECT source, unnest(['emails', 'iban', 'btw', 'kvk']) AS kind, unnest([{SQL_EMAILS}, list_transform({_sql_all([fixed.IBAN], 0)}, lambda x: replace(x, ' ', '')),
+              list_transform({_sql_all(fixed.VAT_NUMBERS)}, lambda x: upper(x)), list_filter({_sql_all(fixed.KVK_NUMBERS)}, lambda x: NOT starts_with(x, '0'))]) AS found FROM documents))
+           SELECT s.shop_id, k.kind, coalesce(string_agg(DISTINCT value, '|' ORDER BY value), '') AS found FROM (SELECT DISTINCT source AS shop_id FROM documents) s
+           CROSS JOIN (SELECT unnest(['emails', 'iban', 'btw', 'kvk']) AS kind) k LEFT JOIN v ON v.shop_id = s.shop_id AND v.kind = k.kind GROUP BY 1, 2""")
+def crawl_entity_sets(spark, d):
+    """All sets of a crawl at once, in one pass over its pages."""
+    c = F.col("text")
+    sets = {"emails": text.emails(c), "iban": text.ibans(c), "btw": text.vat_numbers(c), "kvk": text.kvk_numbers(c)}
+    pages = table(spark, d, "documents").select(F.col("source").alias("shop_id"), *[v.alias(k) for k, v in sets.items()], F.lit(None).cast("string").alias("error"))
+    out = crawl.crawl_aggregate(pages, "shop_id", list(sets), [])
+    return out.select("shop_id", F.explode(F.create_map(*[x for k in sets for x in (F.lit(k), joined(F.col(k)))])).alias("kind", "found"))
+
+
+@query("SELECT source AS shop_id, 'page-' || doc_id AS url, 'short' AS error FROM documents WHERE n_chars < 100")
+def crawl_errors(spark, d):
+    return crawl.crawl_errors(crawled(spark, d).withColumn("url", F.concat(F.lit("page-"), "page_no")), "shop_id")
+
+
+@query("""WITH f AS (SELECT source AS shop_id, lang, min(doc_id) AS page_no FROM documents GROUP BY 1, 2), n AS (SELECT shop_id, page_no, count(*) AS fresh FROM f GROUP BY 1, 2)
+          SELECT source AS shop_id, doc_id AS page_no, sum(coalesce(fresh, 0)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS "distinct" FROM documents LEFT JOIN n ON source = shop_id AND doc_id = page_no""")
+def running_distinct(spark, d):
+    pages = table(spark, d, "documents").select(F.col("source").alias("shop_id"), F.col("doc_id").alias("page_no"), "lang")
+    return crawl.running_distinct(pages, "shop_id", "page_no", "lang")
+
+
 @query("""SELECT source AS shop_id, string_agg(lang, '|' ORDER BY first, lang) AS langs FROM (SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY 1, 2) GROUP BY 1""")
 def crawl_languages(spark, d):
     return crawl.first_seen(crawled(spark, d), "shop_id", "page_no", "lang").select("shop_id", joined(F.col("lang")).alias("langs"))
@@ -633,7 +803,7 @@ def provenance_index(spark, d):
 def evidence_pages(spark, d):
     rows = crawled(spark, d)
     found = rows.select("shop_id", F.lit("email").alias("type"), F.explode("emails").alias("value"), F.concat(F.lit("page-"), "page_no").alias("url"))
-    each = rows.select("shop_id").distinct()
+    each = table(spark, d, "documents").select(F.col("source").alias("shop_id")).distinct()
     pages = crawl.evidence_pages(crawl.provenance(found), each.withColumn("url", F.lit("home")), each.select("shop_id", F.lit("email").alias("type"), F.concat("shop_id", F.lit("@home")).alias("value")))
     return pages.select("shop_id", "url", joined(F.transform("findings", lambda f: f["value"])).alias("vals"))
 
@@ -644,13 +814,19 @@ def running_progress(spark, d):
 
 
 LINKS = [("https://s.nl/", x) for x in ("https://s.nl/contact", "https://s.nl/a", "https://s.nl/product/1/", "https://ander.nl/x", "https://s.nl/b.pdf")] + [("https://s.nl/a", "https://s.nl/b"), ("https://s.nl/a", "https://s.nl/"), ("https://s.nl/b", "https://www.s.nl/a#x")]
-CRAWLED = [("s.nl", "https://s.nl/", 0, 0, 1), ("s.nl", "https://s.nl/contact", 1, 1, 2), ("s.nl", "https://s.nl/a", 1, 2, 3), ("s.nl", "https://s.nl/b", 2, 2, 4), ("s.nl", "https://s.nl/product/1", 1, 3, 5)]
 
 
-@query(f"SELECT * FROM {values(CRAWLED, 'site, url, depth, kind, place')}")
+@query()
 def crawl_frontier(spark, d):
-    start = spark.createDataFrame([("s.nl", "https://s.nl/")], "site string, url string")
-    return crawl.crawl_order(start, spark.createDataFrame(LINKS, "src string, dst string"), max_pages=10)
+    """A crawl of each site among the pages, from its first URL, along the links that the pages hold and one from each page to the
+    next of its site; pages without a body fail."""
+    pages = table(spark, d, "pages").select("url", "html", urls.host(F.col("url")).alias("site"))
+    held = pages.select(F.col("url").alias("src"), F.explode(html_functions.parse_html(F.col("url"), F.col("html"))["links"]).alias("dst"))
+    after = Window.partitionBy("site").orderBy("url")
+    chain = pages.select(F.col("url").alias("src"), F.lead("url").over(after).alias("dst")).filter("dst is not null")
+    start = pages.groupBy("site").agg(F.min("url").alias("url")).union(spark.createDataFrame([("s.nl", "https://s.nl/")], "site string, url string"))
+    links = held.union(chain).union(spark.createDataFrame(LINKS, "src string, dst string"))
+    return crawl.crawl_order(start, links, pages.filter("coalesce(html, '') = ''").select("url"))
 
 
 # --- sets
@@ -919,16 +1095,11 @@ def report_rows(spark, d):
 
 
 def _stream(spark, d):
-    """The events table as a stream of files."""
-    import os  # noqa: PLC0415
-    import tempfile  # noqa: PLC0415
-    import uuid  # noqa: PLC0415
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{d}/events.parquet"
-    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet" if not os.path.isdir(path) else "*.parquet").parquet(d if not os.path.isdir(path) else path)
+    """The events table as a stream of files. A pattern that only the table's own path meets reads it in any file system, be it
+    one file or a folder of them."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     e = stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("shop_id"), (F.col("event_type") != "error").alias("is_online"), F.col("value").alias("response_ms"), F.col("ts").alias("checked_at"))
-    return e, f"{shared}/evidentia-stream-{uuid.uuid4().hex}"
+    return e, f"{shared_folder(spark)}/evidentia-stream-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT shop_id, checked_at, id, is_online, response_ms FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY checked_at DESC, id DESC) AS r FROM {CHECKS}) WHERE r = 1")
@@ -944,10 +1115,12 @@ def stream_progress(spark, d):
     return streams.replay(spark, streams.latest_progress(events), "complete", folder)
 
 
-@query(f"SELECT date_trunc('hour', checked_at) AS hour, count(*) AS checks, sum(is_online::INTEGER)::BIGINT AS online FROM {CHECKS} GROUP BY 1")
+@query(f"""SELECT date_trunc('hour', checked_at) AS hour, count(*) AS checks, sum(is_online::INTEGER)::BIGINT AS online FROM {CHECKS} GROUP BY 1
+           HAVING date_trunc('hour', max(checked_at)) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
 def stream_uptime(spark, d):
+    """Hours that are over for good: an hour before the newest check, they can change no more."""
     stream, folder = _stream(spark, d)
-    return streams.replay(spark, streams.hourly_uptime(stream), "complete", folder)
+    return streams.replay(spark, streams.hourly_uptime(stream), "append", folder)
 
 
 # --- more of the evidence, on literal rows
@@ -1140,8 +1313,8 @@ def scrape_stored(spark, d):
            SELECT shop_id, 'bewijs_' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INTEGER, '0') || '_' || url AS file, lines FROM n""")
 def evidence_files(spark, d):
     found = crawled(spark, d).select("shop_id", F.lit("email").alias("type"), F.explode("emails").alias("value"), F.concat(F.lit("page-"), "page_no").alias("url"))
-    each = found.select("shop_id").distinct()
-    pages = crawl.evidence_pages(crawl.provenance(found), each.withColumn("url", F.lit("home")), found.select("shop_id", "type", "value").limit(0))
+    each = table(spark, d, "documents").select(F.col("source").alias("shop_id")).distinct()
+    pages = crawl.evidence_pages(crawl.provenance(found), each.withColumn("url", F.lit("home")), spark.createDataFrame([], "shop_id string, type string, value string"))
     return report.evidence_files(pages).select("shop_id", "file", joined(F.col("lines")).alias("lines"))
 
 

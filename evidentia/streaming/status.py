@@ -23,7 +23,8 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 
 def hourly_uptime(checks: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Checks and share online per hour; on streams, an hour is final when the watermark has passed it."""
+    """Checks and share online per hour. On streams, run it in append mode: an hour comes out once, when the watermark has passed its
+    end, and its state is let go; a check that comes later still is left out."""
     rows = checks.withColumn("checked_at", F.col("checked_at").cast("timestamp"))
     rows = rows.withWatermark("checked_at", late) if checks.isStreaming else rows
     return rows.groupBy(F.window("checked_at", "1 hour")).agg(F.count("*").alias("checks"), F.sum(F.col("is_online").cast("int")).alias("online")).select(

