@@ -1,18 +1,5 @@
 """The folder that driver and executors share for intermediate tables."""
 
-from __future__ import annotations
+from ..sources.shared import shared_folder
 
-import tempfile
-
-from pyspark.sql import SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only a session that names none (tests) gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-shared-"))
-    return context.getCheckpointDir()
+__all__ = ["shared_folder"]
