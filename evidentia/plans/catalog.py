@@ -856,9 +856,33 @@ def _sql_whois(field: str) -> str:
     return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(raw, '(?im)^{label}\\s*:\\s*(.+)$', 1)), '')" for label in fixed.WHOIS_LABELS[field]) + ")"
 
 
-@query("SELECT id, " + ", ".join(f"{_sql_whois(f)} AS {f}" for f in fixed.WHOIS_LABELS) + f" FROM {values(WHOIS, 'id, raw')}")
+#: A WHOIS answer for each shop, in the words of both engines.
+WHOIS_OF_SHOP = """concat('Domain Name: ', c_name, chr(10), CASE c_custkey % 3 WHEN 0 THEN 'Registrar: ' WHEN 1 THEN 'sponsoring registrar:   ' ELSE 'Houder: ' END, c_mktsegment, chr(10),
+                   CASE c_custkey % 4 WHEN 0 THEN 'Creation Date: 2019-0' WHEN 1 THEN 'registered: 2020-0' WHEN 2 THEN 'Created On:  2021-0' ELSE 'x: ' END, c_custkey % 9 + 1, '-11', chr(10),
+                   CASE WHEN c_custkey % 5 = 0 THEN 'paid-till: 2027-01-01' ELSE 'Registry Expiry Date:' END, chr(10), CASE WHEN c_custkey % 2 = 0 THEN 'Country: ' ELSE 'Registrant Country: ' END, c_nationkey)"""
+
+
+@query("SELECT id, " + ", ".join(f"{_sql_whois(f)} AS {f}" for f in fixed.WHOIS_LABELS) + f" FROM (SELECT * FROM {values(WHOIS, 'id, raw')} UNION ALL SELECT c_custkey + 100, {WHOIS_OF_SHOP} FROM customer)")
 def whois_parse(spark, d):
-    return spark.createDataFrame(WHOIS, "id long, raw string").select("id", *[evidence.whois_field(F.col("raw"), f).alias(f) for f in fixed.WHOIS_LABELS])
+    rows = spark.createDataFrame(WHOIS, "id long, raw string").union(table(spark, d, "customer").selectExpr("c_custkey + 100", WHOIS_OF_SHOP))
+    return rows.select("id", *[evidence.whois_field(F.col("raw"), f).alias(f) for f in fixed.WHOIS_LABELS])
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders""")
+def lenient_dates(spark, d):
+    """Dates with anything after them, and texts that hold none."""
+    text_ = "CASE o_orderkey % 3 WHEN 0 THEN concat('geen ', o_orderkey) WHEN 1 THEN concat(cast(cast(o_orderdate AS date) AS string), 'T10:00:00Z') ELSE cast(cast(o_orderdate AS date) AS string) END"
+    return table(spark, d, "orders").selectExpr("o_orderkey AS id", f"{text_} AS t").select("id", evidence.lenient_date(F.col("t")).alias("day"))
+
+
+@query(f"SELECT id, CASE WHEN response_ms >= 70 THEN 'good' WHEN response_ms >= 40 THEN 'fair' ELSE 'poor' END AS class FROM {CHECKS} WHERE response_ms IS NOT NULL")
+def security_classes(spark, d):
+    return checks(spark, d).filter("response_ms is not null").select("id", evidence.security_class(F.col("response_ms")).alias("class"))
+
+
+@query("""SELECT p_partkey AS id, array_to_string(list_filter([p_name, lower(p_brand), p_type], lambda x: NOT contains(lower(x), lower(p_brand))), '|') AS others FROM part""")
+def others_without_own(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), joined(technology.without_own(F.array("p_name", F.lower("p_brand"), "p_type"), F.col("p_brand"))).alias("others"))
 
 
 @query("""SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2000-01-01')::INTEGER AS age_days,
@@ -880,9 +904,15 @@ def cert_dates(spark, d):
 PRIVACY = [(1, "REDACTED for privacy", None, None, True), (2, None, None, "Straat 1", None), (3, "Bedrijf", "Jan", None, False), (4, "Bedrijf", None, "Straat 1", False), (5, None, "", None, None)]
 
 
-@query(f"SELECT id, wanted AS protected FROM {values(PRIVACY, 'id, org, name, address, wanted')}")
+OWNERS = """o_orderkey + 100 AS id, CASE o_orderkey % 5 WHEN 0 THEN 'REDACTED ' || o_orderpriority WHEN 1 THEN NULL ELSE o_orderpriority END AS org,
+             CASE o_custkey % 4 WHEN 0 THEN 'WhoisGuard' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE o_orderstatus END AS name, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Weg ' || o_orderkey END AS address"""
+
+
+@query(f"""SELECT id, CASE WHEN regexp_matches(lower(concat_ws(chr(10), org, name)), '{"|".join(fixed.PRIVACY_WORDS)}') THEN true
+           WHEN (coalesce(org, '') = '')::INTEGER + (coalesce(name, '') = '')::INTEGER + (coalesce(address, '') = '')::INTEGER >= 2 THEN NULL ELSE false END AS protected
+           FROM (SELECT id, org, name, address FROM {values(PRIVACY, 'id, org, name, address, wanted')} UNION ALL SELECT {OWNERS} FROM orders)""")
 def privacy_flag(spark, d):
-    rows = spark.createDataFrame(PRIVACY, "id long, org string, name string, address string, wanted boolean")
+    rows = spark.createDataFrame([p[:4] for p in PRIVACY], "id long, org string, name string, address string").union(table(spark, d, "orders").selectExpr(*[x.strip() for x in OWNERS.replace("\n", " ").split(", ") if x.strip()]))
     none = F.lit(None).cast("string")
     return rows.select("id", evidence.privacy_protected(F.col("org"), F.col("name"), none, none, F.col("address")).alias("protected"))
 
@@ -924,9 +954,11 @@ MARKS = [(1, True, True), (1, True, False), (1, False, True), (1, False, False),
 
 
 @query(f"""SELECT shop_id, count(*) AS total_checked, count(*) FILTER (v) AS total_verified, count(*) FILTER (NOT v) AS total_not_found, count(*) FILTER (c AND NOT v) AS claimed_not_verified,
-           count(*) FILTER (v AND NOT c) AS verified_not_claimed FROM (SELECT shop_id, coalesce(claimed, false) AS c, coalesce(verified, false) AS v FROM {values(MARKS, 'shop_id, claimed, verified')}) GROUP BY 1""")
+           count(*) FILTER (v AND NOT c) AS verified_not_claimed FROM (SELECT shop_id, coalesce(claimed, false) AS c, coalesce(verified, false) AS v FROM {values(MARKS, 'shop_id, claimed, verified')}
+           UNION ALL SELECT user_id + 100, coalesce(value > 40, false), coalesce(CASE WHEN event_type <> 'error' THEN value < 60 END, false) FROM events) GROUP BY 1""")
 def trustmark_summary(spark, d):
-    return evidence.trustmark_summary(spark.createDataFrame(MARKS, "shop_id long, claimed boolean, verified boolean"), "shop_id")
+    results = table(spark, d, "events").selectExpr("user_id + 100", "value > 40", "CASE WHEN event_type <> 'error' THEN value < 60 END")
+    return evidence.trustmark_summary(spark.createDataFrame(MARKS, "shop_id long, claimed boolean, verified boolean").union(results), "shop_id")
 
 
 @query("SELECT user_id AS shop_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS total_hits, bool_or(event_type = 'error') AS flagged FROM events GROUP BY 1")
@@ -1060,9 +1092,11 @@ def batch_eta(spark, d):
 DURATIONS = [(0, "--:--"), (-5, "--:--"), (None, "--:--"), (61000, "01:01"), (3661000, "1:01:01"), (59999, "00:59")]
 
 
-@query(f"SELECT ms, shown FROM {values(DURATIONS, 'ms, shown')}")
+@query(f"""SELECT ms, CASE WHEN ms IS NULL OR ms <= 0 THEN '--:--' WHEN ms >= 3600000 THEN printf('%d:%02d:%02d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60) ELSE printf('%02d:%02d', ms // 60000, ms // 1000 % 60) END AS shown
+           FROM (SELECT ms::BIGINT AS ms FROM {values(DURATIONS, 'ms, shown')} UNION ALL SELECT event_id * 7919 - 50000 FROM events)""")
 def duration_format(spark, d):
-    return spark.createDataFrame(DURATIONS, "ms long, shown string").select("ms", text.duration(F.col("ms")).alias("shown"))
+    rows = spark.createDataFrame([x[:1] for x in DURATIONS], "ms long").union(table(spark, d, "events").selectExpr("event_id * 7919 - 50000"))
+    return rows.select("ms", text.duration(F.col("ms")).alias("shown"))
 
 
 @query(f"""SELECT e.id, o.status FROM {CHECKS} e ASOF LEFT JOIN (SELECT shop_id, completed_at, arg_max(status, id) AS status FROM {SCANS} GROUP BY 1, 2) o
@@ -1074,9 +1108,11 @@ def asof_latest(spark, d):
 SECRETS = [("geheim123", "*****m123"), ("abcd", "****"), ("ab", "**"), (None, ""), ("", "")]
 
 
-@query(f"SELECT secret, shown FROM {values(SECRETS, 'secret, shown')}")
+@query(f"""SELECT secret, CASE WHEN secret IS NULL THEN '' WHEN length(secret) > 4 THEN repeat('*', length(secret) - 4) || right(secret, 4) ELSE repeat('*', length(secret)) END AS shown
+           FROM (SELECT secret FROM {values(SECRETS, 'secret, shown')} UNION ALL SELECT substr(c_name, 1, (c_custkey % 15)::INTEGER) FROM customer)""")
 def mask_secret(spark, d):
-    return spark.createDataFrame(SECRETS, "secret string, shown string").select("secret", text.masked(F.col("secret")).alias("shown"))
+    rows = spark.createDataFrame([x[:1] for x in SECRETS], "secret string").union(table(spark, d, "customer").selectExpr("substr(c_name, 1, cast(c_custkey % 15 AS int))"))
+    return rows.select("secret", text.masked(F.col("secret")).alias("shown"))
 
 
 @query("SELECT page_id, 'bewijs_' || lpad((page_id + 1)::VARCHAR, greatest(3, length((page_id + 1)::VARCHAR))::INTEGER, '0') || '_' || regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9._-]', '_', 'g')[1:70] AS file FROM pages")
@@ -1171,9 +1207,13 @@ def structured_of_pages(spark, d):
 TITLES = [("Fietsen Jansen - KVK 12345678", "Fietsen Jansen"), ("Winkel B.V. 87654321", "Winkel B.V."), ("Gewoon | Kamer van Koophandel", "Gewoon")]
 
 
-@query(wanted(TITLES, [0, 1], "title, name"))
+TITLE_OF_PART = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' - KVK 12345678' WHEN 1 THEN concat(' ', 10000000 + p_partkey, ' ') WHEN 2 THEN ' | Kamer van Koophandel' ELSE ' - Fabriek' END)"
+
+
+@query(f"""SELECT title, trim(regexp_replace(regexp_replace(title, '\\s*[-|]\\s*(KVK|kvk|Kamer).*$', ''), '\\s*\\d{{8}}\\s*', '', 'g')) AS name FROM (SELECT title FROM {values(TITLES, 'title, w')} UNION ALL SELECT {TITLE_OF_PART} FROM part)""")
 def company_title(spark, d):
-    return spark.createDataFrame(TITLES, "title string, name string").select("title", evidence.company_from_title(F.col("title")).alias("name"))
+    rows = spark.createDataFrame([t[:1] for t in TITLES], "title string").union(table(spark, d, "part").selectExpr(TITLE_OF_PART))
+    return rows.select("title", evidence.company_from_title(F.col("title")).alias("name"))
 
 
 ESCAPES = [('<a href="x">&</a>', "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"), (None, ""), ("gewoon", "gewoon")]
@@ -1211,25 +1251,35 @@ def settings_list(spark, d):
 GEOCODED = [(1, 7.5, "Weg 1, Stad", True), (2, 4.0, "Weg 1", False), (3, 9.0, "", False), (4, None, None, None)]
 
 
-@query(wanted(GEOCODED, [0, 3], "id, valid"))
+@query(f"""SELECT id, CASE WHEN score IS NOT NULL THEN score > 5 AND coalesce(name <> '', false) END AS valid FROM (SELECT id, score, name FROM {values(GEOCODED, 'id, score, name, w')}
+           UNION ALL SELECT event_id + 100, CASE WHEN user_id % 5 <> 0 THEN value / 10 END, CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN event_type END FROM events)""")
 def geocode_valid(spark, d):
-    return spark.createDataFrame(GEOCODED, "id long, score double, name string, w boolean").select("id", evidence.geocoded(F.col("score"), F.col("name")).alias("valid"))
+    answers = table(spark, d, "events").selectExpr("event_id + 100", "CASE WHEN user_id % 5 <> 0 THEN value / 10 END", "CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN event_type END")
+    rows = spark.createDataFrame([g[:3] for g in GEOCODED], "id long, score double, name string").union(answers)
+    return rows.select("id", evidence.geocoded(F.col("score"), F.col("name")).alias("valid"))
 
 
 REVERSED = [("ec2-1-2.compute.amazonaws.com.", "amazonaws.com"), ("host.nl", "host.nl")]
 
 
-@query(wanted(REVERSED, [0, 1], "name, org"))
+HOST_OF_SHOP = "concat('h', c_custkey, '.', CASE WHEN c_custkey % 2 = 0 THEN concat('net', c_nationkey, '.') ELSE '' END, lower(c_mktsegment), '.nl', CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE '' END)"
+
+
+@query(f"""SELECT name, array_to_string(string_split(rtrim(name, '.'), '.')[-2:], '.') AS org FROM (SELECT name FROM {values(REVERSED, 'name, w')} UNION ALL SELECT {HOST_OF_SHOP} FROM customer)""")
 def ip_organisation(spark, d):
-    return spark.createDataFrame(REVERSED, "name string, org string").select("name", evidence.organisation_of(F.col("name")).alias("org"))
+    rows = spark.createDataFrame([r[:1] for r in REVERSED], "name string").union(table(spark, d, "customer").selectExpr(HOST_OF_SHOP))
+    return rows.select("name", evidence.organisation_of(F.col("name")).alias("org"))
 
 
 CLAIMS = [(1, ["Thuiswinkel Waarborg"], "thuiswinkel", True), (2, ["Kiyoh"], "thuiswinkel", False), (3, [], "kiyoh", False)]
 
 
-@query(wanted(CLAIMS, [0, 3], "id, claimed"))
+@query(f"""SELECT id, len(list_filter(names::VARCHAR[], lambda n: contains(lower(n), key))) > 0 AS claimed FROM (SELECT id, names::VARCHAR[] AS names, key FROM {values(CLAIMS, 'id, names, key, w')}
+           UNION ALL SELECT c_custkey + 100, [c_name, c_mktsegment], (['build', 'auto', '#00000'])[c_custkey % 3 + 1] FROM customer)""")
 def trustmark_claimed(spark, d):
-    return spark.createDataFrame(CLAIMS, "id long, names array<string>, key string, w boolean").select("id", evidence.claimed(F.col("names"), F.col("key")).alias("claimed"))
+    shown = table(spark, d, "customer").selectExpr("c_custkey + 100", "array(c_name, c_mktsegment)", "element_at(array('build', 'auto', '#00000'), cast(c_custkey % 3 + 1 AS int))")
+    rows = spark.createDataFrame([c[:3] for c in CLAIMS], "id long, names array<string>, key string").union(shown)
+    return rows.select("id", evidence.claimed(F.col("names"), F.col("key")).alias("claimed"))
 
 
 REGISTER = [(1, ["12345678", "kort", "23456789"]), (2, []), (3, ["x"])]
