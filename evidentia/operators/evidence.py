@@ -60,18 +60,53 @@ def free_issuer(issuer: Column) -> Column:
     return F.coalesce(F.lower(issuer).rlike("|".join(x.replace(".", r"\.") for x in fixed.FREE_ISSUERS)), F.lit(False))
 
 
+def certificate_record(rows: DataFrame, asof: Column) -> DataFrame:
+    """rows(..., issuer, subject: array<struct<k, v>>, not_before, not_after: string, san: array<struct<kind, value>>) with the
+    certificate's fields as of a time. Without an issuer list there is no certificate, and all fields but has_ssl are null."""
+    start, end = certificate_time(F.col("not_before")), certificate_time(F.col("not_after"))
+    issuer, subject = common_name(F.col("issuer")), common_name(F.col("subject"))
+    organisation = F.try_element_at(F.filter("issuer", lambda x: x["k"] == "organizationName"), F.lit(-1))["v"]
+    there = F.col("issuer").isNotNull()
+    fields = {
+        "issuer_name": issuer, "issuer_organization": organisation, "subject_name": subject, "valid_from": start, "valid_until": end, "is_expired": asof > end,
+        "days_until_expiry": F.floor((F.unix_seconds(end) - F.unix_seconds(asof)) / 86400).cast("int"), "is_self_signed": F.lower(issuer) == F.lower(subject),
+        "is_free_ssl": F.when(issuer.isNotNull(), free_issuer(issuer)), "san_domains": F.transform(F.filter("san", lambda x: x["kind"] == "DNS"), lambda x: x["value"]),
+    }
+    return rows.withColumns({"has_ssl": there} | {name: F.when(there, c) for name, c in fields.items()}).drop("issuer", "subject", "not_before", "not_after", "san")
+
+
 # --- DNS and headers
 
 
 def dns_summary(answers: DataFrame) -> DataFrame:
-    """answers(domain, rtype, value) -> one row per domain with sorted lists, SPF, DMARC and MX flags."""
+    """answers(domain, rtype, value[, place]) -> one row per domain with sorted lists, the SPF and DMARC records and flags. Of several
+    SPF or DMARC records the last one by place counts; without places the greatest one."""
+    place = F.col("place") if "place" in answers.columns else F.col("value")
     values = lambda kind: F.array_sort(F.collect_set(F.when(F.col("rtype") == kind, F.col("value"))))
-    return answers.groupBy("domain").agg(
-        values("A").alias("a_records"), values("MX").alias("mx_records"), values("NS").alias("ns_records"), values("TXT").alias("txt_records"),
-        F.coalesce(F.bool_or((F.col("rtype") == "TXT") & F.col("value").startswith("v=spf1")), F.lit(False)).alias("has_spf"),
-        F.coalesce(F.bool_or((F.col("rtype") == "DMARC") & F.col("value").startswith("v=DMARC1")), F.lit(False)).alias("has_dmarc"),
+
+    def last(kind: str, start: str) -> Column:
+        starts = (F.col("rtype") == kind) & F.col("value").startswith(start)
+        return F.max_by(F.when(starts, F.col("value")), F.when(starts, F.struct(place, "value")))
+
+    found = answers.groupBy("domain").agg(
+        values("A").alias("a_records"), values("AAAA").alias("aaaa_records"), values("MX").alias("mx_records"), values("NS").alias("ns_records"),
+        values("CNAME").alias("cname_records"), values("TXT").alias("txt_records"), last("TXT", "v=spf1").alias("spf_record"), last("DMARC", "v=DMARC1").alias("dmarc_record"),
         F.bool_or(F.col("rtype") == "MX").alias("has_mx"),
     )
+    return found.withColumns({"has_spf": F.col("spf_record").isNotNull(), "has_dmarc": F.col("dmarc_record").isNotNull()})
+
+
+def with_owners(answers: DataFrame, owners: DataFrame) -> DataFrame:
+    """The A answers with the organisation of each address: owners(ip, org, reverse_name) names it, else its reverse name does."""
+    named = owners.select(F.col("ip").alias("_ip"), F.coalesce("org", organisation_of(F.col("reverse_name"))).alias("org")).groupBy("_ip").agg(F.min("org").alias("org"))
+    a = answers.filter(F.col("rtype") == "A")
+    return a.join(named, a["value"] == named["_ip"], "left").select("domain", F.col("value").alias("ip"), "org")
+
+
+def network_record(dns: DataFrame, headers: DataFrame, redirects: DataFrame, by: str) -> DataFrame:
+    """One row per shop of what its DNS, header and redirect checks gave, each as a struct; null where a check gave nothing."""
+    packed = [df.select(by, F.struct(*[c for c in df.columns if c != by]).alias(name)) for df, name in ((dns, "dns"), (headers, "headers"), (redirects, "redirects"))]
+    return packed[0].join(packed[1], by, "full").join(packed[2], by, "full")
 
 
 def missing_headers(headers: Column, critical: bool) -> Column:
@@ -123,6 +158,19 @@ def rating_class(score: Column) -> Column:
     )
 
 
+def trustmark_status(source: Column, code: Column, body: Column, domain: Column, shown_url: Column) -> Column:
+    """What a trustmark site's answer says of a domain: verified, likely_verified (only its name is on a list of members), found (a
+    review profile), not_found, or check_failed when there was no usable answer."""
+    low, own = F.lower(F.coalesce(body, F.lit(""))), F.lower(domain)
+    name = F.substring_index(own, ".", 1)
+    listed = low.contains(own) | ((source == "webwinkelkeur") & low.contains("lid van webwinkelkeur"))
+    likely = (source == "thuiswinkel") & (F.length(name) > 3) & low.contains(name)
+    profile = F.coalesce(F.lower(shown_url).contains(F.concat(F.lit("trustpilot.com/review/"), domain)), F.lit(False))
+    told = F.when(source == "trustpilot", F.when(profile, "found").otherwise("not_found")).when(listed, "verified").when(likely, "likely_verified").otherwise("not_found")
+    absent = (code == 404) & source.isin("webwinkelkeur", "trustpilot")
+    return F.when(code == 200, told).when(absent, "not_found").otherwise("check_failed")
+
+
 def trustmark_summary(results: DataFrame, by: str) -> DataFrame:
     """results(by, claimed, verified) -> counts per shop; a failed check counts as not verified."""
     claimed, verified = F.coalesce("claimed", F.lit(False)), F.coalesce("verified", F.lit(False))
@@ -209,6 +257,23 @@ def company_from_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(title, r"\s*[-|]\s*(KVK|kvk|Kamer).*$", ""), r"\s*\d{8}\s*", ""))
 
 
+def register_date(text: Column) -> Column:
+    """A register's date of eight digits, or null."""
+    return F.when(F.length(text) == 8, F.try_to_date(text, "yyyyMMdd"))
+
+
+def register_cascade(numbers: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """numbers(number) with the company that the first source knows it by: sources are (name, rows(number, company_name, is_active)) in
+    order of trust; a row without a company name counts as unknown there. Of several rows of a source the least company name counts."""
+    out, source, company, active = numbers.select("number").distinct(), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    for name, rows in sources:
+        best = rows.filter(F.coalesce("company_name", F.lit("")) != "").groupBy("number").agg(F.min(F.struct("company_name", "is_active")).alias(f"_{name}"))
+        out, known = out.join(best, "number", "left"), F.col(f"_{name}")
+        company, active = F.coalesce(company, known["company_name"]), F.when(source.isNotNull(), active).otherwise(known["is_active"])
+        source = F.coalesce(source, F.when(known.isNotNull(), name))
+    return out.select("number", company.alias("company_name"), active.alias("is_active"), F.coalesce(source, F.lit("none")).alias("source"))
+
+
 def register_rows(lookups: DataFrame, placeholders: DataFrame, by: str) -> DataFrame:
     """Rows to store: a row for each lookup with a number, else a shop's placeholder. lookups(by, numbers array)."""
     stored = lookups.select(by, F.explode(F.slice(F.filter("numbers", lambda n: n.rlike(r"^\d{8}$")), 1, 5)).alias("number"))

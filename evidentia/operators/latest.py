@@ -38,3 +38,13 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time
     window = Window.partitionBy(by).orderBy("_time", "_side", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = sides.unionByName(other).withColumn("_last", F.last("_value", ignorenulls=True).over(window))
     return carried.filter("_side = 1").select("_row.*", F.col("_last.v").alias(value))
+
+
+def last_of(items: Column, key: str = "id") -> Column:
+    """The element of a stored list of structs with the greatest key, whatever the list's order; null for an empty list."""
+    return F.array_max(F.transform(items, lambda x: F.struct(x[key].alias("k"), x.alias("x"))))["x"]
+
+
+def first_of(items: Column, key: str = "id") -> Column:
+    """The element of a stored list of structs with the least key."""
+    return F.array_min(F.transform(items, lambda x: F.struct(x[key].alias("k"), x.alias("x"))))["x"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +39,13 @@ def first_success(attempts: DataFrame, by: str, most: int = 3) -> DataFrame:
 
 
 def scan_states(scans: DataFrame, done: DataFrame) -> DataFrame:
-    """scans(id, requested), done(scan_id, collector, ok) -> the status of each scan: pending, running, completed, or partial
-    when every collector ended and one failed."""
+    """scans(id, requested[, error]), done(scan_id, collector, ok) -> the status of each scan: failed when the scan itself has an error,
+    else pending, running, completed, or partial when every collector ended and one failed."""
     ended = done.groupBy("scan_id").agg(F.array_sort(F.collect_set("collector")).alias("completed"), F.bool_and("ok").alias("all_ok"))
     joined = scans.join(ended, scans["id"] == ended["scan_id"], "left")
     left = F.size(F.array_except("requested", F.coalesce("completed", F.array().cast("array<string>"))))
-    status = F.when(F.col("completed").isNull(), "pending").when(left > 0, "running").when(F.col("all_ok"), "completed").otherwise("partial")
+    failed = F.col("error").isNotNull() if "error" in scans.columns else F.lit(False)
+    status = F.when(failed, "failed").when(F.col("completed").isNull(), "pending").when(left > 0, "running").when(F.col("all_ok"), "completed").otherwise("partial")
     return joined.select("id", status.alias("status"), left.alias("left"))
 
 
@@ -76,6 +77,45 @@ def scan_machine(events: DataFrame) -> DataFrame:
     return events.groupBy("scan_id").transformWithStateInPandas(ScanMachine(), outputStructType="scan_id long, status string, left int", outputMode="Update", timeMode="None")
 
 
+def scan_queue(requests: DataFrame, work: Callable[[dict], str], abort_at: int | None = None) -> DataFrame:
+    """requests(shop_id, place, ...) -> (shop_id, place, status, result): each shop's work on its own, so that an error becomes the row
+    of its shop (status error, the message as result) and stops no other. Shops from place abort_at on are not begun and give no
+    rows. Runs on tables and streams; a task that is lost does its shops again, so work must bear that."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = []
+            for row in batch.to_dict("records"):
+                try:
+                    done.append(("ok", work(row)))
+                except Exception as error:
+                    done.append(("error", str(error)))
+            yield pd.DataFrame({"shop_id": batch["shop_id"], "place": batch["place"], "status": [x[0] for x in done], "result": [x[1] for x in done]})
+
+    begun = requests if abort_at is None else requests.filter(F.col("place") < abort_at)
+    return begun.mapInPandas(run, "shop_id long, place long, status string, result string")
+
+
+def fold_latest(spark: SparkSession, checks: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of checks over what is there now, each batch folded into the stored last state of each shop, so that every batch
+    sees what the ones before it appended. The state takes one row per shop; it is kept in two places in turn, so a batch that is
+    run again reads the same state as before. The later of both is the last state of all."""
+    schema = latest_status(checks).schema
+
+    def place(number: int) -> str:
+        return f"{folder}/latest/{number % 2}"
+
+    def fold(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema(schema).parquet(place(number - 1)).select(batch.columns)
+        latest_status(batch.unionByName(known)).write.mode("overwrite").parquet(place(number))
+
+    for number in (0, 1):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(place(number))
+    query = checks.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return latest_status(spark.read.schema(schema).parquet(place(0), place(1)))
+
+
 def replay(spark: SparkSession, stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream over what is there now and return its results: the last table in complete mode, else all changes. Batches
     are written as Parquet by the executors; folder must be one that they share."""

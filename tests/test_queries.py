@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from evidentia.plans import catalog
+from evidentia.plans import network
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,14 +33,14 @@ def rows(columns, data):
     return sorted((tuple(plain(r[k]) for k in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(network.QUERIES))
 def test_query(spark, db, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = network.QUERIES[name](spark, SF)
     found = rows(df.columns, df.collect())
-    if name not in catalog.ORACLE_SQL:
+    if name not in network.ORACLE_SQL:
         assert found
         return
-    cursor = db.execute(catalog.ORACLE_SQL[name])
+    cursor = db.execute(network.ORACLE_SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     wanted = rows(columns, cursor.fetchall())

@@ -27,3 +27,37 @@ def test_scan_machine(spark, tmp_path):
         assert {r.scan_id: r.status for r in out.collect()} == {1: "completed", 2: "partial", 3: "running"}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_failed_scan(spark):
+    scans = spark.createDataFrame([(1, ["ssl"], "kapot"), (2, ["ssl"], None)], "id long, requested array<string>, error string")
+    done = spark.createDataFrame([(1, "ssl", True), (2, "ssl", True)], "scan_id long, collector string, ok boolean")
+    assert {r.id: r.status for r in status.scan_states(scans, done).collect()} == {1: "failed", 2: "completed"}
+
+
+def test_scan_queue_keeps_errors_apart_and_stops(spark):
+    rows = spark.createDataFrame([(k, k, 4 - k) for k in range(8)], "shop_id long, place long, divisor long")
+    out = {r.shop_id: (r.status, r.result) for r in status.scan_queue(rows, lambda r: str(12 // r["divisor"]), abort_at=6).collect()}
+    assert out == {0: ("ok", "3"), 1: ("ok", "4"), 2: ("ok", "6"), 3: ("ok", "12"), 4: ("error", "integer division or modulo by zero"), 5: ("ok", "-12")}
+    assert status.scan_queue(rows.limit(0), lambda r: "").count() == 0
+
+
+def test_fold_latest_over_several_batches_and_starts(spark, tmp_path):
+    schema = "id long, shop_id long, is_online boolean, response_ms double, checked_at timestamp"
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, shop, True, float(i), None) for i, shop, _ in rows], schema).drop("checked_at").join(
+            spark.createDataFrame([(i, at) for i, _, at in rows], "id long, at long").selectExpr("id", "timestamp_seconds(at) AS checked_at"), "id"
+        ).select("id", "shop_id", "is_online", "response_ms", "checked_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def folded():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return {r.shop_id: r.id for r in status.fold_latest(spark, stream, str(tmp_path / "out")).collect()}
+
+    arrive((1, 1, 10), (2, 2, 50))
+    arrive((3, 1, 20), (4, 2, 40))
+    arrive((5, 3, 5))
+    assert folded() == {1: 3, 2: 2, 3: 5}
+    assert folded() == {1: 3, 2: 2, 3: 5}
+    arrive((6, 1, 15), (7, 3, 5))
+    assert folded() == {1: 3, 2: 2, 3: 7}
