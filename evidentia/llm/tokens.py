@@ -124,7 +124,7 @@ class PrefixCounter:
                     if whole[t]:
                         break
                     continue
-                pair = (last[start] << 16) | t
+                pair = (last[start] << 32) | t
                 apart = pairs.get(pair)
                 if apart is None:
                     pairs[pair] = apart = whole[t] and self._stay_apart(last[start], t)
