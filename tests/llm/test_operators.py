@@ -132,6 +132,34 @@ def test_sharding(odd, none, docs):
     assert sharding.pack_shards(none).collect() == []
 
 
+def test_crowded_size_classes_are_numbered_in_parts(spark, docs, monkeypatch):
+    same = spark.range(500).select("id", F.concat(F.lit("word "), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text")).withColumnRenamed("id", "doc_id")
+    both = docs.select("doc_id", "text").union(same)
+    whole = sorted(sharding.pack_shards(both, shards=7).collect())
+    load = check_shards(whole, 7)
+    assert len(whole) == both.count() and max(load.values()) <= 1.05 * sum(load.values()) / 7
+    monkeypatch.setattr(sharding, "CROWD", 20)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    parts = sharding.pack_shards(both, shards=7).collect()
+    assert len(parts) == len(whole) and check_shards(parts, 7) == load
+
+
+def test_packing_of_size_classes():
+    random.seed(8)
+    for _ in range(30):
+        classes = {random.randint(1, 900): random.randint(1, 30) for _ in range(random.randint(1, 40))}
+        runs = sharding.pack(list(classes.items()), 5)
+        number, load = collections.Counter(), collections.Counter()
+        for size, count, shard in runs:
+            number[size] += count
+            load[shard] += size * count
+        total, largest = sum(s * n for s, n in classes.items()), max(classes)
+        assert number == classes and set(load) <= set(range(5))
+        assert max(load.values()) <= max(largest, 1.02 * (total / 5) + largest)
+    assert sharding.pack([], 5) == []
+    assert [c for _, _, c in sharding.pack([(1000, 2), (1, 30)], 4)][:2] == [0, 1]
+
+
 def test_best_fit_decreasing():
     random.seed(3)
     for _ in range(30):
