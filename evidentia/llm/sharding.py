@@ -25,6 +25,8 @@ from ._common import cut_lineage
 
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
+#: Parts of a capacity to which the least one is found: the last shard lacks no more than a part for each other shard.
+FINENESS = 20_000
 #: Groups of a size class, or rows of a broadcast plan, that one task takes at most, about.
 CROWD, BROADCAST_ROWS = 1 << 16, 1 << 20
 
@@ -141,7 +143,7 @@ def best_fit_decreasing(items: list[tuple[int, object]], capacity: int) -> list[
 
 def pack(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
     """classes of (size, number of items) -> runs of (size, number, shard). Items above a fair share of what is left get
-    shards of their own; the others enter the rest at the least capacity, to a thousandth, at which best fit needs no
+    shards of their own; the others enter the rest at the least capacity, to a part of FINENESS, at which best fit needs no
     more shards than there are."""
     classes = sorted(classes, reverse=True)
     runs, left, total = [], shards, sum(size * count for size, count in classes)
@@ -153,12 +155,12 @@ def pack(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, in
             classes.insert(0, (size, count - 1))
     if classes:
         low = max(classes[0][0], -(-total // left))
-        high, step = low, max(1, low // 1000)
+        high, step = low, max(1, low // FINENESS)
         while (tried := fill(classes, high))[1] > left:
             low, high = high, high + step
             step *= 2
         found = tried[0]
-        while high - low > max(1, low // 1000):
+        while high - low > max(1, low // FINENESS):
             middle = (low + high) // 2
             tried = fill(classes, middle)
             if tried[1] > left:
