@@ -15,6 +15,9 @@ there are copies.
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer
 words than a shingle is one shingle; rows with a null doc_id are counted but linked with nothing (null component,
 kept); rows that share a doc_id are one node; repeated rows are rows of their own; an empty table gives an empty result.
+
+No join deals a crowded bucket to one task: buckets are met by broadcast if they hold more than a fixed part of all
+postings, and dealt in parts of about CROWD nodes otherwise.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from ._common import BYTE_WORDS, SpanHash, cut_lineage, mixed, short_batches, sl
 
 COORDINATES = 64
 BINS = 32
+#: Nodes of a bucket that one task takes at most, about; buckets that are met by broadcast, at most.
+CROWD, HOT_BUCKETS = 1024, 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -105,7 +110,8 @@ def _features(words: int, id_type: pa.DataType, with_sets: bool) -> Callable:
                     sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), digests, sets], ["node", "class", "hashes"])
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(begin)), digests, _signatures(hashes, begin)], ["doc_id", "n_shingles", "class", "signature"])
+                    own = [part.column("doc_id"), part.column("_text"), pa.array(np.diff(begin)), digests, _signatures(hashes, begin)]
+                    yield pa.RecordBatch.from_arrays(own, ["doc_id", "_text", "n_shingles", "class", "signature"])
 
     return run
 
@@ -129,28 +135,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, need: in
     agree on to be compared in full, by default need_of(percent), which loses a pair at the very threshold with the chance stated
     there. need=1 posts every coordinate and compares all that share any: a pair at 80 percent then goes unseen with a chance below
     2**-148, less than that of a hash collision; it costs more comparisons."""
+    return _grouped(docs, words, percent, need).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, need: int | None = None) -> DataFrame:
+    """The rows of near_duplicates with their class and a hash of their text (_text)."""
     short_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     need = need_of(percent) if need is None else need
     prefix = COORDINATES - need + 1
-    rows = cut_lineage(docs.mapInArrow(_features(words, id_type, False), f"doc_id {id_type}, n_shingles long, class binary, signature array<int>"))
+    rows = cut_lineage(docs.mapInArrow(_features(words, id_type, False), f"doc_id {id_type}, _text long, n_shingles long, class binary, signature array<int>"))
     nodes = cut_lineage(
         rows.filter("class is not null and doc_id is not null")
         .groupBy("class")
         .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     )
     posted = nodes.select("node", F.posexplode("signature")).select("node", F.xxhash64("pos", "col").alias("bucket"))
-    counts = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    number = nodes.count()
     # In the order of rarity a node's unshared values come first, so they fill its prefix before any shared one.
     by_rarity = Window.partitionBy("node").orderBy("members", "bucket")
-    ranked = posted.join(counts, "bucket").withColumns({"_rank": F.row_number().over(by_rarity), "_shared": F.count("*").over(Window.partitionBy("node")), "score": F.sum("members").over(Window.partitionBy("node"))})
+    ranked = _met(posted, number * COORDINATES).withColumns({"_rank": F.row_number().over(by_rarity), "_shared": F.count("*").over(Window.partitionBy("node")), "score": F.sum("members").over(Window.partitionBy("node"))})
     posted = ranked.filter(F.col("_rank") <= prefix - COORDINATES + F.col("_shared")).select("node", "bucket", "score")
-    counts = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = cut_lineage(posted.join(counts, "bucket"))
+    shared = cut_lineage(_met(posted, number * prefix))
     sets = cut_lineage(_sets(docs, nodes, shared.select("node").distinct(), words))
-    hubs = shared.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
-    met = shared.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hubs = shared.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"), F.first("members").alias("members"))
+    met = _dealt(shared, hubs).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     tried = cut_lineage(_compared(_agreeing(met, nodes, need), sets))
     alike = F.col("common") * (100 + percent) >= F.col("both") * percent
     links = tried.filter(alike).select("a", "b")
@@ -158,23 +168,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, need: in
 
     # Nodes that met in a bucket and are still in different components. What a set alone holds no other can share, and what it
     # shares with the hub and what it shares beyond the hub bound its intersection with another set one by one.
-    placed = shared.join(grouped, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    placed = cut_lineage(_open(placed))
+    placed = shared.join(grouped, "node", "left").select("bucket", "members", "node", F.coalesce("component", "node").alias("component"))
+    placed = cut_lineage(_open(placed).drop("open"))
     own = sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("_hash"))
     alone = own.groupBy("_hash").agg(F.count("*").alias("_nodes"), F.min("node").alias("node")).filter("_nodes = 1").groupBy("node").agg(F.count("*").alias("_alone"))
     sizes = sets.select("node", F.size("hashes").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("shares"))
     buckets = shared.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
     with_hub = tried.select("a", "b", F.col("common").alias("inside"), "only_a", "only_b")
     placed = (
-        placed.join(hubs, "bucket").filter("node <> hub").join(sizes, "node").join(buckets, "node")
+        _dealt(placed, hubs).filter("node <> hub").join(sizes, "node").join(buckets, "node")
         .withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub"), "most": F.col("shares") * (100 + percent) - F.col("n") * percent})
         .join(with_hub, ["a", "b"], "left").withColumn("lacks", F.when(F.col("hub") == F.col("a"), F.col("only_a")).otherwise(F.col("only_b")))
         .drop("a", "b", "hub", "only_a", "only_b")
     )
     placed = cut_lineage(placed)
-    least = placed.groupBy("bucket").agg((F.min("n") * percent).alias("_least"))
-    placed = _open(placed.join(least, "bucket").filter("most >= _least").drop("_least"))
-    other = placed.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "n", "shares", "inside", "lacks", "buckets")])
+    least = placed.groupBy("bucket").agg((F.min("n") * percent).alias("_least"), F.first("members").alias("members"))
+    placed = _open(_dealt(placed, least).filter("most >= _least").drop("_least"))
+    other = placed.select("bucket", "open", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "n", "shares", "inside", "lacks", "buckets")])
     beyond = F.least(F.col("shares") - F.col("inside"), F.col("_shares") - F.col("_inside"))
     known = F.col("inside").isNotNull() & F.col("_inside").isNotNull()
     enough = lambda bound: bound * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
@@ -185,7 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, need: in
     can_by_bins = ~known | enough(of_hub - lacking + beyond)
     # A pair is made in the first of the buckets that its two nodes share.
     first = F.col("bucket") == F.array_min(F.array_intersect("buckets", "_buckets"))
-    met = placed.join(other, "bucket").filter((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & can & first & can_by_bins)
+    met = _dealt(placed, other, "open").filter((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & can & first & can_by_bins)
     met = met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
     rest = cut_lineage(_agreeing(met, nodes, need))
     if not rest.isEmpty():
@@ -195,10 +205,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, need: in
     of_class = nodes.join(grouped, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
     return rows.join(of_class, "class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+        "doc_id", "_text", "class", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
+def _met(posted: DataFrame, most: int) -> DataFrame:
+    """The rows of posted(bucket, ...) whose bucket has other rows, with their number (members). posted has at most `most` rows, so no more than
+    HOT_BUCKETS buckets hold above most / HOT_BUCKETS each; those are met by broadcast, and only the rest is dealt by bucket."""
+    counts = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    hot = F.col("members") * HOT_BUCKETS > most
+    large = F.broadcast(counts.filter(hot))
+    return posted.join(large, "bucket").unionByName(posted.join(large, "bucket", "left_anti").join(counts.filter(~hot), "bucket"))
+
+
+def _dealt(rows: DataFrame, facts: DataFrame, by: str = "members") -> DataFrame:
+    """rows(bucket, node, ...) joined with facts(bucket, ...); a bucket of many rows, by the number in `by`, is dealt in parts, each of which
+    meets a copy of the bucket's facts."""
+    last = F.floor(F.col(by) / CROWD)
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64("node"), last + 1))
+    spread = facts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(by)
+    return parts.join(spread, ["bucket", "_part"]).drop("_part")
+
+
 def _agreeing(pairs: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree on `need` coordinates or more."""
     own = nodes.select(F.col("node").alias("a"), F.col("signature").alias("_a"))
@@ -208,9 +236,9 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """The rows of placed(bucket, node, component, ...) whose bucket has several components."""
-    several = placed.groupBy("bucket").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter("_least < _most").select("bucket")
-    return placed.join(several, "bucket")
+    """The rows of placed(bucket, members, node, component, ...) whose bucket has several components, with the number of these rows (open)."""
+    spans = placed.groupBy("bucket").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), F.first("members").alias("members"), F.count("*").alias("open"))
+    return _dealt(placed, spans.filter("_least < _most").select("bucket", "members", "open"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -235,9 +263,14 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that another document of their group stands for; also one row of each doc_id only."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select("doc_id").distinct()
-    alone = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    one, two = (next(n for n in (f"_{base}{'_' * k}" for k in range(99)) if n not in docs.columns) for base in ("alone", "null"))
-    return left.withColumns({one: alone, two: F.col("doc_id").isNull()}).dropDuplicates([one, two]).select(*docs.columns)
+    """docs without those that another document of their group stands for. Of rows that share their doc_id and set one stays, by
+    the least hash of the text; rows of one doc_id with different sets are judged each by its own. Rows without a doc_id stay, one of each text."""
+    grouped = _grouped(docs, words, percent).filter("kept")
+    of_set = F.when(F.col("doc_id").isNotNull(), F.col("class"))
+    of_text = F.when(F.col("doc_id").isNull(), F.col("_text"))
+    stay = grouped.groupBy("doc_id", of_set.alias("_set"), of_text.alias("_own")).agg(F.min("_text").alias("_text"))
+    names = [next(n for n in (f"_{base}{'_' * k}" for k in range(99)) if n not in docs.columns) for base in ("id", "null", "text")]
+    keys = lambda text: dict(zip(names, (F.coalesce(F.col("doc_id"), text), F.col("doc_id").isNull(), text)))
+    chosen = stay.select(*[c.alias(n) for n, c in keys(F.col("_text")).items()])
+    # The join and the removal of repeated rows use one dealing of the texts.
+    return docs.withColumns(keys(F.xxhash64("text"))).join(chosen, names, "left_semi").dropDuplicates(names).select(*docs.columns)
