@@ -222,14 +222,6 @@ def test_near_copies_around_one_text(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, 85)
 
 
-def test_crowded_buckets_are_dealt_in_parts(docs, monkeypatch):
-    monkeypatch.setattr(neardup, "CROWD", 2)
-    monkeypatch.setattr(neardup, "HOT_BUCKETS", 1 << 40)
-    found = neardup.near_duplicates(docs, 5, 80).collect()
-    wanted = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
-
-
 def test_rows_of_one_id_with_different_texts_are_judged_apart(spark):
     one, other = "a b c d e f g h", "p q r s t u v w"
     rows = [(1, one), (5, one), (5, other), (5, other.upper()), (7, other + " x"), (None, one), (None, one), (None, other)]
