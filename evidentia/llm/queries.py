@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, fingerprints, media, mixing, neardup, pieces, quality, sharding, tokens, toxicity
+from . import chat, fingerprints, media, mixing, neardup, pieces, prefix_trie, quality, sharding, tokens, toxicity
 from ._common import table
 from .labelled import crc_of_id
 
@@ -69,6 +69,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "lossless")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_minhash": op9_minhash,
     "op10_pieces": op10_pieces,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -111,4 +116,33 @@ ORACLE_SQL = {
         SELECT doc_id, size, source_size, target,
                (epochs * size + greatest(0, least(size, budget - epochs * source_size - earlier)))::BIGINT AS taken
         FROM p JOIN e USING (source_key)""",
+    "op11_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base,
+                   xor(list_reduce([ord(x) FOR x IN string_split(conv_id::VARCHAR, '')], lambda crc, octet: list_reduce(
+                       range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, octet::BIGINT)), 4294967295), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM own)),
+        turns AS (
+            SELECT c.conv_id, o.place AS d, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.place <= c.h
+            UNION ALL
+            SELECT c.conv_id, o.place - c.h + least(c.h, (SELECT count(*) FROM own b WHERE b.conv_id = c.base)), o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.place > c.h),
+        whole AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY d) AS said, list(octet_length(encode(text)) ORDER BY d) AS sizes FROM turns GROUP BY 1),
+        paths AS (SELECT conv_id, coalesce(said, []) AS said, sizes FROM convs LEFT JOIN whole USING (conv_id)),
+        reached AS (SELECT conv_id, d, said[1:d] AS node, CASE WHEN d > 0 THEN said[1:d - 1] END AS above, coalesce(sizes[d], 0) AS size, len(said) = d AS ended FROM paths, unnest(range(len(said) + 1)) AS u(d)),
+        nodes AS (
+            SELECT node, any_value(above) AS above, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+            FROM reached GROUP BY node),
+        children AS (SELECT above AS node, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY 1),
+        known AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+        sums AS (
+            SELECT node[1:k] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+            FROM known, unnest(range(depth + 1)) AS u(k) GROUP BY 1)
+        SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children,
+               s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+        FROM known k JOIN sums s ON s.node = k.node LEFT JOIN known p ON p.node = k.above""",
 }
