@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, fingerprints, media, mixing, neardup, pieces, prefix_trie, quality, sharding, tokens, toxicity
+from . import chat, collocations, fingerprints, media, mixing, neardup, pieces, prefix_trie, private, quality, sharding, tokens, toxicity
 from ._common import table
 from .labelled import crc_of_id
 
@@ -73,6 +73,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _counter(kind: int):
+    return lambda total, own: total + (own == kind).cast("long")
+
+
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.personal_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [F.aggregate(kinds, F.lit(0).cast("long"), _counter(k)).alias(f"n_{name}") for k, name in enumerate(private.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(private.written(base), 256).alias("base_sha256"), private.written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -85,6 +101,8 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_pieces": op10_pieces,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
+    "op13_private": op13_private,
 }
 
 ORACLE_SQL = {
@@ -145,4 +163,25 @@ ORACLE_SQL = {
         SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children,
                s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
         FROM known k JOIN sums s ON s.node = k.node LEFT JOIN known p ON p.node = k.above""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        found AS (SELECT lang, size, w[k:k + size - 1] AS words FROM said, unnest([1, 2, 3]) AS s(size), unnest(range(1, len(w) - size + 2)) AS u(k)),
+        f AS (SELECT lang, size, words, count(*)::HUGEINT AS a FROM found GROUP BY 1, 2, 3),
+        totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
+        halves AS (
+            SELECT lang, words, a, k, words[1:k] AS begin, words[k + 1:] AS rest FROM f, unnest([1, 2]) AS c(k) WHERE size > 1 AND a >= 10 AND k < size),
+        begun AS (SELECT h.*, x.a AS l FROM halves h JOIN f x ON x.lang = h.lang AND x.words = h.begin),
+        cuts AS (SELECT h.*, y.a AS r, 1000000 * h.a * h.a // (h.l * y.a) AS score FROM begun h JOIN f y ON y.lang = h.lang AND y.words = h.rest),
+        weakest AS (SELECT lang, words, any_value(a) AS a, arg_min([l, r, score], score * 2 + k - 1) AS best FROM cuts GROUP BY 1, 2),
+        around AS (
+            SELECT lang, words[k:k + 1] AS words, max(a) AS a FROM f, unnest([1, 2]) AS c(k) WHERE size = 3 AND a >= 10 GROUP BY 1, 2),
+        kept AS (
+            SELECT w.lang, array_to_string(w.words, ' ') AS phrase, w.a, best[1] AS l, best[2] AS r, best[3] AS score
+            FROM weakest w LEFT JOIN around o USING (lang, words) WHERE len(w.words) > 2 OR o.a IS NULL OR 100 * o.a < 50 * w.a),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+        FROM placed JOIN totals USING (lang) WHERE rank <= 2000""",
 }
