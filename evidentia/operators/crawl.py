@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,20 +89,83 @@ def running_distinct(found: DataFrame, by: str, order: str, value: str) -> DataF
 PRIORITY, NORMAL, PRODUCT = 1, 2, 3
 
 
-def crawl_order(start: DataFrame, links: DataFrame, failed: DataFrame | None = None, max_pages: int = 50) -> DataFrame:
+#: A site with at most so many links is crawled within one task.
+TASK_LINKS = 200_000
+
+
+def crawl_order(start: DataFrame, links: DataFrame, failed: DataFrame | None = None, max_pages: int = 50, task_links: int = TASK_LINKS) -> DataFrame:
     """The pages that a crawl takes: start(site, url), links(src, dst), failed(url) -> site, url, depth, kind, place (from 1).
 
     A site has three queues, first in first out: priority pages, others, product pages. A page is taken from the first queue that has
     one; its links within the site, in the order of their URLs, join their queues unless they were in one before. Failed pages
     give no links and use none of the budget of max_pages; product pages end when a fifth of the budget (three at least) was taken.
 
-    All sites move at once, by whole runs of pages: a priority queue is taken as it stands, and another queue up to the first
-    page that brings a link for a queue before it. So rounds are few, however many pages and sites there are; a round holds each site's
-    links of at most max_pages pages and failed ones. What is known is stored after each round."""
-    site_url, most_products = ["site", "url"], max(3, max_pages // 5)
+    Sites of at most task_links links are crawled whole, each in a task of its own, which holds just those links: one shuffle for all of
+    them, however long their chains of pages are. A larger site is crawled over the cluster, in rounds (crawl_rounds); the
+    result is the same."""
     edges = links.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst"))
     edges = cut_lineage(edges.filter(urls.scrapeable(F.col("dst"))).distinct())
+    first = start.select("site", urls.canonical(F.col("url")).alias("url")).distinct()
     bad = failed.select(urls.canonical(F.col("url")).alias("url")).distinct() if failed is not None else None
+    # A page's links count for each site at or above its host, and for the sites that it begins.
+    labels = F.split(urls.host(F.col("src")), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    inner = edges.withColumn("site", F.explode(above)).join(first.select("site").distinct(), "site")
+    begun = edges.join(first, F.col("src") == F.col("url")).select("site", "src", "dst")
+    owned = inner.select("site", "src", "dst").union(begun).distinct().filter(urls.same_site(F.col("dst"), F.col("site")))
+    rows = cut_lineage(_queue_kind(owned.union(first.select("site", F.lit(None).cast("string"), F.col("url"))), bad))
+    sizes = cut_lineage(rows.groupBy("site").agg(F.count_if(F.col("src").isNotNull()).alias("_links")))
+    small = rows.join(sizes.filter(F.col("_links") <= task_links).select("site"), "site", "left_semi")
+    taken = small.groupBy("site").applyInPandas(lambda site: _crawled(site, max_pages), "site string, url string, depth int, kind int, place long")
+    large = sizes.filter(F.col("_links") > task_links).select("site")
+    if large.isEmpty():
+        return taken
+    return taken.union(crawl_rounds(first.join(large, "site", "left_semi"), edges, bad, max_pages))
+
+
+def _queue_kind(rows: DataFrame, bad: DataFrame | None) -> DataFrame:
+    """rows(site, src, dst) with dst's queue, whether it is a product page, and whether it can be read; a first page has no src."""
+    product = urls.product_page(F.col("dst"))
+    kind = F.when(F.col("src").isNull(), NORMAL).when(urls.priority_page(F.col("dst")), PRIORITY).when(product, PRODUCT).otherwise(NORMAL)
+    rows = rows.withColumns({"kind": kind, "product": product})
+    return rows.withColumn("ok", F.lit(True)) if bad is None else rows.join(bad.select(F.col("url").alias("dst"), F.lit(False).alias("_ok")), "dst", "left").withColumn("ok", F.coalesce("_ok", F.lit(True))).drop("_ok")
+
+
+def _crawled(site: pd.DataFrame, max_pages: int) -> pd.DataFrame:
+    """One site's crawl over its links."""
+    site = site.sort_values(["src", "dst"], na_position="first")
+    known: dict[str, int] = {}
+    queues = {PRIORITY: deque(), NORMAL: deque(), PRODUCT: deque()}
+    begins = site["src"].isna()
+    links = {src: part for src, part in site[~begins].groupby("src", sort=False)}
+
+    def enqueue(found: pd.DataFrame, depth: int) -> None:
+        for url, kind, product, ok in zip(found["dst"], found["kind"], found["product"], found["ok"]):
+            if url not in known:
+                known[url] = depth
+                queues[kind].append((url, product, ok))
+
+    enqueue(site[begins], 0)
+    taken, products = [], 0
+    while len(taken) < max_pages and (kind := next((k for k in queues if queues[k]), None)):
+        if kind == PRODUCT and products >= max(3, max_pages // 5):
+            break
+        url, product, ok = queues[kind].popleft()
+        if ok:
+            taken.append((site["site"].iloc[0], url, known[url], kind, len(taken) + 1))
+            products += bool(product)
+            if url in links:
+                enqueue(links[url], known[url] + 1)
+    return pd.DataFrame(taken, columns=["site", "url", "depth", "kind", "place"])
+
+
+def crawl_rounds(start: DataFrame, edges: DataFrame, bad: DataFrame | None, max_pages: int) -> DataFrame:
+    """crawl_order's result for sites of any size: start(site, url), edges(src, dst), bad(url), all canonical and distinct.
+
+    All sites move at once, by whole runs of pages: a priority queue is taken as it stands, and another queue up to the first
+    page that brings a link for a queue before it. A round holds each site's links of at most max_pages pages and failed ones. What
+    is known is stored after each round. A chain of pages takes a round for each page."""
+    site_url, most_products = ["site", "url"], max(3, max_pages // 5)
 
     def entries(rows: DataFrame) -> DataFrame:
         """Queue rows (site, url, depth, kind, seq) with what is known of their pages."""
@@ -108,7 +174,7 @@ def crawl_order(start: DataFrame, links: DataFrame, failed: DataFrame | None = N
 
     # now: whether a page was taken in the last round
     columns = ["site", "url", "depth", "kind", "seq", "product", "ok", "taken", "now", "place"]
-    known = start.select("site", urls.canonical(F.col("url")).alias("url")).distinct().withColumns({"depth": F.lit(0), "kind": F.lit(NORMAL)})
+    known = start.withColumns({"depth": F.lit(0), "kind": F.lit(NORMAL)})
     known = cut_lineage(entries(known.withColumn("seq", F.row_number().over(Window.partitionBy("site").orderBy("url")).cast("long"))).select(columns))
     taken, ok, kind, waiting = F.col("taken"), F.col("ok"), F.col("kind"), ~F.col("taken")
     by_seq = Window.partitionBy("site").orderBy("seq")

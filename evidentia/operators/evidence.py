@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .networks import longest_networks
 
 
 # --- WHOIS and dates
@@ -97,10 +98,11 @@ def dns_summary(answers: DataFrame) -> DataFrame:
 
 
 def with_owners(answers: DataFrame, owners: DataFrame) -> DataFrame:
-    """The A answers with the organisation of each address: owners(ip, org, reverse_name) names it, else its reverse name does."""
-    named = owners.select(F.col("ip").alias("_ip"), F.coalesce("org", organisation_of(F.col("reverse_name"))).alias("org")).groupBy("_ip").agg(F.min("org").alias("org"))
-    a = answers.filter(F.col("rtype") == "A")
-    return a.join(named, a["value"] == named["_ip"], "left").select("domain", F.col("value").alias("ip"), "org")
+    """The A and AAAA answers with the organisation of each address: owners(ip, org, reverse_name) names it, else its reverse name does. ip is an
+    address or a network (10.0.0.0/8, 2001:db8::/32); the longest network around an address counts."""
+    named = owners.select(F.col("ip").alias("network"), F.coalesce("org", organisation_of(F.col("reverse_name"))).alias("org"))
+    a = answers.filter(F.col("rtype").isin("A", "AAAA")).select("domain", F.col("value").alias("ip"))
+    return longest_networks(a, "ip", named, "network", "org").select("domain", "ip", "network", "org")
 
 
 def network_record(dns: DataFrame, headers: DataFrame, redirects: DataFrame, by: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.urls import any_of
+from ..sources.shared import cut_lineage
 
 
 def lower_pattern(pattern: str) -> str:
@@ -104,15 +106,6 @@ def tracker_totals(pages: DataFrame, by: str) -> DataFrame:
     return ids.groupBy(by).agg(F.countDistinct("t.platform").alias("platforms"), F.countDistinct("t.display_id").alias("ids"))
 
 
-def shared_ids(ids: DataFrame, shop: str, value: str) -> DataFrame:
-    """Pairs of shops (shop, other, value) that have a value in common, by an equi-join on the value. ids has one
-    row for each shop and value at least; both directions are given. A value of n shops gives n * (n - 1) rows: for values that
-    many shops have, shops_of_shared_ids names the same partners in n rows."""
-    once = ids.select(F.col(shop), F.col(value)).distinct()
-    other = once.select(F.col(shop).alias("other"), F.col(value))
-    return once.join(other, value).filter(F.col(shop) != F.col("other")).select(shop, "other", value)
-
-
 def shops_by_id(ids: DataFrame, shop: str, value: str) -> DataFrame:
     """For each value in several shops, the number of shops and the least and greatest of them: the size of a
     cross-reference without its pairs."""
@@ -127,14 +120,61 @@ def shops_of_shared_ids(ids: DataFrame, shop: str, value: str) -> DataFrame:
     return once.join(shared, value).select(value, shop, "shops")
 
 
-def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, text: str, most: int = 1000) -> DataFrame:
-    """Shops whose text contains another shop's value, in any case: the search by substring, for a list of at most `most` values,
-    which is checked. Every text is compared with each value, so longer lists are searched by shops_of_shared_ids."""
-    needles = ids.select(F.col(shop), F.col(value)).distinct()
-    if needles.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} values: shops_of_shared_ids is the form for such lists")
-    hay = flat.select(F.col(shop).alias("other"), F.col(text))
-    return hay.join(F.broadcast(needles), (F.col(shop) != F.col("other")) & F.lower(text).contains(F.lower(value))).select(shop, "other", value).distinct()
+#: Letters of a gram, and bits of the table that says which grams are looked for.
+GRAM, GRAM_BITS = 3, 1 << 18
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` letters of a text."""
+    letters = F.split(text, "")
+    shifted = [F.slice(letters, F.lit(k + 1), F.greatest(F.size(letters) - k, F.lit(0))) for k in range(size)]
+    runs = F.transform(F.arrays_zip(*[c.alias(f"g{k}") for k, c in enumerate(shifted)]), lambda x: F.when(x[f"g{size - 1}"].isNotNull(), F.concat(*[x[f"g{k}"] for k in range(size)])))
+    return F.array_distinct(F.filter(runs, lambda g: g.isNotNull()))
+
+
+def _maybe_in(grams: DataFrame) -> Callable[[Column], Column]:
+    """A test that no gram of the table fails: a table of GRAM_BITS bits, whatever the number of grams."""
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BITS))
+    rows = grams.select(place(F.col("gram")).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).collect()
+    words = [0] * (GRAM_BITS >> 6)
+    for r in rows:
+        words[r["at"]] = r["bits"]
+    table = F.from_json(F.lit(str(words)), "array<bigint>")
+
+    def asked(gram: Column) -> Column:
+        word = F.get(table, F.shiftright(place(gram), 6).cast("int"))
+        return F.call_function("shiftright", word, F.pmod(place(gram), F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return asked
+
+
+def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, text: str) -> DataFrame:
+    """Shops whose text contains another shop's value, in any case, for lists and texts of any length: (shop, other, value), each once. Empty
+    values name nothing and are left out.
+
+    Texts are posted under their grams of three letters (values of one or two letters under grams of theirs). A value is looked up under
+    the rarest of its grams only, and confirmed on the text; a value with a gram that no text has is done at once. Grams that no
+    value has are left out before anything is shuffled, by a bit table of fixed size."""
+    needles = ids.select(F.col(shop), F.col(value), F.lower(value).alias("_low")).filter(F.col("_low") != "").distinct()
+    size = F.least(F.length("_low"), F.lit(GRAM))
+    needles = cut_lineage(needles.withColumns({"_size": size, "_needle": F.xxhash64(shop, value)}))
+    sizes = sorted(r[0] for r in needles.select("_size").distinct().collect())
+    if not sizes:
+        return needles.select(shop, F.col(shop).alias("other"), value)
+    own = F.coalesce(*[F.when(F.col("_size") == k, _grams(F.col("_low"), k)) for k in sizes])
+    wanted = cut_lineage(needles.select("_low", "_size", F.explode(own).alias("gram")).distinct())
+    hay = flat.select(F.col(shop).alias("other"), F.lower(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    hay = cut_lineage(hay.withColumn("_hay", F.xxhash64("other", "_text")))
+    asked = _maybe_in(wanted.select("gram").distinct())
+    posted = hay.select("_hay", F.explode(F.filter(F.concat(*[_grams(F.col("_text"), k) for k in sizes]), asked)).alias("gram"))
+    posted = cut_lineage(posted)
+    frequency = posted.groupBy("gram").agg(F.count("*").alias("_texts"))
+    # A value whose grams are not all there is in no text; else its rarest gram stands for it.
+    rarest = wanted.join(frequency, "gram", "left").groupBy("_low").agg(F.count_if(F.col("_texts").isNull()).alias("_missing"), F.min(F.struct("_texts", "gram")).alias("_best"))
+    looked_up = rarest.filter("_missing = 0").select("_low", F.col("_best.gram").alias("gram"))
+    pairs = posted.join(looked_up, "gram").select("_hay", "_low").distinct()
+    confirmed = pairs.join(hay, "_hay").filter(F.col("_text").contains(F.col("_low"))).select("_low", "other").distinct()
+    return confirmed.join(needles, "_low").filter(F.col(shop) != F.col("other")).select(shop, "other", value).distinct()
 
 
 def cross_references(ids: DataFrame, shops: DataFrame, shop: str, value: str) -> DataFrame:

@@ -380,21 +380,21 @@ def tracker_xref_shops(spark, d):
     return technology.shops_of_shared_ids(ids, "shop_id", "v")
 
 
-XREF = [(1, "AW-123456789", "AW-123456789 GTM-AAAAA"), (2, "AW-1234567890", "AW-1234567890"), (3, "GTM-AAAAA", "gtm-aaaaa FB-1"), (4, "UA-9", "")]
+LOOKED_FOR = f"(SELECT DISTINCT shop_id, CASE id % 3 WHEN 0 THEN 'AD ' || k || ' --' WHEN 1 THEN 'Page=' || k ELSE k END AS v FROM {CHECKS} WHERE k IS NOT NULL)"
 
 
-@query(f"""WITH t AS (SELECT * FROM {values(XREF, 'shop_id, v, flat')})
-           SELECT DISTINCT a.shop_id, b.shop_id AS other, a.v FROM t a JOIN t b ON a.shop_id <> b.shop_id AND contains(lower(b.flat), lower(a.v))""")
+@query(f"""WITH t AS {LOOKED_FOR}, p AS (SELECT page_id AS other, lower(url || ' ' || html) AS flat FROM pages), hit AS (SELECT DISTINCT v, other FROM (SELECT DISTINCT v FROM t), p WHERE contains(flat, lower(v)))
+           SELECT shop_id, other, v FROM t JOIN hit USING (v) WHERE shop_id <> other""")
 def tracker_xref_contains(spark, d):
-    rows = spark.createDataFrame(XREF, "shop_id long, v string, flat string")
-    return technology.shared_ids_by_text(rows, rows, "shop_id", "v", "flat")
+    ids = checks(spark, d).filter("k is not null").selectExpr("shop_id", "CASE id % 3 WHEN 0 THEN 'AD ' || k || ' --' WHEN 1 THEN 'Page=' || k ELSE k END AS v")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("shop_id"), F.concat_ws(" ", "url", "html").alias("flat"))
+    return technology.shared_ids_by_text(ids, pages, "shop_id", "v", "flat")
 
 
-@query(f"""WITH t AS (SELECT shop_id, unnest(string_split(flat, ' ')) AS v FROM {values(XREF, 'shop_id, x, flat')})
-           SELECT DISTINCT a.shop_id, b.shop_id AS other, a.v FROM t a JOIN t b ON a.v = b.v AND a.shop_id <> b.shop_id""")
+@query(f"""WITH t AS (SELECT shop_id, display_id AS v FROM {TRACKER_ROWS})
+           SELECT v, count(DISTINCT shop_id) AS shops, min(shop_id) AS first_shop, max(shop_id) AS last_shop FROM t GROUP BY 1 HAVING count(DISTINCT shop_id) > 1""")
 def tracker_xref_pairs(spark, d):
-    rows = spark.createDataFrame(XREF, "shop_id long, x string, flat string")
-    return technology.shared_ids(rows.select("shop_id", F.explode(F.split("flat", " ")).alias("v")), "shop_id", "v")
+    return technology.shops_by_id(tracker_rows(spark, d), "shop_id", "display_id").withColumnRenamed("display_id", "v")
 
 
 TRACKED = [
@@ -1083,10 +1083,17 @@ def collectors_complete(spark, d):
     return rows.select("id", (F.size(F.array_except("requested", "completed")) == 0).alias("done"), (F.size(F.array_except("requested", known)) == 0).alias("known"))
 
 
-@query(f"""SELECT shop_id, count(*) AS done, round(avg(response_ms), 6) AS avg_ms, greatest(0, 50 - count(*)) AS pages_left FROM {CHECKS} GROUP BY 1""")
+SESSIONS = f"""(SELECT shop_id, min(t) AS begun, max(t) AS ended, count(*) AS done FROM (SELECT shop_id, t, sum(fresh) OVER (PARTITION BY shop_id ORDER BY t, id) AS run FROM (
+           SELECT shop_id, id, checked_at AS t, CASE WHEN checked_at - lag(checked_at) OVER (PARTITION BY shop_id ORDER BY checked_at, id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM {CHECKS})) GROUP BY shop_id, run)"""
+
+
+@query(f"""WITH s AS (SELECT shop_id, sum(done)::BIGINT AS done, sum(epoch_us(ended) - epoch_us(begun)) / 1000000 AS elapsed FROM {SESSIONS} GROUP BY 1),
+           a AS (SELECT shop_id, round(avg(response_ms), 6) AS avg_ms FROM {CHECKS} GROUP BY 1)
+           SELECT shop_id, done, avg_ms, greatest(0, 50 - done) AS pages_left, elapsed, CASE WHEN elapsed > 0 THEN round(elapsed / done * greatest(0, 50 - done), 3) END AS eta FROM s JOIN a USING (shop_id)""")
 def batch_eta(spark, d):
-    rows = checks(spark, d).groupBy("shop_id").agg(F.count("*").alias("done"), F.round(F.avg("response_ms"), 6).alias("avg_ms"))
-    return rows.withColumn("pages_left", F.greatest(F.lit(0), 50 - F.col("done")))
+    left = streams.time_left(streams.work_sessions(checks(spark, d), "shop_id", "checked_at"), "shop_id", F.lit(50))
+    speed = checks(spark, d).groupBy("shop_id").agg(F.round(F.avg("response_ms"), 6).alias("avg_ms"))
+    return left.join(speed, "shop_id").select("shop_id", "done", "avg_ms", F.col("left").alias("pages_left"), "elapsed", F.round("eta", 3).alias("eta"))
 
 
 DURATIONS = [(0, "--:--"), (-5, "--:--"), (None, "--:--"), (61000, "01:01"), (3661000, "1:01:01"), (59999, "00:59")]

@@ -4,10 +4,15 @@ the operators make of it, the SQL forms compute on their own."""
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import evidence, latest
+from ..sources import upsert
+from ..sources.shared import shared_folder
 from ..streaming import status as streams
 from .catalog import CHECKS, ORACLE_SQL, QUERIES, _stream, checks, joined, literal, query, table
 
@@ -16,7 +21,8 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 def made(spark, d, text: str, *names: str):
     """The rows of a SQL text over test tables, in Spark."""
-    return spark.sql(text.replace("FROM ", "FROM {").replace("\n", " ") + "}", **{n: table(spark, d, n) for n in names})
+    named = re.sub(rf"\bFROM ({'|'.join(names)})\b", r"FROM {\1}", text.replace("\n", " "))
+    return spark.sql(named, **{n: table(spark, d, n) for n in names})
 
 
 ANSWERS = """SELECT 'shop' || CAST(o_custkey AS STRING) || '.nl' AS domain,
@@ -40,14 +46,32 @@ def dns_of_shops(spark, d):
     return dns(spark, d)
 
 
-OWNERS = """SELECT '10.0.' || CAST(s_suppkey % 9 AS STRING) || '.' || CAST(s_suppkey % 50 AS STRING) AS ip, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS org,
- 'n' || CAST(s_suppkey % 3 AS STRING) || '.dc.host' || CAST(s_nationkey AS STRING) || '.net.' AS reverse_name FROM supplier"""
+# Networks of several lengths within each other, and an IPv6 answer for each third order.
+HOSTS = f"""SELECT domain, rtype, value, place FROM ({ANSWERS}) AS a UNION ALL
+ SELECT 'shop' || CAST(o_custkey AS STRING) || '.nl' AS domain, 'AAAA' AS rtype, '2001:db8:' || CAST(o_custkey % 9 AS STRING) || '::' || CAST(o_orderkey % 50 AS STRING) AS value, o_orderkey AS place FROM orders WHERE o_orderkey % 3 = 0"""
+OWNERS = """SELECT CASE s_suppkey % 4 WHEN 0 THEN '10.0.' || CAST(s_suppkey % 9 AS STRING) || '.' || CAST(s_suppkey % 50 AS STRING) WHEN 1 THEN '10.0.' || CAST(s_suppkey % 9 AS STRING) || '.0/' || CAST(24 + s_suppkey % 5 AS STRING)
+ WHEN 2 THEN '10.0.0.0/' || CAST(8 + s_suppkey % 13 AS STRING) ELSE '2001:db8:' || CAST(s_suppkey % 9 AS STRING) || '::/' || CAST(44 + s_suppkey % 84 AS STRING) END AS ip,
+ CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS org, 'n' || CAST(s_suppkey % 3 AS STRING) || '.dc.host' || CAST(s_nationkey AS STRING) || '.net.' AS reverse_name FROM supplier"""
+
+# In SQL: an address as bits, and the longest network whose bits begin it.
+V4_BITS = "array_to_string([format('{{:08b}}', part::INTEGER) FOR part IN string_split({0}, '.')], '')"
+V6_BITS = """array_to_string([format('{{:016b}}', ('0x' || part)::INTEGER) FOR part IN string_split(split_part({0}, '::', 1), ':')], '') || repeat('0', 16 * (8 - len(string_split(split_part({0}, '::', 1), ':')) - 1)) ||
+ format('{{:016b}}', ('0x' || CASE WHEN split_part({0}, '::', 2) = '' THEN '0' ELSE split_part({0}, '::', 2) END)::INTEGER)"""
+
+
+def sql_bits(ip: str) -> str:
+    return f"CASE WHEN contains({ip}, ':') THEN '6' || {V6_BITS.format(ip)} WHEN regexp_matches({ip}, '^[0-9.]+$') THEN '4' || {V4_BITS.format(ip)} END"
 
 
-@query(f"""WITH o AS (SELECT ip, min(coalesce(org, array_to_string(list_slice(string_split(rtrim(reverse_name, '.'), '.'), -2, -1), '.'))) AS org FROM ({OWNERS}) GROUP BY 1)
-           SELECT domain, value AS ip, org FROM ({ANSWERS}) a LEFT JOIN o ON a.value = o.ip WHERE rtype = 'A'""")
+@query(f"""WITH o AS (SELECT split_part(ip, '/', 1) AS base, CASE WHEN contains(ip, '/') THEN split_part(ip, '/', 2)::INTEGER WHEN contains(ip, ':') THEN 128 ELSE 32 END AS n, ip,
+           coalesce(org, array_to_string(list_slice(string_split(rtrim(reverse_name, '.'), '.'), -2, -1), '.')) AS org FROM ({OWNERS})),
+           nets AS (SELECT left({sql_bits('base')}, n + 1) AS bits, n, min(ip) AS network, min(org) AS org FROM o GROUP BY 1, 2),
+           a AS (SELECT row_number() OVER () AS k, domain, value AS ip, {sql_bits('value')} AS bits FROM ({HOSTS}) WHERE rtype IN ('A', 'AAAA')),
+           cut AS (SELECT k, domain, ip, n, left(bits, n + 1) AS bits FROM a, (SELECT DISTINCT n FROM nets))
+           SELECT c.domain, c.ip, nets.network, nets.org FROM (SELECT k, any_value(cut.domain) AS domain, any_value(cut.ip) AS ip, max(nets.n) AS n FROM cut LEFT JOIN nets ON nets.n = cut.n AND nets.bits = cut.bits GROUP BY k) c
+           JOIN a USING (k) LEFT JOIN nets ON nets.n = c.n AND nets.bits = left(a.bits, c.n + 1)""")
 def owners_of_addresses(spark, d):
-    return evidence.with_owners(made(spark, d, ANSWERS, "orders"), made(spark, d, OWNERS, "supplier"))
+    return evidence.with_owners(made(spark, d, HOSTS, "orders"), made(spark, d, OWNERS, "supplier"))
 
 
 NAMES = " || ".join(f"CASE WHEN c_custkey % {k + 2} = 0 THEN '|{name.upper() if k % 2 else name}' ELSE '' END" for k, name in enumerate(fixed.SECURITY_HEADERS))
@@ -213,6 +237,21 @@ def stream_latest_folded(spark, d):
     return streams.fold_latest(spark, stream, folder)
 
 
+CHANGES = """SELECT o_custkey AS id, o_orderkey AS number, lower(o_orderpriority) AS name, CASE WHEN o_orderstatus = 'F' THEN 'high' ELSE 'low' END AS risk_level FROM orders"""
+
+
+@query(f"""WITH first AS (SELECT c_custkey AS id, -1 AS number, c_name AS name, 'unknown' AS risk_level FROM customer), changed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY number DESC) AS r FROM ({CHANGES})) WHERE r = 1)
+           SELECT coalesce(c.id, f.id) AS id, coalesce(c.number, f.number) AS number, CASE WHEN c.id IS NULL THEN f.name ELSE c.name END AS name, coalesce(c.risk_level, f.risk_level) AS risk_level FROM first f FULL JOIN changed c ON f.id = c.id""")
+def shops_upserted(spark, d):
+    """Shops put in as a first batch, and changed by their scans in two more, the second of which runs twice."""
+    folder = f"{shared_folder(spark)}/evidentia-shops-{uuid.uuid4().hex}"
+    shops = table(spark, d, "customer").selectExpr("c_custkey AS id", "-1L AS number", "c_name AS name", "'unknown' AS risk_level")
+    changes = made(spark, d, CHANGES, "orders")
+    for number, batch in enumerate([shops, changes.filter("number % 2 = 1"), changes.filter("number % 2 = 0"), changes.filter("number % 2 = 0")]):
+        upsert.upsert(batch, min(number, 2), folder, "id", ["number"])
+    return upsert.stored(spark, folder, "id long, number long, name string, risk_level string")
+
+
 @query(f"SELECT shop_id, arg_max_null(k, id) AS last_k, max(id) AS last_id, min(id) AS first_id FROM {CHECKS} GROUP BY 1")
 def ends_of_stored_lists(spark, d):
     stored = checks(spark, d).groupBy("shop_id").agg(F.collect_list(F.struct("id", "k")).alias("items"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources import upsert
+
 
 def latest_status(checks: DataFrame) -> DataFrame:
     """checks(id, shop_id, is_online, response_ms, checked_at) -> the last state of each shop; runs on streams (update mode) and tables."""
@@ -50,31 +52,102 @@ def scan_states(scans: DataFrame, done: DataFrame) -> DataFrame:
 
 
 class ScanMachine(StatefulProcessor):
-    """The same states as scan_states, kept per scan over a stream of (scan_id, requested, collector, ok)."""
+    """The same states as scan_states, kept per scan over a stream of (scan_id, requested, collector, ok, at). With patience, in
+    milliseconds of event time, a scan that nothing more is heard of for so long becomes failed unless it had ended, and its state is
+    let go either way."""
+
+    def __init__(self, patience: int | None = None) -> None:
+        self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("collectors", "collector string", "ok boolean")
         self.wanted = handle.getValueState("requested", "requested array<string>")
 
+    def _status(self) -> tuple[str, int]:
+        states = {k[0]: v[0] for k, v in self.seen.iterator()}
+        left = len(set(self.wanted.get()[0]) - states.keys())
+        return "pending" if not states else "running" if left else "completed" if all(states.values()) else "partial", left
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
         for batch in rows:
             for requested, collector, ok in zip(batch["requested"], batch["collector"], batch["ok"]):
                 self.wanted.update((list(requested),))
                 if collector is not None:
                     self.seen.updateValue((collector,), (bool(ok),))
-        wanted = set(self.wanted.get()[0])
-        states = {k[0]: v[0] for k, v in self.seen.iterator()}
-        left = len(wanted - states.keys())
-        status = "pending" if not states else "running" if left else "completed" if all(states.values()) else "partial"
+            if self.patience is not None:
+                last = int(batch["at"].max().timestamp() * 1000)
+                latest = last if latest is None else max(latest, last)
+        if latest is not None:
+            set_before = list(self.handle.listTimers())
+            for timer in set_before:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max([latest + self.patience, *set_before]))
+        status, left = self._status()
         yield pd.DataFrame({"scan_id": [key[0]], "status": [status], "left": [left]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, left = self._status()
+        self.seen.clear()
+        self.wanted.clear()
+        if status not in ("completed", "partial"):
+            yield pd.DataFrame({"scan_id": [key[0]], "status": ["failed"], "left": [left]})
+
     def close(self) -> None:
         pass
 
 
+_STATES = "scan_id long, status string, left int"
+
+
 def scan_machine(events: DataFrame) -> DataFrame:
-    """A stream of events -> the status of each scan after each batch (update mode)."""
-    return events.groupBy("scan_id").transformWithStateInPandas(ScanMachine(), outputStructType="scan_id long, status string, left int", outputMode="Update", timeMode="None")
+    """A stream of events -> the status of each scan after each batch (update mode). A scan's state is kept for good."""
+    return events.groupBy("scan_id").transformWithStateInPandas(ScanMachine(), outputStructType=_STATES, outputMode="Update", timeMode="None")
+
+
+def timed_scan_machine(events: DataFrame, late: str = "10 minutes", patience: str = "1 hour") -> DataFrame:
+    """scan_machine over events with a time, `at`: a scan without events for `patience` becomes failed when the watermark has passed that
+    time, and what is kept of it is let go, as is what is kept of an ended scan. Events that come more than `late` behind are left
+    out; a scan heard of again after that begins anew."""
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+    timed = events.withWatermark("at", late).groupBy("scan_id")
+    return timed.transformWithStateInPandas(ScanMachine(wait), outputStructType=_STATES, outputMode="Update", timeMode="EventTime")
+
+
+def timed_scan_states(scans: DataFrame, done: DataFrame, now: Column, patience: str = "1 hour") -> DataFrame:
+    """The batch form: scans(id, requested, begun), done(scan_id, collector, ok, at) -> scan_states, those failed that are not ended and of
+    which nothing was heard within `patience` before now."""
+    heard = done.groupBy("scan_id").agg(F.max("at").alias("_at"))
+    states = scan_states(scans, done).join(scans.select("id", "begun"), "id").join(heard, F.col("id") == F.col("scan_id"), "left")
+    silent = F.greatest(F.col("begun"), F.col("_at")) + F.expr(f"interval {patience}") <= now
+    given_up = silent & F.col("status").isin("pending", "running")
+    return states.select("id", F.when(given_up, "failed").otherwise(F.col("status")).alias("status"), "left")
+
+
+def distinct_checks(checks: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Each check once, by its id. On streams a repetition is known for `late` after the first one, and then its state is let go; a table has
+    all repetitions at hand."""
+    if not checks.isStreaming:
+        return checks.dropDuplicates(["id"])
+    return checks.withColumn("checked_at", F.col("checked_at").cast("timestamp")).withWatermark("checked_at", late).dropDuplicatesWithinWatermark(["id"])
+
+
+def work_sessions(events: DataFrame, by: str, at: str, pause: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """events(by, at) -> by, begun, ended, done: runs of work without a pause longer than `pause`. On streams, in append mode: a run comes
+    out when the watermark has passed its end."""
+    rows = events.select(by, F.col(at).cast("timestamp").alias("_at"))
+    rows = rows.withWatermark("_at", late) if events.isStreaming else rows
+    return rows.groupBy(by, F.session_window("_at", pause)).agg(F.min("_at").alias("begun"), F.max("_at").alias("ended"), F.count("*").alias("done")).select(by, "begun", "ended", "done")
+
+
+def time_left(sessions: DataFrame, by: str, total: Column) -> DataFrame:
+    """work_sessions -> by, done, left, elapsed and eta in seconds: the time at work, pauses left out, for each piece done, times those left.
+    total is what there is to do, over the columns of the result; eta is null while no time has passed."""
+    seconds = F.unix_micros("ended") - F.unix_micros("begun")
+    sums = sessions.groupBy(by).agg(F.sum("done").alias("done"), (F.sum(seconds) / 1_000_000).alias("elapsed"))
+    sums = sums.withColumn("left", F.greatest(F.lit(0).cast("long"), total - F.col("done")))
+    return sums.withColumn("eta", F.when(F.col("elapsed") > 0, F.col("elapsed") / F.col("done") * F.col("left"))).select(by, "done", "left", "elapsed", "eta")
 
 
 def scan_queue(requests: DataFrame, work: Callable[[dict], str], abort_at: int | None = None) -> DataFrame:
@@ -98,22 +171,15 @@ def scan_queue(requests: DataFrame, work: Callable[[dict], str], abort_at: int |
 
 def fold_latest(spark: SparkSession, checks: DataFrame, folder: str) -> DataFrame:
     """Run a stream of checks over what is there now, each batch folded into the stored last state of each shop, so that every batch
-    sees what the ones before it appended. The state takes one row per shop; it is kept in two places in turn, so a batch that is
-    run again reads the same state as before. The later of both is the last state of all."""
-    schema = latest_status(checks).schema
-
-    def place(number: int) -> str:
-        return f"{folder}/latest/{number % 2}"
+    sees what the ones before it appended. Only the buckets of shops in a batch are written (sources/upsert)."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in latest_status(checks).schema.fields)
 
     def fold(batch: DataFrame, number: int) -> None:
-        known = spark.read.schema(schema).parquet(place(number - 1)).select(batch.columns)
-        latest_status(batch.unionByName(known)).write.mode("overwrite").parquet(place(number))
+        upsert.upsert(latest_status(batch), number, f"{folder}/latest", "shop_id", ["checked_at", "id"])
 
-    for number in (0, 1):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(place(number))
     query = checks.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return latest_status(spark.read.schema(schema).parquet(place(0), place(1)))
+    return upsert.stored(spark, f"{folder}/latest", schema)
 
 
 def replay(spark: SparkSession, stream: DataFrame, mode: str, folder: str) -> DataFrame:

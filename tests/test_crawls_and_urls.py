@@ -40,8 +40,8 @@ def plain_crawl(start: str, links: dict, failed: set, budget: int) -> list[str]:
     return taken
 
 
-@pytest.mark.parametrize("seed", range(1))
-def test_crawl_order_against_a_plain_crawl(spark, seed):
+@pytest.mark.parametrize(("seed", "task_links"), [(0, 200_000), (1, 200_000), (2, 200_000), (0, 40)])
+def test_crawl_order_against_a_plain_crawl(spark, seed, task_links):
     rng = random.Random(seed)
     shapes = ("/a{}", "/b/{}", "/contact/{}", "/faq{}", "/product/{}", "/shop/jas-1000{}", "/help/item/{}")
     sites, rows, failed, wanted = [], [], set(), {}
@@ -60,7 +60,7 @@ def test_crawl_order_against_a_plain_crawl(spark, seed):
         failed |= bad
         wanted[site] = plain_crawl(pages[0], links, bad, 12)
     found = crawl.crawl_order(
-        spark.createDataFrame(sites, "site string, url string"), spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([(u,) for u in failed] or [("x",)], "url string"), max_pages=12
+        spark.createDataFrame(sites, "site string, url string"), spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([(u,) for u in failed] or [("x",)], "url string"), max_pages=12, task_links=task_links,
     ).collect()
     for site, urls_ in wanted.items():
         assert [r.url for r in sorted((r for r in found if r.site == site), key=lambda r: r.place)] == urls_
@@ -101,10 +101,18 @@ def test_literal_starts():
     assert technology.literal_start(r"colou?r") == ("colo", False)
 
 
-def test_long_value_lists_are_not_searched_by_substring(spark):
-    rows = spark.createDataFrame([(k, f"v{k}", "") for k in range(20)], "shop_id long, v string, flat string")
-    with pytest.raises(ValueError):
-        technology.shared_ids_by_text(rows, rows, "shop_id", "v", "flat", most=10)
+def test_substring_search_against_a_plain_one(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcAB1é") for _ in range(n))
+    ids = [(k % 9, word(rng.choice((1, 2, 3, 4, 6)))) for k in range(80)] + [(1, "İx"), (2, ""), (3, None), (None, "abc"), (4, "not anywhere"), (4, "aaa"), (5, "aaa")]
+    texts = [(k % 12, word(rng.randrange(40))) for k in range(40)] + [(1, None), (2, ""), (3, "aaaa" * 500), (3, "aaaa" * 500), (None, "abc")]
+    found = technology.shared_ids_by_text(spark.createDataFrame(ids, "shop long, v string"), spark.createDataFrame(texts, "shop long, t string"), "shop", "v", "t")
+    wanted = {(a, b, v) for a, v in ids for b, t in texts if v and t and a is not None and b is not None and a != b and v.lower() in t.lower()}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == wanted and len(got) == len(wanted) > 100
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    none = spark.createDataFrame([], "shop long, v string, t string")
+    assert technology.shared_ids_by_text(none, none, "shop", "v", "t").collect() == []
 
 
 def test_streams_read_a_folder_behind_a_uri(spark, tmp_path):

@@ -4,7 +4,7 @@ import re
 from urllib.parse import urlsplit
 
 from evidentia.functions import fixed, html, text
-from evidentia.operators import crawl, technology
+from evidentia.operators import crawl, latest, technology
 from evidentia.plans import catalog
 from evidentia.sources import ingest
 
@@ -26,6 +26,29 @@ def test_crawl_follows_a_chain_of_pages(spark):
     assert [r.url for r in sorted(found, key=lambda r: r.place)] == pages
 
 
+def test_crawl_follows_a_long_chain(spark):
+    pages = ["https://s.nl/", *(f"https://s.nl/lijst/{k}" for k in range(1, 200))]
+    rows = spark.createDataFrame(list(zip(pages, pages[1:])) + [("https://deep.s.nl/x", "https://s.nl/contact")], "src string, dst string")
+    found = crawl.crawl_order(spark.createDataFrame([("s.nl", pages[0])], "site string, url string"), rows, max_pages=150).collect()
+    assert [r.url for r in sorted(found, key=lambda r: r.place)] == pages[:150]
+
+
+def test_as_of_within_one_group_over_many_ranges(spark):
+    """One shop has nearly all rows; compared with a plain walk."""
+    left = [(k, None if k == 5 else "hot" if k % 50 else "cold", None if k == 7 else k * 3 % 1001) for k in range(3000)]
+    right = [(k, None if k == 9 else "hot" if k % 9 else "cold", None if k == 8 else k * 7 % 997, None if k % 4 == 0 else f"v{k}") for k in range(400)]
+    found = latest.as_of(spark.createDataFrame(left, "n long, shop string, t long"), spark.createDataFrame(right, "id long, shop string, u long, v string"), "shop", "t", "u", "v", "id")
+    assert found.columns == ["n", "shop", "t", "v"]
+
+    def plain(shop, t):
+        best = max(((u, i, v) for i, s, u, v in right if s == shop and s is not None and u is not None and t is not None and u <= t), key=lambda x: x[:2], default=None)
+        return best and best[2]
+
+    got = {r.n: (r.shop, r.t, r.v) for r in found.collect()}
+    assert got == {n: (s, t, plain(s, t)) for n, s, t in left}
+    assert "_range" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def read(spark, name):
     """The rows of a query over the whole table, and those of a table."""
     return [tuple(r) for r in catalog.QUERIES[name](spark, SF).collect()]
