@@ -50,6 +50,12 @@ def settings_listed(definitions: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.select("service", "ord", "key", "label", F.col("value").isNotNull().alias("is_set"), masked(F.coalesce("value", F.lit(""))).alias("shown"))
 
 
+def settings_by_service(listed: DataFrame) -> DataFrame:
+    """settings_listed's rows by service: service, settings (in their order), n_set."""
+    items = F.sort_array(F.collect_list(F.struct("ord", "key", "label", "is_set", "shown")))
+    return listed.groupBy("service").agg(items.alias("settings"), F.count_if("is_set").alias("n_set"))
+
+
 def evidence_files(pages: DataFrame, by: str = "shop_id") -> DataFrame:
     """evidence_pages with a file name for each page and one escaped line for each finding."""
     line = lambda f: F.concat(urls.html_escaped(f["type"]), F.lit(": "), urls.html_escaped(f["value"]))

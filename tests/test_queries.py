@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from evidentia.plans import network
+from evidentia.plans import derived
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,14 +33,17 @@ def rows(columns, data):
     return sorted((tuple(plain(r[k]) for k in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(network.QUERIES))
+@pytest.mark.parametrize("name", sorted(derived.QUERIES) + [f"literal {n}" for n in derived.FIXTURES])
 def test_query(spark, db, name):
-    df = network.QUERIES[name](spark, SF)
+    literal = name.startswith("literal ")
+    name = name.removeprefix("literal ")
+    queries, sql = (derived.FIXTURES, derived.FIXTURE_SQL) if literal else (derived.QUERIES, derived.ORACLE_SQL)
+    df = queries[name](spark, SF)
     found = rows(df.columns, df.collect())
-    if name not in network.ORACLE_SQL:
+    if name not in sql:
         assert found
         return
-    cursor = db.execute(network.ORACLE_SQL[name])
+    cursor = db.execute(sql[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     wanted = rows(columns, cursor.fetchall())
