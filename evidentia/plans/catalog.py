@@ -1202,15 +1202,6 @@ def structured_data(spark, d):
     return rows.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "tax_ids", "addresses")])
 
 
-@query()
-def structured_of_pages(spark, d):
-    cases = [(-r[0], "", "".join(f'<script type="application/ld+json">{b}</script>' for b in r[1])) for r in LDJSON]
-    rows = spark.createDataFrame(cases, "id long, url string, html string").union(table(spark, d, "pages").select("page_id", "url", "html"))
-    parsed = rows.select("id", html_functions.parse_html(F.col("url"), F.col("html")).alias("p"))
-    found = parsed.select("id", html_functions.structured_data(F.col("p.ldjson")).alias("s"))
-    return found.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "tax_ids", "addresses")])
-
-
 TITLES = [("Fietsen Jansen - KVK 12345678", "Fietsen Jansen"), ("Winkel B.V. 87654321", "Winkel B.V."), ("Gewoon | Kamer van Koophandel", "Gewoon")]
 
 

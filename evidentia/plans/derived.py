@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text, urls
+from ..functions import fixed, structured, text, urls
+from ..functions import html as html_functions
 from ..operators import evidence, overview, report, risk, technology
 from ..sources import ingest
 from ..streaming import status as streams
@@ -195,3 +196,39 @@ def export_extended(spark, d):
 def _stored_list(k: int, name: str):
     turn = (F.col("o_custkey") + k) % 5
     return F.when(turn == 0, F.when(F.col("o_custkey") % 2 == 0, F.lit("[]"))).when(turn == 1, F.lit('"los"')).otherwise(F.to_json(F.col(f"all.{name}")))
+
+
+LISTED = """SELECT CASE c_custkey % 9 WHEN 0 THEN 'http://localhost/' || CAST(c_custkey AS STRING) WHEN 1 THEN 'https://www.known' || CAST(c_custkey % 40 AS STRING) || '.nl/x' WHEN 2 THEN 'New' || CAST(c_custkey % 30 AS STRING) || '.nl' ELSE 'https://shop' || CAST(c_custkey % 500 AS STRING) || '.nl' END AS url FROM customer"""
+KNOWN = "SELECT 'https://known' || CAST(s_suppkey AS STRING) || '.nl' AS url, 'Known' || CAST(s_suppkey AS STRING) || '.nl' AS domain FROM supplier"
+
+
+@query(f"""WITH l AS (SELECT url AS given, count(*) AS rows, any_value(CASE WHEN starts_with(url, 'http') THEN url ELSE 'https://' || url END) AS url FROM ({LISTED}) GROUP BY 1),
+           n AS (SELECT *, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\\.', '') AS domain FROM l)
+           SELECT given, rows, url, domain, CASE WHEN contains(url, 'localhost') THEN 'error' WHEN k.d IS NOT NULL THEN 'skipped' ELSE 'added' END AS outcome,
+           CASE WHEN contains(url, 'localhost') THEN 'internal address' WHEN k.d IS NOT NULL THEN 'known already' END AS reason FROM n LEFT JOIN (SELECT DISTINCT lower(domain) AS d FROM ({KNOWN})) k ON lower(domain) = k.d""")
+def import_outcomes(spark, d):
+    return ingest.import_outcomes(made(spark, d, LISTED, "customer"), made(spark, d, KNOWN, "supplier"))
+
+
+#: Pages of shops with what they say of themselves, by kind of block.
+SPOKEN = """CASE c_custkey % 6
+ WHEN 0 THEN concat('<script type="application/ld+json">', '{"@graph":[{"@type":"Store","email":"Info', CAST(c_custkey AS STRING), '@S.nl","telephone":"020-1234567"},{"vatID":"NL', CAST(100000000 + c_custkey AS STRING), 'B01"}]}', '</script>')
+ WHEN 1 THEN concat('<script type="application/ld+json">', '[{"address":{"streetAddress":"Weg ', CAST(c_custkey AS STRING), '","postalCode":"1234 AB","addressLocality":"Stad"}},"x"]', '</script>')
+ WHEN 2 THEN concat('<script type="application/ld+json">', '{"taxID":"', CAST(10000000 + c_custkey AS STRING), '","telephone":["0612345678",null,{"x":1}]}', '</script>')
+ WHEN 3 THEN concat('<script type="application/ld+json">', '{"note":{"text":["KvK ', CAST(20000000 + c_custkey AS STRING), '","NL91ABNA0417164300"]}}', '</script>')
+ WHEN 4 THEN concat('<script type="application/ld+json">', '{"email":"kapot@s.nl"', '</script>')
+ ELSE concat('<meta name="kvk-nummer" content="', CAST(30000000 + c_custkey AS STRING), '"><meta property="business:email" content="W', CAST(c_custkey AS STRING), '@x.nl">') END"""
+
+
+@query("""SELECT -1 - c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'info' || c_custkey || '@s.nl' WHEN 5 THEN 'w' || c_custkey || '@x.nl' ELSE '' END AS emails, CASE c_custkey % 6 WHEN 0 THEN '0201234567' WHEN 2 THEN '0612345678' ELSE '' END AS phones,
+          CASE c_custkey % 6 WHEN 2 THEN '' || (10000000 + c_custkey) WHEN 3 THEN '' || (20000000 + c_custkey) WHEN 5 THEN '' || (30000000 + c_custkey) ELSE '' END AS kvk, CASE c_custkey % 6 WHEN 0 THEN 'NL' || (100000000 + c_custkey) || 'B01' ELSE '' END AS btw,
+          CASE c_custkey % 6 WHEN 3 THEN 'NL91ABNA0417164300' ELSE '' END AS iban, CASE c_custkey % 6 WHEN 1 THEN 'Weg ' || c_custkey || ' 1234 AB Stad' ELSE '' END AS addresses FROM customer
+          UNION ALL SELECT page_id, '', '', '', '', '', '' FROM pages""")
+def structured_of_pages(spark, d):
+    """All pages, which hold no such blocks, and one for each shop."""
+    made_pages = table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("id"), F.lit("https://s.nl/").alias("url"), F.expr(SPOKEN).alias("html"))
+    rows = made_pages.union(table(spark, d, "pages").select("page_id", "url", "html"))
+    parsed = rows.select("id", html_functions.parse_html(F.col("url"), F.col("html")).alias("p"))
+    found = parsed.select("id", structured.structured_entities(F.col("p.ldjson"), F.col("p.metas")).alias("s"))
+    return found.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "kvk", "btw", "iban", "addresses")])
+

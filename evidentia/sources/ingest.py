@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
@@ -21,18 +21,51 @@ def read_shop_csv(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("length")
     if files.filter(F.col("length") > MOST_CSV_BYTES).limit(1).count():
         raise ValueError("the file is larger than 5 MiB")
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^\\ufeff", "").alias("value"))
-    first = lines.limit(1).collect()
+    # Cells in quotes may go over several lines; files are small, so a task reads one whole.
+    read = spark.read.option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+    first = spark.read.text(path).select(F.regexp_replace("value", "^\\ufeff", "")).limit(1).collect()
     cells = next(csv.reader(io.StringIO(first[0][0])), []) if first else []
     names = [c.strip().lower() for c in cells]
     column = next((k for k, n in enumerate(names) if n in fixed.URL_COLUMN_NAMES), None)
-    fields = F.from_csv("value", F.lit(", ".join(f"c{k} string" for k in range(max(1, len(cells))))))
-    out = lines.select(fields.alias("r"), "value").select(F.regexp_replace(F.col(f"r.c{column or 0}"), r"(?U)^\s+|\s+$", "").alias("url"))
+    rows = read.schema(", ".join(f"c{k} string" for k in range(max(1, len(cells))))).csv(path)
+    out = rows.select(F.regexp_replace(F.coalesce(F.col(f"c{column or 0}"), F.lit("")), r"(?U)^[\s\ufeff]+|\s+$", "").alias("url"))
     if column is not None:
         out = out.filter(~F.lower("url").isin(fixed.URL_COLUMN_NAMES))
     return out.filter("url <> ''")
 
 
+def import_outcomes(listed: DataFrame, shops: DataFrame) -> DataFrame:
+    """listed(url) -> given, rows, url, domain, outcome, reason: one row for each different URL of a shop list and how often it is there. added: a
+    shop of a domain that is not known (of several URLs of a domain, the least one); skipped: the shop is known, by URL or by
+    domain, or the list has its domain already; error: an internal address. A repetition of an added URL counts as skipped."""
+    once = listed.groupBy(F.col("url").alias("given")).agg(F.count("*").alias("rows"))
+    named = once.withColumn("url", urls.with_scheme(F.col("given"))).withColumn("domain", urls.domain(F.col("url"))).withColumn("_key", F.lower("domain"))
+    public = F.coalesce(urls.public_url(F.col("url"), F.lit(None).cast("array<string>")), F.lit(False))
+    by_url = shops.select("url").distinct().withColumn("_url", F.lit(True))
+    by_domain = shops.select(F.lower("domain").alias("_key")).distinct().withColumn("_domain", F.lit(True))
+    placed = named.withColumn("_public", public).join(by_url, "url", "left").join(by_domain, "_key", "left").withColumn("_known", F.col("_url").isNotNull() | F.col("_domain").isNotNull())
+    firsts = placed.filter("_public and not _known").groupBy("_key").agg(F.min(F.struct("url", "given"))["given"].alias("_first"))
+    whole = placed.join(firsts, "_key", "left")
+    outcome = F.when(~F.col("_public"), "error").when(F.col("_known"), "skipped").when(F.col("given") == F.col("_first"), "added").otherwise("skipped")
+    reason = F.when(~F.col("_public"), "internal address").when(F.col("_known"), "known already").when(F.col("given") != F.col("_first"), "domain is in the list already")
+    return whole.select("given", "rows", "url", "domain", outcome.alias("outcome"), reason.alias("reason"))
+
+
+def import_shops(listed: DataFrame, shops: DataFrame, folder: str) -> dict[str, int]:
+    """Append the new shops (url, domain) to a folder of Parquet and say how many rows of the list were added, skipped and errors. They are counted
+    in the pass that writes."""
+    seen = Observation()
+    added = F.when(F.col("outcome") == "added", 1).otherwise(0)
+    counts = {
+        "total_processed": F.sum("rows"), "added": F.sum(added), "skipped": F.sum(F.when(F.col("outcome") != "error", F.col("rows") - added)),
+        "errors": F.sum(F.when(F.col("outcome") == "error", F.col("rows"))),
+    }
+    outcomes = import_outcomes(listed, shops).observe(seen, *[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in counts.items()])
+    # Which rows are written is decided after they were counted: a filter below would count new shops only.
+    outcomes.withColumn("_keep", F.col("outcome") == "added").filter("_keep").select("url", "domain").write.mode("append").parquet(folder)
+    return dict(seen.get)
+
+
 def new_shops(listed: DataFrame, shops: DataFrame) -> DataFrame:
     """listed(url) -> url, domain of shops not yet known by URL or by domain, each once. Two anti joins in a row keep both
     conditions equi-joins."""

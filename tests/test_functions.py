@@ -1,5 +1,8 @@
 """Literal cases of the extraction functions, and properties."""
 
+import csv
+import io
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,3 +116,19 @@ def test_shop_csv(spark, tmp_path, lines, wanted):
 
 def test_schemas(spark):
     assert all(schemas.empty(spark, name).columns for name in schemas.TABLES)
+
+
+def test_import_counts(spark, tmp_path):
+    text = '\ufeffnaam,Website ,x\n"Jan, de\n Wit",www.jan.nl,1\n,, \nPiet,https://piet.nl/a,"q ""x"""\nPiet,https://piet.nl/a,2\nP,piet.nl,3\nK,http://known.nl/other,\nU,https://u.nl/exact,\nL,http://localhost/x,\nkort\n'
+    path = tmp_path / "shops.csv"
+    path.write_bytes(text.encode())
+    listed = ingest.read_shop_csv(spark, str(path))
+    rows = [r for r in csv.reader(io.StringIO(text.lstrip("\ufeff")))][1:]
+    assert sorted(r.url for r in listed.collect()) == sorted(r[1].strip() for r in rows if len(r) > 1 and r[1].strip())
+    shops = spark.createDataFrame([("https://known.nl", "Known.nl"), ("https://u.nl/exact", "elders.nl")], "url string, domain string")
+    counts = ingest.import_shops(listed, shops, str(tmp_path / "new"))
+    assert counts == {"total_processed": 7, "added": 2, "skipped": 4, "errors": 1}
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "new")).collect()) == [("https://piet.nl", "piet.nl"), ("https://www.jan.nl", "jan.nl")]
+    assert ingest.import_shops(listed.limit(0), shops, str(tmp_path / "none")) == {"total_processed": 0, "added": 0, "skipped": 0, "errors": 0}
+    again = spark.read.parquet(str(tmp_path / "new")).union(shops.select("url", "domain"))
+    assert ingest.import_shops(listed, again, str(tmp_path / "again"))["added"] == 0

@@ -83,16 +83,11 @@ def test_links_of_whole_pages(spark):
     assert sorted(read(spark, "social_of_links")) == [(k, u, platform(u)) for k, u in links]
 
 
-def test_identities_and_structured_data_of_whole_pages(spark):
+def test_identities_of_whole_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     shopify = {p.page_id: p.html or "" for p in pages} | {-r[0]: r[1] for r in catalog.SHOPIFY}
     found = {r[0]: r[1:] for r in read(spark, "shopify_of_pages")}
     assert found == {k: tuple("|".join(sorted(set(re.findall(x, t)))) for x in fixed.SHOPIFY_IDENTITIES.values()) for k, t in shopify.items()}
-    found = {r[0]: r[1:] for r in read(spark, "structured_of_pages")}
-    blocks = {p.page_id: html.parse(p.url, p.html)[4] for p in pages}
-    assert found.keys() == blocks.keys() | {-r[0] for r in catalog.LDJSON}
-    assert all(found[-r[0]] == r[2:] for r in catalog.LDJSON)
-    assert all(found[k] == ("",) * 4 for k, own in blocks.items() if not own)
 
 
 def test_addresses_after_a_long_run_of_words(spark):
