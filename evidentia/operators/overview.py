@@ -56,9 +56,10 @@ def detail(shops: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """shops with one array of records per child table, in the order of their ids; empty where there are none. A shop's
     records are one row here, so this is for shops that are looked at, not for whole histories."""
     out = shops
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)  # noqa: E731 - records with maps have no order of their own
     for name, rows in children.items():
         fields = [c for c in rows.columns if c != "shop_id"]
-        nested = rows.groupBy("shop_id").agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in fields if c != "id"]))).alias(name))
+        nested = rows.groupBy("shop_id").agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in fields if c != "id"])), by_id).alias(name))
         out = out.join(nested, out["id"] == nested["shop_id"], "left").drop("shop_id").withColumn(name, F.coalesce(name, F.array()))
     return out
 

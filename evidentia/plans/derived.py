@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, structured, text, urls
 from ..functions import html as html_functions
-from ..operators import evidence, overview, report, risk, technology
-from ..sources import ingest
+from ..operators import evidence, overview, report, risk, shop_report, technology
+from ..sources import ingest, schemas
 from ..streaming import status as streams
-from .catalog import CHECKS, SCANS, SHOPS, joined, query, shop_facts, table
+from .catalog import CHECKS, SCANS, SHOPS, checks, joined, query, scans, shop_facts, table
 from .network import ORACLE_SQL, QUERIES, made
 
 __all__ = ["FIXTURES", "FIXTURE_SQL", "ORACLE_SQL", "QUERIES"]
@@ -232,3 +232,83 @@ def structured_of_pages(spark, d):
     found = parsed.select("id", structured.structured_entities(F.col("p.ldjson"), F.col("p.metas")).alias("s"))
     return found.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "kvk", "btw", "iban", "addresses")])
 
+
+
+# --- the whole report of every shop
+
+#: Evidence of shop k in the columns of sources/schemas.py: when there is any, and its columns.
+EVIDENCE = {
+    "scrape": ("k % 2 = 0", {
+        "emails": "array(concat('a', k, '@s.nl'))", "kvk": "array(cast(10000000 + k AS string))", "iban": "array('DE1', 'NL2')", "social": "map('facebook', concat('fb', k))", "has_contact": "k % 3 = 0", "has_privacy": "k % 4 = 0",
+        "is_opening_soon": "k % 5 = 0", "languages": "array('nl', 'xx')", "sources": "map(concat('a', k, '@s.nl'), array('p1', 'p2', 'p3', 'p4'))"}),
+    "whois": ("k % 5 = 0", {"registrar": "name", "registrant_country": "'NL'", "registration_date": "DATE '2020-01-01'", "domain_age_days": "cast(k AS int)", "is_privacy_protected": "CASE WHEN k % 10 = 0 THEN true END", "name_servers": "array('ns1', 'ns2')"}),
+    "ssl": ("k % 7 = 0", {"has_ssl": "true", "issuer": "name", "valid_from": "TIMESTAMP '2024-01-01 00:00:00'", "is_self_signed": "k % 14 = 0"}),
+    "dns_http": ("k % 11 = 0", {"a_records": "array('10.0.0.1')", "has_mx": "true", "security_score": "cast(k % 100 AS int)", "redirects": "array(struct('http://s.nl', 301, 'https://s.nl'), struct('https://s.nl', 200, ''))"}),
+    "tech": ("k % 3 = 0", {"technologies": "map('payment', array('iDEAL', 'PayPal'))", "ecommerce_platform": "'Magento'", "payment_providers": "array('iDEAL', 'PayPal')"}),
+    "trustmark": ("k % 13 = 0", {"verifications": "array(struct('Thuiswinkel', 'not_found', true, false))"}),
+    "kvk": ("k % 4 = 1", {"kvk_number": "cast(10000000 + k AS string)", "company_name": "name", "street": "'Weg'", "house_number": "'1'", "city": "'Stad'"}),
+    "ad_tracker": ("k % 6 = 0", {"trackers": "array(struct('GA', 'UA-1', 'UA-1'))", "cross_references": "array(struct('UA-1', k + 1), struct('UA-1', k + 0))"}),
+    "scam": ("k % 8 = 0", {"flagged": "true", "total_hits": "3", "checks": "array(struct('opgelicht.nl', true, 3, array('a', 'b', 'c')), struct('x', false, 0, cast(array() AS array<string>)))"}),
+    "bag_validation": ("k % 9 = 0", {"addresses_checked": "2", "addresses_valid": "1", "addresses_invalid": "0", "results": "array(struct('A', true, 9.0D), struct('B', cast(null AS boolean), cast(null AS double)))"}),
+}
+
+
+def evidence_of_shops(spark, d):
+    """The evidence tables of all shops, each with an older record that must not count (of register entries there is none)."""
+    k = table(spark, d, "customer").selectExpr("c_custkey AS k", "c_name AS name")
+    out = {}
+    for name, (when, columns) in EVIDENCE.items():
+        schema = schemas.empty(spark, name).schema
+        own = {"id": "k", "shop_id": "k", **columns}
+        rows = k.filter(when).select(*[F.expr(own.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in schema])
+        old = k.filter(when).select(*[F.expr({"id": "-1 - k", "shop_id": "k"}.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in schema])
+        out[name] = rows if name == "kvk" else rows.unionByName(old)
+    return out
+
+
+def _yes(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 'Ja' ELSE 'Nee' END"
+
+
+_EVEN, _W, _T = "k % 2 = 0", "k % 5 = 0", "k % 3 = 0"
+#: The lines of a report in SQL: section, whether it has the lines, and (label, value) of each.
+REPORTED = [
+    ("Samenvatting", "true", [("E-mailadressen gevonden", f"CASE WHEN {_EVEN} THEN '1' ELSE '0' END"), ("Telefoonnummers gevonden", "'0'"), ("Adressen gevonden", "'0'"), ("Contactpagina", _yes("k % 6 = 0")), ("Privacybeleid", _yes("k % 4 = 0")), ("Algemene voorwaarden", "'Nee'"), ("Retourbeleid", "'Nee'")]),
+    ("Vragenlijst", "true", [("Binnenkort geopend?", _yes("k % 10 = 0")), ("In onderhoud?", "'Nee'"), ("Talen op de website", f"CASE WHEN {_EVEN} THEN 'Nederlands, XX' ELSE '—' END"), *[(x, "'Nee'") for x in ("Levertijd vermeld?", "Pre-orders mogelijk?", "Contact via WhatsApp?", "Verdacht lage prijzen?")]]),
+    ("Bedrijfsgegevens", "true", [("KvK-nummer", f"CASE WHEN {_EVEN} THEN '' || (10000000 + k) ELSE '—' END"), ("BTW-nummer", "'—'")]),
+    ("Betalingen & Bankgegevens", "true", [("Betaalmethoden gedetecteerd", f"CASE WHEN {_T} THEN 'iDEAL, PayPal' ELSE 'Niet gedetecteerd' END")]),
+    ("Betalingen & Bankgegevens", _EVEN, [None, ("IBAN Nederland", "'NL2'"), ("IBAN Duitsland", "'DE1'")]),
+    ("WHOIS Domeinregistratie", f"NOT ({_W})", [("WHOIS", "'Geen WHOIS-data beschikbaar'")]),
+    ("WHOIS Domeinregistratie", _W, [("Registrar", "name"), ("Land", "'NL'"), ("Geregistreerd", "'2020-01-01'"), ("Vervalt", "'—'"), ("Domeinleeftijd", "CASE WHEN k <> 0 THEN k || ' dagen' ELSE '—' END"), ("Privacy beschermd", "CASE WHEN k % 10 = 0 THEN 'Ja' ELSE '—' END"), ("Naamservers", "'ns1, ns2'")]),
+    ("SSL Certificaat", "k % 7 = 0", [("SSL actief", "'Ja'"), ("Uitgever", "name"), ("Geldig vanaf", "'2024-01-01'"), ("Geldig tot", "'—'"), ("Verlopen", "'Nee'"), ("Self-signed", _yes("k % 14 = 0"))]),
+    ("DNS Records & HTTP Security", "k % 11 = 0", [("A records", "'10.0.0.1'"), ("MX (e-mail)", "'Ja'"), ("SPF", "'Nee'"), ("DMARC", "'Nee'"), ("Security headers score", "k % 100 || '%'"), ("HTTP → HTTPS redirect", "'Ja'"), ("Aantal redirects", "'1'"), ("Domein wijzigt bij redirect", "'Nee'")]),
+    ("Technologie Detectie", _T, [("E-commerce platform", "'Magento'"), ("Betaalmethoden", "'iDEAL, PayPal'")]),
+    ("Keurmerk Verificatie", "k % 13 = 0", [("Thuiswinkel", "'Niet gevonden (geclaimd, niet geverifieerd)'")]),
+    ("KVK Handelsregister", "k % 4 = 1", [("KVK-nummer", "'' || (10000000 + k)"), ("Bedrijfsnaam", "name"), ("Rechtsvorm", "'—'"), ("Adres", "'Weg 1'"), ("Plaats", "'Stad'"), ("Actief", "'Onbekend'")]),
+    ("Advertentie Trackers", "k % 6 = 0", [("GA", "'UA-1'"), ("Cross-referentie UA-1", "k || ', ' || (k + 1)")]),
+    ("Fraudedatabases Check", "k % 8 = 0", [("In fraudedatabase gevonden", "'Ja'"), ("Aantal meldingen", "'3'"), ("Gevonden in", "'opgelicht.nl'"), ("opgelicht.nl", "'3: a | b'")]),
+    ("Gevonden contactgegevens", _EVEN, [("E-mailadres", "'a' || k || '@s.nl'"), ("  Gevonden op", "'p1, p2, p3'")]),
+    ("Adresvalidatie BAG/PDOK", "k % 9 = 0", [("Gecontroleerde adressen", "'2'"), ("Geldig (in BAG)", "'1'"), ("Ongeldig / niet gevonden", "'0'"), ("A", "'✓ Geldig'"), ("B", "'? Onbekend'")]),
+    ("Social media", _EVEN, [("facebook", "'fb' || k")]),
+]
+
+
+@query("WITH c AS (SELECT c_custkey AS k, c_name AS name FROM customer) " + " UNION ALL ".join(
+    f"SELECT k AS shop_id, '{section}' AS section, {ord_} AS ord, '{line[0]}' AS label, {line[1]} AS value FROM c WHERE {when}" for section, when, lines in REPORTED for ord_, line in enumerate(lines) if line))
+def shop_reports(spark, d):
+    shops = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return shop_report.shop_report(shops, evidence_of_shops(spark, d))
+
+
+#: The kinds of records of a shop's detail document.
+CHILDREN = ("scans", *EVIDENCE, "status_check")
+
+
+@query("SELECT c_custkey AS id, " + ", ".join(f"""CASE WHEN {when} THEN '{"k" if name == "kvk" else "-1-k,k"}' ELSE '' END AS {name}""".replace("'-1-k,k'", "(-1 - c_custkey) || ',' || c_custkey").replace("'k'", "'' || c_custkey").replace("k %", "c_custkey %") for name, (when, _) in EVIDENCE.items())
+       + f""", coalesce(s.ids, '') AS scans, coalesce(e.ids, '') AS status_check FROM customer LEFT JOIN (SELECT shop_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM {SCANS} GROUP BY 1) s ON s.shop_id = c_custkey
+       LEFT JOIN (SELECT shop_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM {CHECKS} GROUP BY 1) e ON e.shop_id = c_custkey""")
+def shop_details(spark, d):
+    """Every shop's document with all kinds of records; shown are the ids that each kind holds."""
+    children = {"scans": scans(spark, d).select("id", "shop_id", "status"), **evidence_of_shops(spark, d), "status_check": checks(spark, d).select("id", "shop_id", "is_online", "checked_at")}
+    nested = overview.detail(table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS domain"), children)
+    return nested.select("id", *[F.array_join(F.transform(name, lambda x: x["id"].cast("string")), ",").alias(name) for name in CHILDREN])
