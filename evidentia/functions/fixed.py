@@ -237,3 +237,9 @@ SKIPPED_SITES = [
     "duckduckgo.com", "google.com", "facebook.com", "github.com", "stackoverflow.com", "w3schools.com", "developer.mozilla.org",
     "support.google.com", "ads.google.com", "business.facebook.com",
 ]
+
+#: Hosts that say nothing of an id's owner, by platform.
+SKIPPED_OWNERS = {"google_ads": ["duckduckgo.com", "google.com"], "meta": ["duckduckgo.com", "facebook.com", "google.com"]}
+
+#: Fraud lists, and whether a page's own words that nothing was found count against its mentions.
+FRAUD_SOURCES = {"opgelicht": True, "fraudehelpdesk": True, "watchlist": False}

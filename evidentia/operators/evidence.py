@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,6 +200,19 @@ def fraud_hits(items: Column, text: Column, domain: Column, phrases: bool = True
     return F.when(F.size(hits) > 0, hits).otherwise(general)
 
 
+def fraud_record(answers: DataFrame, by: str, shown: int = 5) -> DataFrame:
+    """answers(by, source, domain, items, text), one for each fraud list and shop -> one record for each shop: whether and how often each list has its
+    domain, the hits that are kept (cut after counting), all hits, and whether any list has it. A list without an answer found nothing."""
+    by_source = reduce(lambda rest, s: F.when(F.col("source") == s[0], fraud_hits(F.col("items"), F.col("text"), F.col("domain"), s[1])).otherwise(rest), fixed.FRAUD_SOURCES.items(), F.array().cast("array<string>"))
+    found = answers.filter(F.col("source").isin(*fixed.FRAUD_SOURCES)).select(by, "source", by_source.alias("hits"))
+    none = F.array().cast("array<string>")
+    per = [F.coalesce(F.max(F.when(F.col("source") == s, F.col("hits"))), none).alias(f"{s}_hits") for s in fixed.FRAUD_SOURCES]
+    wide = found.groupBy(by).agg(*per)
+    counts = {f"{s}_count": F.size(f"{s}_hits") for s in fixed.FRAUD_SOURCES}
+    wide = wide.withColumns(counts).withColumn("total_hits", sum((F.col(c) for c in counts), F.lit(0))).withColumn("flagged", F.col("total_hits") > 0)
+    return wide.select(by, "flagged", "total_hits", *[c for s in fixed.FRAUD_SOURCES for c in ((F.col(f"{s}_count") > 0).alias(f"{s}_found"), F.col(f"{s}_count"), F.slice(f"{s}_hits", 1, shown).alias(f"{s}_hits"))])
+
+
 def warning_level(items: Column) -> Column:
     """The level that result items (struct<text, classes>) leave in their order: high and medium replace what was before, low does not."""
 

@@ -222,3 +222,28 @@ def analytics_lines(answer: Column) -> Column:
     lines = F.transform(F.split(F.trim(answer), "\n"), lambda x: F.split(F.trim(x), ","))
     pairs = F.transform(F.filter(lines, lambda p: F.size(p) == 2), lambda p: F.struct(F.trim(p[0]).alias("subdomain"), F.trim(p[1]).alias("id")))
     return F.when(F.lower(answer).contains("error"), F.array().cast("array<struct<subdomain:string,id:string>>")).otherwise(pairs)
+
+
+def owner_results(results: DataFrame, by: str, platform: str, most: int = 10) -> DataFrame:
+    """results(by, place, url, title) of a search for the owner of a platform's id -> the first `most` pages that are not the platform's own or a
+    search engine's: by, place, domain, url, title (at most 100 letters). A domain may come more than once."""
+    from ..functions import urls
+
+    sites = results.filter(F.col("url").startswith("http")).withColumn("domain", urls.host(F.col("url")))
+    sites = sites.filter((F.col("domain") != "") & ~F.col("domain").isin(fixed.SKIPPED_OWNERS[platform]))
+    ranked = sites.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("place", "url"))).filter(F.col("place") <= most)
+    return ranked.select(by, "place", "domain", "url", F.substring("title", 1, 100).alias("title"))
+
+
+def related_sites(links: Column, most: int = 20) -> Column:
+    """Sites with the same id, of a page's links (struct<href, text>): the names of those that lead on (/go/), each once, the first `most` in
+    their order."""
+    names = F.transform(F.filter(links, lambda x: x["href"].contains("/go/")), lambda x: F.lower(F.trim(x["text"])))
+    return F.slice(F.array_sort(F.array_distinct(F.filter(names, lambda n: n.contains(".") & (F.length(n) > 3)))), 1, most)
+
+
+def reverse_lines(id_: Column, answer: Column) -> Column:
+    """The domains of a reverse lookup's lines; only Analytics and Tag Manager ids have any, and none if the answer speaks of an error."""
+    domains = F.filter(F.transform(F.split(F.trim(answer), "\n"), lambda x: F.trim(x)), lambda x: x.contains("."))
+    asked = (id_.startswith("UA-") | id_.startswith("GTM-")) & ~F.lower(answer).contains("error")
+    return F.when(asked, domains).otherwise(F.array().cast("array<string>"))

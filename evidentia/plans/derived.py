@@ -234,6 +234,49 @@ def structured_of_pages(spark, d):
 
 
 
+@query(f"""WITH h AS (SELECT shop_id, place, title, CASE WHEN place % 7 = 0 THEN 'google.com' ELSE 's' || place % 23 || '.nl' END AS domain, url FROM ({FOUND}) WHERE place % 7 <> 1),
+           r AS (SELECT p.platform, h.*, row_number() OVER (PARTITION BY p.platform, shop_id ORDER BY place) AS n FROM h, (VALUES ('google_ads'), ('meta')) AS p(platform) WHERE domain <> 'google.com')
+           SELECT platform, shop_id, n AS place, domain, url, title[1:100] AS title FROM r WHERE n <= 10""")
+def tracker_owners(spark, d):
+    found = made(spark, d, FOUND, "orders")
+    both = [technology.owner_results(found, "shop_id", p).select(F.lit(p).alias("platform"), "*") for p in fixed.SKIPPED_OWNERS]
+    return both[0].union(both[1])
+
+
+@query("""WITH l AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN 's' || o_orderkey % 40 || '.nl' END AS name FROM orders)
+          SELECT id, coalesce(array_to_string(list_sort(list_distinct(list(name) FILTER (name IS NOT NULL)))[1:20], '|'), '') AS sites FROM l GROUP BY 1""")
+def spied_sites(spark, d):
+    key = F.col("o_orderkey")
+    link = F.struct(F.when(key % 3 == 1, F.concat(F.lit("https://x.com/go/"), key.cast("string"))).when(key % 3 == 2, "/go/y").otherwise("/stop/").alias("href"), F.concat(F.lit(" S"), (key % 40).cast("string"), F.lit(".NL ")).alias("text"))
+    links = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(link).alias("links"))
+    return links.select("id", joined(technology.related_sites(F.col("links"))).alias("sites"))
+
+
+@query("""SELECT o_custkey AS id, CASE WHEN o_custkey % 3 = 2 OR o_custkey % 10 = 0 THEN '' ELSE coalesce(string_agg('s' || o_orderkey || '.nl', '|' ORDER BY o_orderkey) FILTER (o_orderkey % 4 > 0), '') END AS domains FROM orders GROUP BY 1""")
+def reverse_lookups(spark, d):
+    key, shop = F.col("o_orderkey"), F.col("o_custkey")
+    line = F.when(key % 4 > 0, F.concat(F.lit("s"), key.cast("string"), F.lit(".nl "))).otherwise("geen")
+    lines = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias("a"))
+    name = F.when(shop % 3 == 0, "UA-1").when(shop % 3 == 1, "GTM-2").otherwise("G-3")
+    answer = F.when(shop % 10 == 0, F.concat(F.lit("error "), F.col("a"))).otherwise(F.col("a"))
+    return lines.select(shop.alias("id"), joined(technology.reverse_lines(name, answer)).alias("domains"))
+
+
+FRAUD_COUNTS = f"""(SELECT doc_id // 3 AS shop_id, doc_id % 3 AS s, CASE WHEN len(hits) > 0 THEN len(hits) WHEN times >= 2 AND (doc_id % 3 = 2 OR NOT quiet) THEN 1 ELSE 0 END AS n FROM (
+    SELECT doc_id, len(list_filter(string_split(low, chr(10)), lambda x: length(x) > 200 AND contains(x, 'men'))) AS n_hits, list_filter(string_split(low, chr(10)), lambda x: length(x) > 200 AND contains(x, 'men')) AS hits,
+           (length(low) - length(replace(low, 'men', ''))) // 3 AS times, list_bool_or([{', '.join(f"contains(low, '{x}')" for x in fixed.NO_RESULTS)}]) AS quiet FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)))"""
+
+
+@query(f"""SELECT shop_id, sum(n) > 0 AS flagged, sum(n)::INTEGER AS total_hits, {', '.join(f"coalesce(max(n) FILTER (s = {k}), 0) > 0 AS {name}_found, coalesce(max(n) FILTER (s = {k}), 0)::INTEGER AS {name}_count, least(5, coalesce(max(n) FILTER (s = {k}), 0))::INTEGER AS {name}_shown" for k, name in enumerate(fixed.FRAUD_SOURCES))} FROM {FRAUD_COUNTS} GROUP BY 1""")
+def fraud_records(spark, d):
+    """Documents as answers of three fraud lists, three of them to a shop; their long lines are result items."""
+    body, names = F.coalesce("text", F.lit("")), F.array(*map(F.lit, fixed.FRAUD_SOURCES))
+    items = F.transform(F.filter(F.split(body, "\n"), lambda x: F.length(x) > 200), lambda x: F.struct(x.alias("text"), F.lit(None).cast("string").alias("title")))
+    answers = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("shop_id"), F.get(names, (F.col("doc_id") % 3).cast("int")).alias("source"), F.lit("men").alias("domain"), items.alias("items"), body.alias("text"))
+    record = evidence.fraud_record(answers, "shop_id")
+    return record.withColumns({f"{s}_hits": F.size(f"{s}_hits") for s in fixed.FRAUD_SOURCES}).withColumnsRenamed({f"{s}_hits": f"{s}_shown" for s in fixed.FRAUD_SOURCES})
+
+
 # --- the whole report of every shop
 
 #: Evidence of shop k in the columns of sources/schemas.py: when there is any, and its columns.
