@@ -209,7 +209,8 @@ def test_near_duplicates(docs, words, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted and all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-def test_near_copies_around_one_text(spark):
+@pytest.mark.parametrize("need", [None, 1])
+def test_near_copies_around_one_text(spark, need):
     random.seed(5)
     base = [f"w{k}" for k in range(150)]
     rows = [(0, " ".join(base))]
@@ -218,7 +219,7 @@ def test_near_copies_around_one_text(spark):
         for at in random.sample(range(150), random.randint(1, 7)):
             w[at] = f"x{random.randint(0, 60)}"
         rows.append((k, " ".join(w)))
-    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, need).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, 85)
 
 

@@ -124,3 +124,13 @@ def test_pieces_query(spark, texts):
     _, rows = rows_of(spark, "op10_pieces")
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)
     assert all(r["lossless"] and (r["n_pieces"] > 0) == bool(texts[r["doc_id"]].strip()) for r in rows)
+
+
+@pytest.mark.parametrize(("name", "label", "least_of_ones", "least_of_zeros"), [("op1_quality", "quality", 0.9, 0.9), ("op7_toxicity", "toxic", 0.55, 0.97)])
+def test_classifiers_on_held_out_labels_of_a_small_table(spark, name, label, least_of_ones, least_of_zeros):
+    """Recall of both kinds through the registered query; the toxicity learner has 37 toxic texts here, so its invented words stay unknown."""
+    sf = "/root/testdata/sf0.01"
+    given = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{sf}/labels.parquet'").fetchall())
+    rows = [r for r in QUERIES[name](spark, sf).collect() if r.held_out and r.doc_id in given]
+    recall = [sum(r.predicted == k for r in rows if given[r.doc_id] == k) / sum(given[r.doc_id] == k for r in rows) for k in (0, 1)]
+    assert recall[1] >= least_of_ones and recall[0] >= least_of_zeros
