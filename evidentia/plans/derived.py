@@ -4,12 +4,16 @@ that it was made of. The literal rows stay as FIXTURES, which the tests run and
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed, structured, text, urls
 from ..functions import html as html_functions
-from ..operators import evidence, overview, report, risk, shop_report, technology
+from ..operators import crawl, evidence, overview, report, responses, risk, shop_report, technology
 from ..sources import ingest, schemas
+from ..sources.shared import shared_folder
 from ..streaming import status as streams
 from .catalog import CHECKS, SCANS, SHOPS, checks, joined, query, scans, shop_facts, table
 from .network import ORACLE_SQL, QUERIES, made
@@ -355,3 +359,40 @@ def shop_details(spark, d):
     children = {"scans": scans(spark, d).select("id", "shop_id", "status"), **evidence_of_shops(spark, d), "status_check": checks(spark, d).select("id", "shop_id", "is_online", "checked_at")}
     nested = overview.detail(table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS domain"), children)
     return nested.select("id", *[F.array_join(F.transform(name, lambda x: x["id"].cast("string")), ",").alias(name) for name in CHILDREN])
+
+
+# --- answers, documents and stored evidence
+
+
+@query("""SELECT id, shop_id, registrar, registration_date, expiration_date, domain_age_days, registrant_country, name_servers, is_privacy_protected, raw_data, collected_at FROM (
+          SELECT c_custkey AS id, c_custkey AS shop_id, c_name AS registrar, DATE '2020-01-01' AS registration_date, NULL::DATE AS expiration_date, c_custkey::INTEGER AS domain_age_days, 'NL' AS registrant_country, '["ns1","ns2"]' AS name_servers,
+                 CASE WHEN c_custkey % 10 = 0 THEN true END AS is_privacy_protected, NULL::VARCHAR AS raw_data, NULL::TIMESTAMP AS collected_at FROM customer WHERE c_custkey % 5 = 0
+          UNION ALL SELECT -1 - c_custkey, c_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 5 = 0)""")
+def whois_responses(spark, d):
+    return responses.response(evidence_of_shops(spark, d)["whois"], "whois")
+
+
+@query("""SELECT c_custkey AS id, '{"id":' || c_custkey || ',"domain":"' || c_name || '","scans":[' || coalesce(s.items, '') || ']}' AS json FROM customer LEFT JOIN (
+          SELECT o_custkey, string_agg('{"id":' || o_orderkey || ',"status":"' || CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'partial' ELSE 'running' END || '"}', ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1) s ON o_custkey = c_custkey""")
+def shop_documents(spark, d):
+    shops = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS domain")
+    return overview.detail_json(overview.detail(shops, {"scans": scans(spark, d).select("id", "shop_id", "status")}))
+
+
+@query("WITH c AS (SELECT c_custkey AS k FROM customer) " + " UNION ALL ".join(f"SELECT '{name}' AS kind, count(*){'' if name == 'kvk' else ' * 2'} AS records, count(*) AS shops, sum(k)::BIGINT{'' if name == 'kvk' else ' - sum(k + 1)::BIGINT'} AS ids FROM c WHERE {when}" for name, (when, _) in EVIDENCE.items()))
+def evidence_stored(spark, d):
+    """All evidence appended to Parquet and read again with its declared schema."""
+    folder = f"{shared_folder(spark)}/evidentia-evidence-{uuid.uuid4().hex}"
+    counts = []
+    for name, rows in evidence_of_shops(spark, d).items():
+        ingest.append(rows, folder, name)
+        counts.append(schemas.read(spark, folder, name).agg(F.lit(name).alias("kind"), F.count("*").alias("records"), F.countDistinct("shop_id").alias("shops"), F.sum("id").alias("ids")))
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS shop_id, 'v' || o_orderkey % 5 AS value, 'page-' || o_orderkey AS url FROM orders)
+          SELECT shop_id, value, array_to_string(list_sort(list(url))[1:3], '|') AS shown FROM f GROUP BY 1, 2""")
+def sources_of_values(spark, d):
+    found = table(spark, d, "orders").select(F.col("o_custkey").alias("shop_id"), F.lit("x").alias("type"), F.concat(F.lit("v"), (F.col("o_orderkey") % 5).cast("string")).alias("value"), F.concat(F.lit("page-"), F.col("o_orderkey").cast("string")).alias("url"))
+    shown = report.sources_shown(found.select("shop_id", "value").distinct(), crawl.provenance(found), "shop_id")
+    return shown.select("shop_id", "value", joined(F.col("shown")).alias("shown"))
