@@ -15,8 +15,8 @@ from ..operators import crawl, evidence, overview, report, responses, risk, shop
 from ..sources import ingest, schemas
 from ..sources.shared import shared_folder
 from ..streaming import status as streams
-from .catalog import CHECKS, SCANS, SHOPS, checks, joined, query, scans, shop_facts, table
-from .network import ORACLE_SQL, QUERIES, made
+from .catalog import CHECKS, SCANS, SESSIONS, SHOPS, _stream, checks, joined, query, scans, shop_facts, table
+from .network import ORACLE_SQL, QUERIES, REQUESTED, made
 
 __all__ = ["FIXTURES", "FIXTURE_SQL", "ORACLE_SQL", "QUERIES"]
 
@@ -396,3 +396,30 @@ def sources_of_values(spark, d):
     found = table(spark, d, "orders").select(F.col("o_custkey").alias("shop_id"), F.lit("x").alias("type"), F.concat(F.lit("v"), (F.col("o_orderkey") % 5).cast("string")).alias("value"), F.concat(F.lit("page-"), F.col("o_orderkey").cast("string")).alias("url"))
     shown = report.sources_shown(found.select("shop_id", "value").distinct(), crawl.provenance(found), "shop_id")
     return shown.select("shop_id", "value", joined(F.col("shown")).alias("shown"))
+
+
+# --- streams and their time
+
+
+@query(f"SELECT id, shop_id, is_online, response_ms, checked_at FROM {CHECKS}")
+def stream_checks_once(spark, d):
+    """A stream that brings every check twice, each let through once within the watermark."""
+    stream, folder = _stream(spark, d)
+    return streams.replay(spark, streams.distinct_checks(stream.union(stream), late="365 days"), "append", folder)
+
+
+@query(f"SELECT shop_id, begun, ended, done FROM {SESSIONS}")
+def work_sessions_of_shops(spark, d):
+    return streams.work_sessions(checks(spark, d), "shop_id", "checked_at")
+
+
+@query(f"""WITH done AS (SELECT l_orderkey AS scan_id, list_distinct(list(l_returnflag)) AS names, bool_and(l_quantity < 45) AS all_ok, max(TIMESTAMP '1998-01-01 00:00:00' + INTERVAL 1 HOUR * (l_orderkey % 6) + INTERVAL 1 MINUTE * l_linenumber) AS heard FROM lineitem GROUP BY 1),
+           j AS (SELECT id, names, all_ok, greatest(TIMESTAMP '1998-01-01 00:00:00' + INTERVAL 1 HOUR * (id % 4), heard) AS last, len(list_filter(string_split(requested, '|'), lambda x: NOT list_contains(coalesce(names, []), x)))::INTEGER AS n_left FROM ({REQUESTED}) s LEFT JOIN done ON scan_id = id)
+           SELECT id, CASE WHEN n_left = 0 THEN CASE WHEN all_ok THEN 'completed' ELSE 'partial' END WHEN last + INTERVAL 1 HOUR <= TIMESTAMP '1998-01-01 05:00:00' THEN 'failed' WHEN names IS NULL THEN 'pending' ELSE 'running' END AS status, n_left FROM j""")
+def timed_scan_states_of_orders(spark, d):
+    """States of scans at five o'clock: those that are not ended and silent for an hour have failed."""
+    asked = made(spark, d, REQUESTED, "orders")
+    scans_ = asked.select("id", F.split("requested", r"\|").alias("requested"), F.expr("timestampadd(HOUR, CAST(id % 4 AS INT), TIMESTAMP '1998-01-01 00:00:00')").alias("begun"))
+    heard = F.expr("timestampadd(MINUTE, CAST(l_orderkey % 6 * 60 + l_linenumber AS INT), TIMESTAMP '1998-01-01 00:00:00')")
+    done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scan_id"), F.col("l_returnflag").alias("collector"), (F.col("l_quantity") < 45).alias("ok"), heard.alias("at"))
+    return streams.timed_scan_states(scans_, done, F.expr("TIMESTAMP '1998-01-01 05:00:00'")).withColumnRenamed("left", "n_left")
