@@ -163,7 +163,7 @@ FOUND = """SELECT o_custkey % 50 AS shop_id, o_orderkey AS place, CASE o_orderke
 
 @query(f"""WITH h AS (SELECT shop_id, place, title, 's' || place % 23 || '.nl' AS domain, row_number() OVER (PARTITION BY shop_id, place % 23 ORDER BY place) AS turn FROM ({FOUND}) WHERE place % 7 > 1),
            r AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY place) AS n FROM h WHERE turn = 1)
-           SELECT shop_id, n AS place, domain, title[1:100] AS title FROM r WHERE n <= 10""")
+           SELECT shop_id, n::INTEGER AS place, domain, title[1:100] AS title FROM r WHERE n <= 10""")
 def search_other_sites(spark, d):
     return technology.other_sites(made(spark, d, FOUND, "orders"), "shop_id").drop("url")
 
@@ -240,7 +240,7 @@ def structured_of_pages(spark, d):
 
 @query(f"""WITH h AS (SELECT shop_id, place, title, CASE WHEN place % 7 = 0 THEN 'google.com' ELSE 's' || place % 23 || '.nl' END AS domain, url FROM ({FOUND}) WHERE place % 7 <> 1),
            r AS (SELECT p.platform, h.*, row_number() OVER (PARTITION BY p.platform, shop_id ORDER BY place) AS n FROM h, (VALUES ('google_ads'), ('meta')) AS p(platform) WHERE domain <> 'google.com')
-           SELECT platform, shop_id, n AS place, domain, url, title[1:100] AS title FROM r WHERE n <= 10""")
+           SELECT platform, shop_id, n::INTEGER AS place, domain, url, title[1:100] AS title FROM r WHERE n <= 10""")
 def tracker_owners(spark, d):
     found = made(spark, d, FOUND, "orders")
     both = [technology.owner_results(found, "shop_id", p).select(F.lit(p).alias("platform"), "*") for p in fixed.SKIPPED_OWNERS]
