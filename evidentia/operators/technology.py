@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,61 +123,78 @@ def shops_of_shared_ids(ids: DataFrame, shop: str, value: str) -> DataFrame:
     return once.join(shared, value).select(value, shop, "shops")
 
 
-#: Letters of a gram, and bits of the table that says which grams are looked for.
-GRAM, GRAM_BITS = 3, 1 << 18
-
-
-def _grams(text: Column, size: int) -> Column:
-    """The distinct runs of `size` letters of a text."""
-    letters = F.split(text, "")
-    shifted = [F.slice(letters, F.lit(k + 1), F.greatest(F.size(letters) - k, F.lit(0))) for k in range(size)]
-    runs = F.transform(F.arrays_zip(*[c.alias(f"g{k}") for k, c in enumerate(shifted)]), lambda x: F.when(x[f"g{size - 1}"].isNotNull(), F.concat(*[x[f"g{k}"] for k in range(size)])))
-    return F.array_distinct(F.filter(runs, lambda g: g.isNotNull()))
-
-
-def _maybe_in(grams: DataFrame) -> Callable[[Column], Column]:
-    """A test that no gram of the table fails: a table of GRAM_BITS bits, whatever the number of grams."""
-    place = lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BITS))
-    rows = grams.select(place(F.col("gram")).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).collect()
-    words = [0] * (GRAM_BITS >> 6)
-    for r in rows:
-        words[r["at"]] = r["bits"]
-    table = F.from_json(F.lit(str(words)), "array<bigint>")
-
-    def asked(gram: Column) -> Column:
-        word = F.get(table, F.shiftright(place(gram), 6).cast("int"))
-        return F.call_function("shiftright", word, F.pmod(place(gram), F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-
-    return asked
-
-
-def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, text: str) -> DataFrame:
-    """Shops whose text contains another shop's value, in any case, for lists and texts of any length: (shop, other, value), each once. Empty
-    values name nothing and are left out.
-
-    Texts are posted under their grams of three letters (values of one or two letters under grams of theirs). A value is looked up under
-    the rarest of its grams only, and confirmed on the text; a value with a gram that no text has is done at once. Grams that no
-    value has are left out before anything is shuffled, by a bit table of fixed size."""
-    needles = ids.select(F.col(shop), F.col(value), F.lower(value).alias("_low")).filter(F.col("_low") != "").distinct()
-    size = F.least(F.length("_low"), F.lit(GRAM))
-    needles = cut_lineage(needles.withColumns({"_size": size, "_needle": F.xxhash64(shop, value)}))
+#: Bytes of a gram; grams of three, two and one bytes are numbered one after the other.
+GRAM = 3
+_FIRST_OF_SIZE = {3: 0, 2: 1 << 24, 1: (1 << 24) + (1 << 16)}
+GRAMS = (1 << 24) + (1 << 16) + (1 << 8)
+#: Bytes of text whose grams are made at once; a longer text is handled alone.
+_TEXT_BYTES = 1 << 20
+
+
+def _gram_rows(sizes: list[int], asked: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text) -> (key, gram): the different grams of each text, of several sizes; only those asked for, if a table is given."""
+    def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        octets = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        found = []
+        for size in sizes:
+            n = max(len(octets) - size + 1, 0)
+            code = sum((octets[k : k + n] << (8 * k) for k in range(size)), np.full(n, _FIRST_OF_SIZE[size]))
+            fits = of[:n] == of[size - 1 : size - 1 + n]
+            fits &= True if asked is None else asked[code]
+            found.append(of[:n][fits] * GRAMS + code[fits])
+        both = np.unique(np.concatenate(found))
+        return both // GRAMS, both % GRAMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_numpy(zero_copy_only=False), [(t or "").encode() for t in batch.column(1).to_pylist()]
+            first = 0
+            while first < len(texts):
+                last, size = first + 1, len(texts[first])
+                while last < len(texts) and size + len(texts[last]) <= _TEXT_BYTES:
+                    size, last = size + len(texts[last]), last + 1
+                of, gram = grams(texts[first:last])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first:last][of]), pa.array(gram.astype(np.int32))], ["key", "gram"])
+                first = last
+
+    return run
+
+
+def texts_of_values(values: DataFrame, value: str, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Which texts contain which values, in any case: (value, key), each once, for lists and texts of any length. Empty values name nothing and are
+    left out.
+
+    Texts are posted under their grams of three bytes (values of one or two bytes under grams of theirs). A value is looked up under the
+    rarest of its grams only, and confirmed on the text; a value with a gram that no text has is done at once. Grams that no
+    value has are left out before anything is shuffled, by a table with a bit for every gram there can be."""
+    names = values.select(F.col(value).alias("_value"), F.lower(value).alias("_low")).filter("_low <> ''").distinct()
+    needles = cut_lineage(names.select("_low").distinct().select("_low", F.xxhash64("_low").alias("_needle"), F.least(F.octet_length("_low"), F.lit(GRAM)).alias("_size")))
     sizes = sorted(r[0] for r in needles.select("_size").distinct().collect())
+    hay = texts.select(F.col(key).alias("_key"), F.lower(text).alias("_text")).filter("_text is not null")
+    hay = hay.withColumn("_hay", F.xxhash64("_key", "_text"))
     if not sizes:
-        return needles.select(shop, F.col(shop).alias("other"), value)
-    own = F.coalesce(*[F.when(F.col("_size") == k, _grams(F.col("_low"), k)) for k in sizes])
-    wanted = cut_lineage(needles.select("_low", "_size", F.explode(own).alias("gram")).distinct())
-    hay = flat.select(F.col(shop).alias("other"), F.lower(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
-    hay = cut_lineage(hay.withColumn("_hay", F.xxhash64("other", "_text")))
-    asked = _maybe_in(wanted.select("gram").distinct())
-    posted = hay.select("_hay", F.explode(F.filter(F.concat(*[_grams(F.col("_text"), k) for k in sizes]), asked)).alias("gram"))
-    posted = cut_lineage(posted)
+        return names.select(F.col("_value").alias(value)).join(hay.select(F.col("_key").alias(key)).limit(0), F.lit(True))
+    parts = [needles.filter(F.col("_size") == k).select("_needle", "_low").mapInArrow(_gram_rows([k], None), "key long, gram int") for k in sizes]
+    wanted = cut_lineage(reduce(lambda x, y: x.union(y), parts))
+    asked = np.zeros(GRAMS, bool)
+    asked[[r[0] for r in wanted.select("gram").distinct().collect()]] = True
+    posted = cut_lineage(hay.select("_hay", "_text").mapInArrow(_gram_rows(sizes, asked), "key long, gram int").select(F.col("key").alias("_hay"), "gram"))
     frequency = posted.groupBy("gram").agg(F.count("*").alias("_texts"))
     # A value whose grams are not all there is in no text; else its rarest gram stands for it.
-    rarest = wanted.join(frequency, "gram", "left").groupBy("_low").agg(F.count_if(F.col("_texts").isNull()).alias("_missing"), F.min(F.struct("_texts", "gram")).alias("_best"))
-    looked_up = rarest.filter("_missing = 0").select("_low", F.col("_best.gram").alias("gram"))
-    pairs = posted.join(looked_up, "gram").select("_hay", "_low").distinct()
-    confirmed = pairs.join(hay, "_hay").filter(F.col("_text").contains(F.col("_low"))).select("_low", "other").distinct()
-    return confirmed.join(needles, "_low").filter(F.col(shop) != F.col("other")).select(shop, "other", value).distinct()
+    rarest = wanted.join(frequency, "gram", "left").groupBy("key").agg(F.count_if(F.col("_texts").isNull()).alias("_missing"), F.min(F.struct("_texts", "gram"))["gram"].alias("gram"))
+    looked_up = rarest.filter("_missing = 0").select(F.col("key").alias("_needle"), "gram").join(needles.select("_needle", "_low"), "_needle")
+    pairs = posted.join(looked_up, "gram").select("_hay", "_low")
+    confirmed = pairs.join(hay, "_hay").filter(F.col("_text").contains(F.col("_low"))).select("_low", "_key").distinct()
+    return confirmed.join(names, "_low").select(F.col("_value").alias(value), F.col("_key").alias(key))
+
+
+def shared_ids_by_text(ids: DataFrame, flat: DataFrame, shop: str, value: str, text: str) -> DataFrame:
+    """Shops whose text contains another shop's value, in any case: (shop, other, value), each once. A value of n shops that m texts contain gives
+    n * m rows; texts_of_values names the texts alone."""
+    owners = ids.select(F.col(shop), F.col(value)).distinct()
+    hits = texts_of_values(owners, value, flat.select(F.col(shop).alias("other"), F.col(text)), "other", text)
+    return hits.join(owners, value).filter(F.col(shop) != F.col("other")).select(shop, "other", value)
 
 
 def cross_references(ids: DataFrame, shops: DataFrame, shop: str, value: str) -> DataFrame:

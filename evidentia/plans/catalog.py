@@ -383,12 +383,14 @@ def tracker_xref_shops(spark, d):
 LOOKED_FOR = f"(SELECT DISTINCT shop_id, CASE id % 3 WHEN 0 THEN 'AD ' || k || ' --' WHEN 1 THEN 'Page=' || k ELSE k END AS v FROM {CHECKS} WHERE k IS NOT NULL)"
 
 
-@query(f"""WITH t AS {LOOKED_FOR}, p AS (SELECT page_id AS other, lower(url || ' ' || html) AS flat FROM pages), hit AS (SELECT DISTINCT v, other FROM (SELECT DISTINCT v FROM t), p WHERE contains(flat, lower(v)))
-           SELECT shop_id, other, v FROM t JOIN hit USING (v) WHERE shop_id <> other""")
+@query(f"""WITH t AS (SELECT v, count(*) AS shops FROM {LOOKED_FOR} GROUP BY 1), p AS (SELECT page_id AS other, lower(url || ' ' || html) AS flat FROM pages)
+           SELECT v, shops, other FROM t, p WHERE contains(flat, lower(v))""")
 def tracker_xref_contains(spark, d):
-    ids = checks(spark, d).filter("k is not null").selectExpr("shop_id", "CASE id % 3 WHEN 0 THEN 'AD ' || k || ' --' WHEN 1 THEN 'Page=' || k ELSE k END AS v")
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("shop_id"), F.concat_ws(" ", "url", "html").alias("flat"))
-    return technology.shared_ids_by_text(ids, pages, "shop_id", "v", "flat")
+    """The pages that contain a value of any shop, and how many shops have it: the whole cross-reference without its pairs of shops."""
+    ids = checks(spark, d).filter("k is not null").selectExpr("shop_id", "CASE id % 3 WHEN 0 THEN 'AD ' || k || ' --' WHEN 1 THEN 'Page=' || k ELSE k END AS v").distinct()
+    shops = ids.groupBy("v").agg(F.count("*").alias("shops"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("other"), F.concat_ws(" ", "url", "html").alias("flat"))
+    return technology.texts_of_values(shops, "v", pages, "other", "flat").join(shops, "v").select("v", "shops", "other")
 
 
 @query(f"""WITH t AS (SELECT shop_id, display_id AS v FROM {TRACKER_ROWS})
