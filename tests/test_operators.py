@@ -17,6 +17,18 @@ def test_every_shop_of_a_shared_id_is_named(spark):
     assert sorted(tuple(r) for r in found) == [("a", 1, 3), ("a", 2, 3), ("a", 3, 3), ("c", 2, 2), ("c", 7, 2)]
 
 
+def test_all_pairs_of_shops_of_an_id(spark):
+    """Every pair in both directions, also of values cut into many blocks; and as a registered query."""
+    rows = [(k % 90, f"v{k % 7 % 4}") for k in range(400)] + [(1, None), (None, "v1"), (5, "lone")]
+    given = {(s, v) for s, v in rows if s is not None and v is not None}
+    wanted = sorted((s, o, v) for s, v in given for o, w in given if v == w and s != o)
+    for block in (1, 7, 2000):
+        found = technology.shared_ids(spark.createDataFrame(rows, "shop long, v string"), "shop", "v", block)
+        assert found.columns == ["shop", "other", "v"] and sorted(map(tuple, found.collect())) == wanted
+    ids = catalog.tracker_rows(spark, SF).select("shop_id", "display_id").distinct().groupBy("display_id").count().collect()
+    assert catalog.QUERIES["tracker_xref_pairs"](spark, SF).count() == sum(r["count"] * (r["count"] - 1) for r in ids) > len(ids)
+
+
 def test_crawl_follows_a_chain_of_pages(spark):
     pages = ["https://s.nl/", *(f"https://s.nl/lijst/{k}" for k in range(1, 22)), "https://s.nl/contact"]
     links = [*zip(pages, pages[1:]), (pages[9], pages[2]), (pages[-1], pages[0])]
