@@ -568,7 +568,7 @@ def social_platform(spark, d):
 
 def page_links(spark, d):
     """The URL of each page and all links in it, and the literal cases."""
-    read = table(spark, d, "pages").select("page_id", "url", html_functions.parse_html(F.col("url"), F.col("html")).alias("p"))
+    read = table(spark, d, "pages").select("page_id", "url", html_functions.parse_html(F.col("url"), F.col("html"), "links").alias("p"))
     found = read.select("page_id", F.explode(F.concat(F.array("url"), F.col("p.links"))).alias("url"))
     return found.union(spark.createDataFrame([(-1, c[0]) for c in (*CANONICAL, *SOCIAL)], "page_id long, url string"))
 
@@ -823,7 +823,7 @@ def crawl_frontier(spark, d):
     """A crawl of each site among the pages, from its first URL, along the links that the pages hold and one from each page to the
     next of its site; pages without a body fail."""
     pages = table(spark, d, "pages").select("url", "html", urls.host(F.col("url")).alias("site"))
-    held = pages.select(F.col("url").alias("src"), F.explode(html_functions.parse_html(F.col("url"), F.col("html"))["links"]).alias("dst"))
+    held = pages.select(F.col("url").alias("src"), F.explode(html_functions.parse_html(F.col("url"), F.col("html"), "links")["links"]).alias("dst"))
     after = Window.partitionBy("site").orderBy("url")
     chain = pages.select(F.col("url").alias("src"), F.lead("url").over(after).alias("dst")).filter("dst is not null")
     start = pages.groupBy("site").agg(F.min("url").alias("url")).union(spark.createDataFrame([("s.nl", "https://s.nl/")], "site string, url string"))

@@ -232,7 +232,7 @@ def structured_of_pages(spark, d):
     """All pages, which hold no such blocks, and one for each shop."""
     made_pages = table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("id"), F.lit("https://s.nl/").alias("url"), F.expr(SPOKEN).alias("html"))
     rows = made_pages.union(table(spark, d, "pages").select("page_id", "url", "html"))
-    parsed = rows.select("id", html_functions.parse_html(F.col("url"), F.col("html")).alias("p"))
+    parsed = rows.select("id", html_functions.parse_html(F.col("url"), F.col("html"), "ldjson", "metas").alias("p"))
     found = parsed.select("id", structured.structured_entities(F.col("p.ldjson"), F.col("p.metas")).alias("s"))
     return found.select("id", *[joined(F.col(f"s.{c}")).alias(c) for c in ("emails", "phones", "kvk", "btw", "iban", "addresses")])
 

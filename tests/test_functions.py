@@ -2,7 +2,9 @@
 
 import csv
 import io
+import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,3 +134,33 @@ def test_import_counts(spark, tmp_path):
     assert ingest.import_shops(listed.limit(0), shops, str(tmp_path / "none")) == {"total_processed": 0, "added": 0, "skipped": 0, "errors": 0}
     again = spark.read.parquet(str(tmp_path / "new")).union(shops.select("url", "domain"))
     assert ingest.import_shops(listed, again, str(tmp_path / "again"))["added"] == 0
+
+
+PIECES = [
+    '<a href="/x">', "<A HREF='y'>", "<a href=z>", "</a>", "<", ">", '"', " ", "&amp;", "&lt;a href=q&gt;", "<!--", "-->", "<script>", '<script type="application/ld+json">', "</script>", "<style>", "</style>", '<meta name="d" content="e">',
+    '<meta\nname=q content="<a href=w>">', "<meta property='p' content='x'/>", "<p>", "</p>", "<br/>", '<div class="<a href=v>">', "<div '", "<?php a ?>", '<html lang="nl-NL">', '<link rel="alternate" hreflang="en">', "<title>", "</title>",
+    "<textarea>", '<abbr title="x">', "<metadata x=\"y\">", "<scripty>", '<p a="b"c="d">', '<p a="b" >', '</p x="<a href=j>">', "</>", "<p:q>", "<noscript>", '{"a":1}', "\n",
+]
+
+
+def test_single_fields_agree_with_the_whole_page():
+    rng, names = random.Random(4), list(html.FIELDS)
+    for _ in range(4000):
+        page = "".join(rng.choices(PIECES, k=rng.randrange(1, 20)))
+        whole = html.parse("https://s.nl/d/", page)
+        for some in (("links",), ("ldjson", "metas"), ("langs",)):
+            assert html._fields(some)("https://s.nl/d/", page) == tuple(whole[names.index(n)] for n in some), page
+
+
+def test_a_batch_of_pages_is_handed_on_in_parts():
+    pages = ["<a href=/x>" * 6000, None, "", "<p>" * 100_000, "<a href=/y>"] * 5
+    found = list(html.parsed(iter([(pa.array(["https://s.nl/"] * 25), pa.array(pages)), (pa.array([], pa.string()), pa.array([], pa.string()))]), ("links",)))
+    assert len(found) > 5 and [len(x["links"]) for part in found for x in part.to_pylist()] == [6000, 0, 0, 0, 1] * 5
+
+
+def test_parts_are_joined_to_their_rows(spark):
+    rows = [(k, f"https://s.nl/{k}/", f'<title>{k}</title><a href="a">' + "x" * (k % 7 * 50_000)) for k in range(60)] + [(-1, None, None)]
+    read = html.parse_html(F.col("url"), F.col("html"))
+    some = html.parse_html(F.col("url"), F.col("html"), "links")
+    got = spark.createDataFrame(rows, "id int, url string, html string").coalesce(1).select("id", read.alias("p"), some.alias("s")).collect()
+    assert sorted((r.id, r.p.title, r.p.links, r.s.links) for r in got) == [(-1, None, [], [])] + [(k, str(k), [f"https://s.nl/{k}/a"], [f"https://s.nl/{k}/a"]) for k in range(60)]
