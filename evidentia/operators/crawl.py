@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +90,8 @@ def running_distinct(found: DataFrame, by: str, order: str, value: str) -> DataF
 PRIORITY, NORMAL, PRODUCT = 1, 2, 3
 
 
-#: A site with at most so many links is crawled within one task.
-TASK_LINKS = 200_000
+#: A site with at most so many links, and bytes of their URLs, is crawled within one task.
+TASK_LINKS, TASK_BYTES = 200_000, 64 << 20
 
 
 def crawl_order(start: DataFrame, links: DataFrame, failed: DataFrame | None = None, max_pages: int = 50, task_links: int = TASK_LINKS) -> DataFrame:
@@ -100,9 +101,9 @@ def crawl_order(start: DataFrame, links: DataFrame, failed: DataFrame | None = N
     one; its links within the site, in the order of their URLs, join their queues unless they were in one before. Failed pages
     give no links and use none of the budget of max_pages; product pages end when a fifth of the budget (three at least) was taken.
 
-    Sites of at most task_links links are crawled whole, each in a task of its own, which holds just those links: one shuffle for all of
-    them, however long their chains of pages are. A larger site is crawled over the cluster, in rounds (crawl_rounds); the
-    result is the same."""
+    Sites of at most task_links links (and TASK_BYTES of URLs) are crawled whole, each in a task of its own, which holds just those links as
+    Arrow columns: one shuffle for all of them, however long their chains of pages are. A larger site is crawled over the cluster, in
+    rounds (crawl_rounds); the result is the same."""
     edges = links.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst"))
     edges = cut_lineage(edges.filter(urls.scrapeable(F.col("dst"))).distinct())
     first = start.select("site", urls.canonical(F.col("url")).alias("url")).distinct()
@@ -114,10 +115,12 @@ def crawl_order(start: DataFrame, links: DataFrame, failed: DataFrame | None = N
     begun = edges.join(first, F.col("src") == F.col("url")).select("site", "src", "dst")
     owned = inner.select("site", "src", "dst").union(begun).distinct().filter(urls.same_site(F.col("dst"), F.col("site")))
     rows = cut_lineage(_queue_kind(owned.union(first.select("site", F.lit(None).cast("string"), F.col("url"))), bad))
-    sizes = cut_lineage(rows.groupBy("site").agg(F.count_if(F.col("src").isNotNull()).alias("_links")))
-    small = rows.join(sizes.filter(F.col("_links") <= task_links).select("site"), "site", "left_semi")
-    taken = small.groupBy("site").applyInPandas(lambda site: _crawled(site, max_pages), "site string, url string, depth int, kind int, place long")
-    large = sizes.filter(F.col("_links") > task_links).select("site")
+    length = F.octet_length("dst") + F.coalesce(F.octet_length("src"), F.lit(0))
+    sizes = rows.groupBy("site").agg(F.count_if(F.col("src").isNotNull()).alias("_links"), F.sum(length.cast("long")).alias("_bytes"))
+    sizes = cut_lineage(sizes.select("site", ((F.col("_links") <= task_links) & (F.col("_bytes") <= TASK_BYTES)).alias("_small")))
+    small = rows.join(sizes.filter("_small").select("site"), "site", "left_semi")
+    taken = small.groupBy("site").applyInArrow(lambda site: _crawled(site, max_pages), "site string, url string, depth int, kind int, place long")
+    large = sizes.filter("not _small").select("site")
     if large.isEmpty():
         return taken
     return taken.union(crawl_rounds(first.join(large, "site", "left_semi"), edges, bad, max_pages))
@@ -131,32 +134,46 @@ def _queue_kind(rows: DataFrame, bad: DataFrame | None) -> DataFrame:
     return rows.withColumn("ok", F.lit(True)) if bad is None else rows.join(bad.select(F.col("url").alias("dst"), F.lit(False).alias("_ok")), "dst", "left").withColumn("ok", F.coalesce("_ok", F.lit(True))).drop("_ok")
 
 
-def _crawled(site: pd.DataFrame, max_pages: int) -> pd.DataFrame:
-    """One site's crawl over its links."""
-    site = site.sort_values(["src", "dst"], na_position="first")
+def _crawled(site: pa.Table, max_pages: int) -> pa.Table:
+    """One site's crawl over its links. They stay in Arrow columns, sorted; only the links of the pages that are taken become Python values."""
+    name = site["site"][0]
+    site = site.select(["src", "dst", "kind", "product", "ok"])
+    site = site.take(pc.sort_indices(site, sort_keys=[("src", "ascending"), ("dst", "ascending")], null_placement="at_start")).combine_chunks()
     known: dict[str, int] = {}
     queues = {PRIORITY: deque(), NORMAL: deque(), PRODUCT: deque()}
-    begins = site["src"].isna()
-    links = {src: part for src, part in site[~begins].groupby("src", sort=False)}
-
-    def enqueue(found: pd.DataFrame, depth: int) -> None:
-        for url, kind, product, ok in zip(found["dst"], found["kind"], found["product"], found["ok"]):
+    sources, begins = site["src"], site["src"].null_count
+
+    def links(src: str) -> pa.Table:
+        """The run of rows of a page, by halving."""
+        ends = []
+        for after in (False, True):
+            low, high = begins, len(site)
+            while low < high:
+                middle = (low + high) // 2
+                at = sources[middle].as_py()
+                low, high = (middle + 1, high) if at < src or after and at == src else (low, middle)
+            ends.append(low)
+        return site.slice(ends[0], ends[1] - ends[0])
+
+    def enqueue(found: pa.Table, depth: int) -> None:
+        for url, kind, product, ok in zip(*[found[c].to_pylist() for c in ("dst", "kind", "product", "ok")]):
             if url not in known:
                 known[url] = depth
                 queues[kind].append((url, product, ok))
 
-    enqueue(site[begins], 0)
+    enqueue(site.slice(0, begins), 0)
     taken, products = [], 0
     while len(taken) < max_pages and (kind := next((k for k in queues if queues[k]), None)):
         if kind == PRODUCT and products >= max(3, max_pages // 5):
             break
         url, product, ok = queues[kind].popleft()
         if ok:
-            taken.append((site["site"].iloc[0], url, known[url], kind, len(taken) + 1))
+            taken.append((url, known[url], kind, len(taken) + 1))
             products += bool(product)
-            if url in links:
-                enqueue(links[url], known[url] + 1)
-    return pd.DataFrame(taken, columns=["site", "url", "depth", "kind", "place"])
+            enqueue(links(url), known[url] + 1)
+    url, depth, kind, place = zip(*taken) if taken else ((), (), (), ())
+    columns = {"url": pa.array(url, pa.string()), "depth": pa.array(depth, pa.int32()), "kind": pa.array(kind, pa.int32()), "place": pa.array(place, pa.int64())}
+    return pa.table({"site": pa.array([name.as_py()] * len(taken), pa.string()), **columns})
 
 
 def crawl_rounds(start: DataFrame, edges: DataFrame, bad: DataFrame | None, max_pages: int) -> DataFrame:

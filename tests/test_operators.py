@@ -3,6 +3,9 @@
 import re
 from urllib.parse import urlsplit
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from evidentia.functions import fixed, html, text
 from evidentia.operators import crawl, latest, technology
 from evidentia.plans import catalog
@@ -29,6 +32,14 @@ def test_all_pairs_of_shops_of_an_id(spark):
     assert catalog.QUERIES["tracker_xref_pairs"](spark, SF).count() == sum(r["count"] * (r["count"] - 1) for r in ids) > len(ids)
 
 
+def test_crawl_holds_links_as_columns():
+    """A site's crawl from rows in any order; links of pages that are not taken stay in Arrow."""
+    rows = [("s", None, "https://s.nl/", 2, False, True)] + [("s", f"https://s.nl/{a}", f"https://s.nl/{b}", 2, False, b != "b") for a, b in [("", "b"), ("", "a"), ("a", ""), ("a", "é"), ("b", "x"), ("é", "z"), ("q", "w")]]
+    table = pa.Table.from_pylist([dict(zip(("site", "src", "dst", "kind", "product", "ok"), r)) for r in reversed(rows)])
+    assert [(r["url"], r["depth"], r["place"]) for r in crawl._crawled(table, 50).to_pylist()] == [("https://s.nl/", 0, 1), ("https://s.nl/a", 1, 2), ("https://s.nl/é", 2, 3), ("https://s.nl/z", 3, 4)]
+    assert crawl._crawled(table, 0).num_rows == 0
+
+
 def test_crawl_follows_a_chain_of_pages(spark):
     pages = ["https://s.nl/", *(f"https://s.nl/lijst/{k}" for k in range(1, 22)), "https://s.nl/contact"]
     links = [*zip(pages, pages[1:]), (pages[9], pages[2]), (pages[-1], pages[0])]
