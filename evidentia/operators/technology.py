@@ -37,9 +37,12 @@ def literal_start(pattern: str) -> tuple[str, bool]:
 def signature(low: Column, patterns: list[str]) -> Column:
     """Whether any pattern matches a lower-cased page. Most are literals and looked for as such; a true pattern runs only on pages that
     hold its literal beginning."""
-    hits = []
-    for pattern in dict.fromkeys(map(lower_pattern, patterns)):
-        start, whole = literal_start(pattern)
+    hits, starts = [], {p: literal_start(p) for p in map(lower_pattern, patterns)}
+    literals = {start for start, whole in starts.values() if whole}
+    for pattern, (start, whole) in starts.items():
+        # What holds another literal of the list within it adds nothing.
+        if any(x in start and (x != start or not whole) for x in literals):
+            continue
         hits.append(low.contains(start) if whole else low.contains(start) & low.rlike(pattern))
     return any_of(hits)
 
@@ -77,11 +80,15 @@ def first_of(found: Column, category: str) -> Column:
 
 def by_category(found: Column) -> Column:
     """category -> names, in the order of the signature table."""
-    def names(category: str) -> Column:
-        return F.transform(F.filter(found, lambda x: x["category"] == category), lambda x: x["name"])
+    def grouped(all_: Column) -> Column:
+        def names(category: str) -> Column:
+            return F.transform(F.filter(all_, lambda x: x["category"] == category), lambda x: x["name"])
 
-    pairs = [F.struct(F.lit(c).alias("k"), names(c).alias("v")) for c in dict.fromkeys(t[0] for t in fixed.TECHNOLOGIES)]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.size(p["v"]) > 0))
+        pairs = [F.struct(F.lit(c).alias("k"), names(c).alias("v")) for c in dict.fromkeys(t[0] for t in fixed.TECHNOLOGIES)]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.size(p["v"]) > 0))
+
+    # What was found is bound once: written out for each category, it would search the page for all signatures again.
+    return F.get(F.transform(F.array(found), grouped), F.lit(0))
 
 
 def shopify_identities(html: Column) -> Column:

@@ -466,7 +466,9 @@ BY_CATEGORY = list(dict.fromkeys(t[0] for t in fixed.TECHNOLOGIES))
 def tech_by_category(spark, d):
     rows = spark.createDataFrame(TECH_PAGES, "id long, html string").union(table(spark, d, "pages").select(F.col("page_id") + 100, "html"))
     low = rows.select("id", F.lower("html").alias("low"))
-    return low.select("id", F.explode(technology.by_category(technology.detected(F.col("low"), lowered=True))).alias("category", "n")).select("id", "category", joined(F.col("n")).alias("names"))
+    # The outer form, as the inner one is given a filter that searches each page once more.
+    found = low.select("id", F.explode_outer(technology.by_category(technology.detected(F.col("low"), lowered=True))).alias("category", "n")).filter("category is not null")
+    return found.select("id", "category", joined(F.col("n")).alias("names"))
 
 
 HEADERS = [(1, []), (2, ["content-security-policy", "X-Frame-Options", "referrer-policy"]), (3, list(fixed.SECURITY_HEADERS)), (4, ["Server", "X-XSS-Protection"])]

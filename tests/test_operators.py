@@ -32,6 +32,16 @@ def test_all_pairs_of_shops_of_an_id(spark):
     assert catalog.QUERIES["tracker_xref_pairs"](spark, SF).count() == sum(r["count"] * (r["count"] - 1) for r in ids) > len(ids)
 
 
+def test_each_signature_is_looked_for_once(spark):
+    """The categories' query searches a page once for each signature, and finds the same with or without what holds another literal."""
+    plan = catalog.QUERIES["tech_by_category"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(re.findall(rf"Contains\(\S+, {x}\)", plan)) for x in ("cloudflare", "vercel", "netlify")] == [1, 1, 1]
+    pages = ["mollie.com", "js.mollie", "WC-Cart", "x klarna", 'name="generator" content="wordpress', "checkoutshopper x adyen", "G-ABCDEFGHIJ", "cmplz", ""]
+    got = [r.n.split("|") for r in spark.createDataFrame([(p,) for p in pages], "h string").select(technology.detected_names(F.col("h")).alias("n")).collect()]
+    wanted = [[name for _, name, patterns, _ in fixed.TECHNOLOGIES if any(re.search(technology.lower_pattern(p), page.lower()) for p in patterns)] for page in pages]
+    assert got == [w or [""] for w in wanted] and any(wanted)
+
+
 def test_crawl_holds_links_as_columns():
     """A site's crawl from rows in any order; links of pages that are not taken stay in Arrow."""
     rows = [("s", None, "https://s.nl/", 2, False, True)] + [("s", f"https://s.nl/{a}", f"https://s.nl/{b}", 2, False, b != "b") for a, b in [("", "b"), ("", "a"), ("a", ""), ("a", "é"), ("b", "x"), ("é", "z"), ("q", "w")]]
