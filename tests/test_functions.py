@@ -164,3 +164,12 @@ def test_parts_are_joined_to_their_rows(spark):
     some = html.parse_html(F.col("url"), F.col("html"), "links")
     got = spark.createDataFrame(rows, "id int, url string, html string").coalesce(1).select("id", read.alias("p"), some.alias("s")).collect()
     assert sorted((r.id, r.p.title, r.p.links, r.s.links) for r in got) == [(-1, None, [], [])] + [(k, str(k), [f"https://s.nl/{k}/a"], [f"https://s.nl/{k}/a"]) for k in range(60)]
+
+
+def test_plain_tags_are_passed_over(monkeypatch):
+    """Pages read for their blocks and meta tags cost a step for each such tag, not for each tag."""
+    seen, handle = [], html._Page.handle_starttag
+    monkeypatch.setattr(html._Page, "handle_starttag", lambda self, tag, attrs: (seen.append(tag), handle(self, tag, attrs))[1])
+    page = '<p class="x">tekst <b>vet</b></p>' * 500 + '<meta name="kvk" content="12345678"><script type="application/ld+json">{}</script>' + "<i>x</i>" * 500
+    assert html._fields(("ldjson", "metas"))("https://s.nl/", page) == (["{}"], [("kvk", "12345678")])
+    assert seen == ["meta", "script"]
