@@ -24,6 +24,11 @@ def _where(condition: Column, text: Column) -> Column:
     return F.when(condition, text)
 
 
+def _found_where(condition: Column, matches: Column) -> Column:
+    """What dear patterns match where they can match at all; nothing elsewhere. The condition is tried once for all of them."""
+    return F.when(condition, matches).otherwise(F.array().cast("array<string>"))
+
+
 def _set(*lists: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
 
@@ -48,13 +53,11 @@ def phones(text: Column) -> Column:
 
 
 def kvk_numbers(text: Column) -> Column:
-    text = _where(text.rlike(r"(?U)\d{8}"), text)
-    return F.filter(_set(*[found(text, p) for p in fixed.KVK_NUMBERS]), lambda x: ~x.startswith("0"))
+    return _found_where(text.rlike(r"(?U)\d{8}"), F.filter(_set(*[found(text, p) for p in fixed.KVK_NUMBERS]), lambda x: ~x.startswith("0")))
 
 
 def vat_numbers(text: Column) -> Column:
-    text = _where(text.rlike(r"(?iU)nl\d{9}b\d{2}"), text)
-    return _set(*[F.transform(found(text, p), F.upper) for p in fixed.VAT_NUMBERS])
+    return _found_where(text.rlike(r"(?iU)nl\d{9}b\d{2}"), _set(*[F.transform(found(text, p), F.upper) for p in fixed.VAT_NUMBERS]))
 
 
 def ibans(text: Column) -> Column:

@@ -229,8 +229,9 @@ SPOKEN = """CASE c_custkey % 6
           CASE c_custkey % 6 WHEN 3 THEN 'NL91ABNA0417164300' ELSE '' END AS iban, CASE c_custkey % 6 WHEN 1 THEN 'Weg ' || c_custkey || ' 1234 AB Stad' ELSE '' END AS addresses FROM customer
           UNION ALL SELECT page_id, '', '', '', '', '', '' FROM pages""")
 def structured_of_pages(spark, d):
-    """All pages, which hold no such blocks, and one for each shop."""
-    made_pages = table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("id"), F.lit("https://s.nl/").alias("url"), F.expr(SPOKEN).alias("html"))
+    """All pages, which hold no such blocks, and one for each shop. A small file of shops makes many pages, so the shops are dealt out first."""
+    shops = table(spark, d, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    made_pages = shops.select((-1 - F.col("c_custkey")).alias("id"), F.lit("https://s.nl/").alias("url"), F.expr(SPOKEN).alias("html"))
     rows = made_pages.union(table(spark, d, "pages").select("page_id", "url", "html"))
     parsed = rows.select("id", html_functions.parse_html(F.col("url"), F.col("html"), "ldjson", "metas").alias("p"))
     found = parsed.select("id", structured.structured_entities(F.col("p.ldjson"), F.col("p.metas")).alias("s"))
