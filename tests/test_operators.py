@@ -32,6 +32,17 @@ def test_all_pairs_of_shops_of_an_id(spark):
     assert catalog.QUERIES["tracker_xref_pairs"](spark, SF).count() == sum(r["count"] * (r["count"] - 1) for r in ids) > len(ids)
 
 
+def test_pairs_of_shops_are_read_off_lists(spark):
+    """A join of pairs gives a row for a shop and a block, not for a pair; its tasks are not put together by their few bytes."""
+    rows = [(f"s{k}", f"v{k % 3}") for k in range(90)] + [("s1", "v0")]
+    found = technology.shared_ids(spark.createDataFrame(rows, "shop string, v string"), "shop", "v", 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(.*_others", plan.split("Join Inner")[0])
+    assert found.rdd.getNumPartitions() >= technology.PAIR_TASKS * spark.sparkContext.defaultParallelism
+    given = set(rows)
+    assert sorted(map(tuple, found.collect())) == sorted((s, o, v) for s, v in given for o, w in given if v == w and s != o)
+
+
 def test_each_signature_is_looked_for_once(spark):
     """The categories' query searches a page once for each signature, and finds the same with or without what holds another literal."""
     plan = catalog.QUERIES["tech_by_category"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
